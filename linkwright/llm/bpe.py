@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,9 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The word pattern of such vocabularies. A fixed value of that format.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: From so many occurrences on a pair is merged at all of them at once.
+MANY = 150
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,87 +49,121 @@ class PairIndexBPE:
         self.byte_id = np.zeros(256, dtype=np.int64)
         for c, b in letters.items():
             self.byte_id[b] = self.vocab[c]
-        self.rank: dict[int, tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}
+        self.merge: list[tuple[int, int, int]] = []
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.rank.setdefault(self.vocab[a] << 32 | self.vocab[b], (r, self.vocab[a + b]))
+            self.merge.append((self.vocab[a], self.vocab[b], self.vocab[a + b]))
+            self.rank.setdefault(self.vocab[a] << 32 | self.vocab[b], r)
+        ids = self.byte_id.tolist()
+        self.byte_rank = np.array([[self.rank.get(a << 32 | b, -1) for b in ids] for a in ids], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of.update({i: s.encode() for s, i in self.special.items()})
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.word = regex.compile(WORD)
-        self.known: dict[str, tuple[str, int, bytes, tuple[int, ...]]] = {}
-
-    def _merge_all(self, words: list[str]) -> list[list[int]]:
+        self.shown = {i: str(i) for i in self.bytes_of}
+        #: For each word that is remembered its ids, as text, and their bytes.
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.older: tuple[dict[str, str], dict[str, bytes]] | None = None
+
+    def _merge_all(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of all words in a row, and where each word's end."""
         raw = [w.encode() for w in words]
-        ends = np.cumsum([len(x) + 1 for x in raw])
-        flat = np.full(int(ends[-1]), -1, dtype=np.int64)  # -1 ends each word
         data = np.frombuffer(b"\0".join(raw) + b"\0", dtype=np.uint8)
-        inside = np.ones(len(flat), dtype=bool)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+        inside = np.ones(len(data), dtype=bool)
         inside[ends - 1] = False
-        flat[inside] = self.byte_id[data[inside]]
-        sym = flat.tolist()
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
-        heap: list[tuple[int, int]] = []
-        pairs = flat[:-1] << 32 | flat[1:]
-        at = np.flatnonzero(inside[:-1] & inside[1:])
-        order = at[np.argsort(pairs[at], kind="stable")]
-        keys, first = np.unique(pairs[order], return_index=True)
-        rank = self.rank
-        for k, at_k in zip(keys.tolist(), np.split(order, first[1:]), strict=True) if len(keys) else ():
-            if k in rank:
-                index[k] = at_k.tolist()
-                heap.append((rank[k][0], k))
-        heapq.heapify(heap)
+        n = len(data)
+        sym, after, before = array("q", bytes(8 * n)), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        before[0] = n - 1  # the last end
+        np_sym, np_after, np_before = (np.frombuffer(x, dtype=np.int64) for x in (sym, after, before))
+        np_sym[:] = np.where(inside, self.byte_id[data], -1)  # -1 ends each word
+        first = np.where(inside[:-1] & inside[1:], self.byte_rank[data[:-1], data[1:]], -1)
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks, start = np.unique(first[at], return_index=True)
+        places, stops = at.tolist(), [*start[1:].tolist(), len(at)]
+        index = {r: places[a:b] for r, a, b in zip(ranks.tolist(), start.tolist(), stops, strict=True)}
+        heap = ranks.tolist()  # ascending, so a heap
+        rank_of, push, pop = self.rank.get, heapq.heappush, heapq.heappop
         while heap:
-            _, pair = heapq.heappop(heap)
-            where = index.pop(pair, None)
-            if not where:
+            r = pop(heap)
+            where = index.pop(r)
+            left, right, made = self.merge[r]
+            if left == right:
+                where.sort()
+            high = made << 32
+            if len(where) >= MANY and left != right:
+                i = np.unique(np.array(where))
+                i = i[np_sym[i] == left]
+                j = np_after[i]
+                right_there = np_sym[j] == right
+                i, j = i[right_there], j[right_there]
+                if not len(i):
+                    continue
+                k = np_after[j]
+                np_sym[i], np_sym[j], np_after[i], np_before[k] = made, -2, k, i
+                h = np_before[i]
+                for at, ids, by in ((i, np_sym[k], lambda t: high | t), (h, np_sym[h], lambda t: t << 32 | made)):
+                    order = np.argsort(ids, kind="stable")
+                    ids, at = ids[order], at[order]
+                    each, start = np.unique(ids, return_index=True)
+                    for t, a, b in zip(each.tolist(), start.tolist(), [*start[1:].tolist(), len(ids)], strict=True):
+                        if t >= 0 and (q := rank_of(by(t))) is not None:
+                            if q in index:
+                                index[q] += at[a:b].tolist()
+                            else:
+                                index[q] = at[a:b].tolist()
+                                push(heap, q)
                 continue
-            left, right, made = pair >> 32, pair & 0xFFFFFFFF, rank[pair][1]
-            where.sort()
             for i in where:
                 if sym[i] != left:
                     continue
                 j = after[i]
-                if j >= n or sym[j] != right:
+                if sym[j] != right:
                     continue
-                sym[i], sym[j] = made, -2
-                k = after[j]
-                after[i] = k
+                sym[i] = made
+                sym[j] = -2
+                after[i] = k = after[j]
                 before[k] = i
-                for a, s, t in ((before[i], None, made), (i, made, None)):
-                    if s is None:
-                        if a < 0 or sym[a] < 0:
-                            continue
-                        s = sym[a]
+                t = sym[k]
+                if t >= 0 and (q := rank_of(high | t)) is not None:
+                    if q in index:
+                        index[q].append(i)
                     else:
-                        t = sym[k]
-                        if t < 0:
-                            continue
-                    p = s << 32 | t
-                    got = rank.get(p)
-                    if got:
-                        if p not in index:
-                            index[p] = [a]
-                            heapq.heappush(heap, (got[0], p))
-                        else:
-                            index[p].append(a)
-        out, start = [], 0
-        for e in ends.tolist():
-            out.append([s for s in sym[start : e - 1] if s >= 0])
-            start = e
-        return out
+                        index[q] = [i]
+                        push(heap, q)
+                h = before[i]
+                s = sym[h]
+                if s >= 0 and (q := rank_of(s << 32 | made)) is not None:
+                    if q in index:
+                        index[q].append(h)
+                    else:
+                        index[q] = [h]
+                        push(heap, q)
+        kept = np_sym >= 0
+        return np_sym[kept].tolist(), np.cumsum(kept)[ends - 1].tolist()
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not remembered yet."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+        if len(self.ids) > REMEMBERED:
+            self.older = (self.ids, self.raw)
+            self.ids, self.raw = {}, {}
+        words = words.difference(self.ids)
+        if self.older:
+            ids, raw = self.older
+            for w in [w for w in words if w in ids]:
+                self.ids[w], self.raw[w] = ids[w], raw[w]
+            words = words.difference(ids)
+        new = list(words)
         if new:
-            for w, ids in zip(new, self._merge_all(new), strict=True):
-                self.known[w] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)), tuple(ids))
+            ids, stops = self._merge_all(new)
+            shown, raw, at = list(map(self.shown.__getitem__, ids)), list(map(self.bytes_of.__getitem__, ids)), 0
+            for w, stop in zip(new, stops, strict=True):
+                self.ids[w] = ",".join(shown[at:stop])
+                self.raw[w] = b"".join(raw[at:stop])
+                at = stop
 
     def pieces(self, text: str) -> list[str]:
         """Words in order; special strings stand alone and are marked by a leading NUL pair."""
@@ -136,8 +173,6 @@ class PairIndexBPE:
         for part in self.cut.split(text):
             if part in self.special:
                 mark = "\0\0" + part
-                i = self.special[part]
-                self.known[mark] = (str(i), 1, self.bytes_of[i], (i,))
                 out.append(mark)
             else:
                 out += self.word.findall(part)
@@ -163,22 +198,20 @@ def encode_decode(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFr
         coder = _coder(vocabulary)
         for batch in chunks(batches):
             cut = [coder.pieces(t or "") for t in batch.column("text").to_pylist()]
-            for start in range(0, len(cut), 512):
-                part = cut[start : start + 512]
+            for start in range(0, len(cut), 2048):
+                part = cut[start : start + 2048]
                 new: set[str] = set()
                 for words in part:
                     new.update(words)
-                special = {w: coder.known[w] for w in new if w[:2] == "\0\0" and w in coder.known}
-                coder.learn(new)
-                coder.known.update(special)
-                counts, hashes, decoded, lists = [], [], [], []
-                for words in part:
-                    got = list(map(coder.known.__getitem__, words))
-                    counts.append(sum(x[1] for x in got))
-                    hashes.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([x[2] for x in got]).decode("utf-8", "replace").encode()).hexdigest())
-                    if ids:
-                        lists.append([i for x in got for i in x[3]])
+                marks = {w for w in new if w[:2] == "\0\0" and w[2:] in coder.special}
+                coder.learn(new - marks)
+                for w in marks:
+                    coder.ids[w], coder.raw[w] = str(coder.special[w[2:]]), w[2:].encode()
+                shown = [",".join(map(coder.ids.__getitem__, words)) for words in part]
+                counts = [s.count(",") + 1 if s else 0 for s in shown]
+                hashes = [hashlib.sha256(s.encode()).hexdigest() for s in shown]
+                decoded = [hashlib.sha256(b"".join(map(coder.raw.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest() for words in part]
+                lists = [[int(i) for i in s.split(",") if i] for s in shown] if ids else []
                 cols = [batch.column("doc_id").slice(start, len(part)).cast(pa.int64()), counts, hashes, decoded] + [lists] * ids
                 yield record_batch(schema, *cols)
 

@@ -13,13 +13,3 @@ def spark():
     s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-
-
-def make_docs(spark, texts, start=0):
-    """Documents with ids from `start`; a pair gives its own id."""
-    rows = [(x if isinstance(x, tuple) else (start + i, x)) for i, x in enumerate(texts)]
-    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS)

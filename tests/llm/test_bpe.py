@@ -1,7 +1,7 @@
 import hashlib
 
 import public_tokenizers
-from conftest import SF, make_docs
+from llm_help import SF, make_docs
 from tokenizers import Tokenizer
 
 from linkwright.llm import bpe
@@ -47,4 +47,4 @@ def test_forgetting_words_changes_nothing(spark, monkeypatch):
     for text in ("one two three", "four five one", "six"):
         words = coder.pieces(text)
         coder.learn(set(words))
-        assert [i for w in words for i in coder.known[w][3]] == expected(text)[3]
+        assert [int(i) for w in words for i in coder.ids[w].split(',')] == expected(text)[3]
