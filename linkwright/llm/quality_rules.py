@@ -17,6 +17,7 @@ GOOD, BAD, ABSTAIN = 2, 1, 0
 KEEP_FROM = 0.5
 SYMBOLS = b"#*$%&|<>"
 _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
+#: All but ASCII letters and the bytes of other scripts.
 _NOT_LETTER = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 _NOT_SHOUT = bytes(b for b in range(256) if b not in b"!?")
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
@@ -60,37 +61,36 @@ def counts(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeated_words(words)
 
 
-def _between(x: float, good: float, bad: float) -> int:
-    """Good up to `good`, bad from `bad` on."""
-    return GOOD if x <= good else BAD if x >= bad else ABSTAIN
-
-
 def votes(raw: bytes, c: tuple[int, int, int, int, int]) -> list[int]:
-    """The vote of each rule; every threshold is a share of the text itself."""
+    """The vote of each rule; every threshold is a share of the text itself. A rule that looks for a fault
+    abstains where it finds none, as the text may have another; the last two look for what good prose has."""
     n, chars, symbols, dup, repeats = c
     if not n:
         return [BAD] + [ABSTAIN] * (RULES - 1)
-    letters = len(raw) - len(raw.translate(None, bytes(b for b in range(256) if b not in _NOT_LETTER)))
-    letters = len(raw) - letters  # bytes of ASCII letters and of other scripts
+    letters = len(raw.translate(None, _NOT_LETTER))
     upper = len(raw.translate(None, _NOT_UPPER))
     shout = len(raw.translate(None, _NOT_SHOUT))
     digits = len(raw.translate(None, _NOT_DIGIT))
-    lines = raw.count(b"\n") + 1
+    stops = raw.count(b". ") + raw.count(b".\n") + raw.endswith(b".")
     mean = chars / n
-    return [
-        BAD if n < 20 else GOOD if n >= 60 else ABSTAIN,
-        _between(symbols / n, 0.05, 0.25),
-        _between(dup / lines, 0.1, 0.3),
-        _between(repeats / n, 0.2, 0.5),
-        _between(upper / max(letters, 1), 0.15, 0.5),
-        _between(shout / n, 0.05, 0.3),
-        BAD if mean < 2.5 or mean > 12 else GOOD if 3 <= mean <= 9 else ABSTAIN,
-        _between(digits / max(chars, 1), 0.05, 0.25),
-        GOOD if letters >= 0.7 * len(raw) else BAD if letters < 0.5 * len(raw) else ABSTAIN,
+    dense = len(raw.translate(None, b" \t\n\r\x0b\x0c"))
+    fault = [
+        n < 20,
+        symbols >= 0.2 * n,
+        dup >= 0.3 * (raw.count(b"\n") + 1),
+        repeats >= 0.5 * n,
+        upper >= 0.5 * letters,
+        shout >= 0.3 * n,
+        mean < 2.5 or mean > 15,
+        digits >= 0.25 * chars,
+    ]
+    return [BAD if f else ABSTAIN for f in fault] + [
+        GOOD if letters >= 0.82 * dense and upper < 0.2 * letters else ABSTAIN,
+        GOOD if 0.02 * n <= stops <= 0.25 * n else ABSTAIN,
     ]
 
 
-RULES = 9
+RULES = 10
 
 
 def pattern(v: list[int]) -> int:
@@ -104,23 +104,25 @@ def unpack(codes: np.ndarray) -> np.ndarray:
     return np.stack([codes // 3 ** (RULES - 1 - j) % 3 for j in range(RULES)], axis=1)
 
 
-def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 100) -> dict[int, float]:
+def fit(codes: np.ndarray, n: np.ndarray, rounds: int = 60) -> dict[int, float]:
     """Posterior probability of good quality for each vote pattern, by expectation-maximisation over
-    how often each pattern occurs. A rule has one accuracy on good and one on bad documents, held
-    within [0.55, 0.99], so the two classes cannot change places; abstaining says nothing."""
+    how often each pattern occurs.
+
+    For good and for bad documents each rule has its own chances to vote good, vote bad and abstain;
+    its accuracy is what these say together, and abstaining may tell something too. The first guess, that
+    a document with a vote for bad is bad, fixes which class is which."""
     if not len(codes):
         return {}
     v = unpack(codes)
-    says_good, says_bad = (v == GOOD).astype(float), (v == BAD).astype(float)
-    prior, right_good, right_bad = 0.85, np.full(RULES, 0.9), np.full(RULES, 0.7)
+    vote = np.stack([v == k for k in (ABSTAIN, BAD, GOOD)], axis=2).astype(float)
+    p = np.where((v == BAD).any(axis=1), 0.05, 0.95)
     for _ in range(rounds):
-        up = math.log(prior) + says_good @ np.log(right_good) + says_bad @ np.log(1 - right_good)
-        down = math.log(1 - prior) + says_bad @ np.log(right_bad) + says_good @ np.log(1 - right_bad)
+        logs = []
+        for w in (n * p, n * (1 - p)):
+            chance = np.einsum("i,ijk->jk", w, vote) + 0.5
+            logs.append((math.log(w.sum() + 1), np.log(chance / chance.sum(axis=1, keepdims=True))))
+        up, down = (c + np.einsum("ijk,jk->i", vote, t) for c, t in logs)
         p = 1 / (1 + np.exp(np.clip(down - up, -500, 500)))
-        w, u = n * p, n * (1 - p)
-        prior = float(np.clip(w.sum() / n.sum(), 0.05, 0.98))
-        right_good = np.clip((w @ says_good + 9) / (w @ (says_good + says_bad) + 10), 0.55, 0.99)
-        right_bad = np.clip((u @ says_bad + 7) / (u @ (says_good + says_bad) + 10), 0.55, 0.99)
     return dict(zip(codes.tolist(), p.tolist(), strict=True))
 
 
