@@ -28,9 +28,8 @@ from .common import chunks, record_batch, texts
 #: Ids of a sequence, sequences of a batch, ids from which on a new shard begins, the id that ends a document.
 LENGTH, BATCH, SHARD, END = 1024, 256, 16 << 20, 2
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 
-_SPACE = re.compile(rb"[^ \t\n\r\x0b\x0c]+").findall
 #: Lower-case printable ASCII, and its pieces as the vocabulary cuts them. Fixed values of that vocabulary.
 _PLAIN = re.compile(rb"[!-@\[-~]+").fullmatch
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -87,7 +86,7 @@ class WordEncoder:
                 letters.append(w)
             else:
                 odd.append(w)
-        self._joined(self.bare, sorted(pieces.difference(self.known)), odd)
+        self._joined(self.bare, list(pieces.difference(self.known)), odd)
         self._joined(self.tok, letters, odd)
         for start in range(0, len(odd), 4096):
             part = odd[start : start + 4096]
@@ -102,7 +101,7 @@ class WordEncoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         cut = [(t.lower() if self.lower and b"<|" not in t else t) for t in raw]
-        cut = [t.split() if t.isascii() else _SPACE(t) for t in cut]
+        cut = [t.split() for t in cut]  # ASCII white space only, as these are bytes
         new: set[bytes] = set()
         for words in cut:
             new.update(words)
@@ -260,7 +259,7 @@ def write(docs: DataFrame, tokenizer: str, out: str, end: int = END, length: int
             writer.close()
             return record_batch(schema, [task.partitionId()], [number], [uri], [writer.tokens], [len(writer.docs)])
 
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=8 << 20):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts(batch)), strict=True):
                 if writer is None:
                     uri = f"{out}/shard-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.arrow"
