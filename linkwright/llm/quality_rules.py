@@ -4,6 +4,7 @@ rule can be trusted; a document stays if the posterior probability of good quali
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ _NOT_UPPER = bytes(b for b in range(256) if not 65 <= b <= 90)
 _NOT_LETTER = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 _NOT_SHOUT = bytes(b for b in range(256) if b not in b"!?")
 _NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
+_LONE_MARKS = re.compile(rb"(?:^|(?<=\s))[!-/:-@\[-`{-~]+(?=\s|$)").findall
 _CONTINUED = bytes(range(128, 192))
 
 
@@ -83,6 +85,7 @@ def votes(raw: bytes, c: tuple[int, int, int, int, int]) -> list[int]:
         shout >= 0.3 * n,
         mean < 2.5 or mean > 15,
         digits >= 0.25 * chars,
+        len(_LONE_MARKS(raw)) >= 0.15 * n,
     ]
     return [BAD if f else ABSTAIN for f in fault] + [
         GOOD if letters >= 0.82 * dense and upper < 0.2 * letters else ABSTAIN,
@@ -90,7 +93,7 @@ def votes(raw: bytes, c: tuple[int, int, int, int, int]) -> list[int]:
     ]
 
 
-RULES = 10
+RULES = 11
 
 
 def pattern(v: list[int]) -> int:
