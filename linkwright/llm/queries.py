@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, simhash, token_files
+from . import bpe, decontaminate, factorisation, language_crf, quality_rules, simhash, token_files, toxicity
 from .common import documents
 
 
@@ -29,6 +29,18 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,7 +72,7 @@ FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_token_files, op5_simhash, op6_decontamination, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_token_files, op5_simhash, op6_decontamination, op7_factorisation_machine, op8_language_crf, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
