@@ -96,6 +96,14 @@ class WordEncoder:
         for w, parts in cut:
             self.known[w] = b"".join(map(get, parts))
 
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The bytes of the ids of different lower-cased words; nothing is remembered."""
+        kept, self.known = self.known, {}
+        self._learn(set(words))
+        out = list(map(self.known.__getitem__, words))
+        self.known = kept
+        return out
+
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids."""
         if len(self.known) > REMEMBERED:
