@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, bpe, decontaminate, factorisation, language_crf, quality_rules, simhash, token_files, toxicity
+from . import attention_lm, bpe, decontaminate, factorisation, language_crf, quality_rules, simhash, substring, token_files, toxicity
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(documents(spark, sf_dir)).drop("check")
+
+
 def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -76,7 +80,7 @@ FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_attention_lm, op4_token_files, op5_simhash, op6_decontamination, op7_factorisation_machine, op8_language_crf, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_compact_windows, op3_attention_lm, op4_token_files, op5_simhash, op6_decontamination, op7_factorisation_machine, op8_language_crf, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
