@@ -58,7 +58,7 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def with_text(docs: DataFrame, batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
+def with_text(batch: pa.RecordBatch, text: pa.Array) -> pa.RecordBatch:
     """The batch with another text, and n_chars to match where there is such a column."""
     cols = []
     for f, c in zip(batch.schema, batch.columns, strict=True):

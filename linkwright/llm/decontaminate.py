@@ -301,6 +301,6 @@ def remove(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", most: i
                 spans = merged.spans(d)
                 if spans:
                     out[d] = cut_words(out[d], spans)
-            yield with_text(docs, batch, pa.array(out, pa.string()))
+            yield with_text(batch, pa.array(out, pa.string()))
 
     return docs.mapInArrow(run, docs.schema)
