@@ -6,6 +6,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from .normalize import text
 
@@ -198,22 +199,22 @@ def _over_distinct(f, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_distinct(jaro_value, a, b).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_distinct(lambda x, y: jaro_value(x, y, False), a, b).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_distinct(winkler_value, a, b).astype("float64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return _over_distinct(osa_value, a, b).astype("int64")
 

@@ -48,6 +48,11 @@ def prefix(c: str | Column, k: int = 3) -> Column:
     return F.when(F.length(s) >= k, F.array(F.substring(s, 1, k))).otherwise(F.array().cast("array<string>"))
 
 
+def _marked(keys: Column, i: int) -> Column:
+    mark = F.lit(f"{i}:")
+    return F.transform(keys, lambda x: F.concat(mark, x))
+
+
 def typed(fields: list[tuple[str, str, int]]) -> Column:
     """k-mers of each field after dropping characters of other kinds, marked with the field's place. Fields: (column, kind, k)."""
     parts = []
@@ -56,7 +61,7 @@ def typed(fields: list[tuple[str, str, int]]) -> Column:
         if KINDS[kind]:
             s = F.regexp_replace(s, KINDS[kind], "")
         keys = F.when(F.length(s) >= k, _windows(s, k)).otherwise(F.array().cast("array<string>"))
-        parts.append(F.transform(keys, lambda x, i=i: F.concat(F.lit(f"{i}:"), x)))
+        parts.append(_marked(keys, i))
     return F.array_distinct(F.concat(*parts))
 
 
@@ -86,7 +91,7 @@ def multi_pass(df: DataFrame, passes: list[Column], rec: str = "rec_idx") -> Dat
     """Several kinds of blocks in one index, marked by their pass."""
     out = None
     for i, keys in enumerate(passes):
-        part = index(df, F.transform(keys, lambda x, i=i: F.concat(F.lit(f"{i}:"), x)), rec)
+        part = index(df, _marked(keys, i), rec)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -31,7 +31,7 @@ def edges(records: DataFrame, spec: LinkageSpec, match: Column | None = None) ->
     match = match if match is not None else predicates.sum_within(spec.compare, spec.total, spec.limits or None)
     found = pairs.attach(pairs.within_blocks(index), unique, spec.compare, spec.rec).where(match).select("l", "r")
     if spec.headless:
-        keyed = unique.withColumn("_key", F.concat(*spec.compare))
+        keyed = unique.withColumn("_key", F.concat(spec.block, *[c for c in spec.compare if c != spec.block]))
         again = pairs.attach(pairs.headless_edges(keyed, "_key", spec.rec), unique, spec.compare, spec.rec).where(match).select("l", "r")
         found = found.unionAll(again).distinct()
     return found
