@@ -26,16 +26,16 @@ from .token_files import WordEncoder, _coder
 #: Ids that a window holds, ids that it scores, size of a vector.
 WINDOW, STEP, SIZE = 24, 16, 16
 #: Words whose counts are sent to the executors at most, training documents whose ids the weights are learned on at most.
-TOP_WORDS, SAMPLE = 150_000, 1500
+TOP_WORDS, SAMPLE = 400_000, 1500
 #: Texts are taken in whole until they hold so many bytes.
-SAMPLE_BYTES = 6 << 20
+SAMPLE_BYTES = 4 << 20
 #: Share of the word frequencies in the mixture.
 MIX = 0.4
 FOLDS, ADD = 10, 0.1
 #: Scores are cut off here before they are raised to powers of e.
 HIGHEST, TINY = np.float32(60), np.float32(1e-30)
 #: Words besides the top ones that a worker remembers, words of a partial count.
-REMEMBERED, COUNTED = 250_000, 400_000
+REMEMBERED, COUNTED = 300_000, 400_000
 
 
 class AttentionModel:
@@ -53,11 +53,16 @@ class AttentionModel:
         n = len(seen) + 2
         self.unseen = max(1, len(counts) - 1 - len(seen))
         weight = np.r_[max(counts[-1], 1.0), counts[seen], 1.0]
-        self.classes = max(1, int(np.ceil(np.sqrt(n))))
-        self.width = -(-n // self.classes)
+        # common slots are in small classes, rare ones in large ones, so an id costs few steps on average
+        sizes = []
+        while sum(sizes) < n:
+            sizes.append(min(int(8 * 1.3 ** len(sizes)), n - sum(sizes)))
+        self.classes, self.sizes, self.width = len(sizes), sizes, max(sizes)
         order = np.r_[np.argsort(-weight[:-1], kind="stable"), n - 1]
+        first = np.cumsum(sizes) - sizes
         self.cls, self.place = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
-        self.cls[order], self.place[order] = np.arange(n) // self.width, np.arange(n) % self.width
+        self.cls[order] = np.repeat(np.arange(self.classes), sizes)
+        self.place[order] = np.arange(n) - np.repeat(first, sizes)
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 0.3 / np.sqrt(SIZE), s).astype(np.float32)
         self.q, self.k, self.v, self.e = (draw(n, SIZE) for _ in range(4))
@@ -132,12 +137,12 @@ class AttentionModel:
         inner = np.empty(len(h), dtype=np.float32)
         for i in np.flatnonzero(np.diff(edge)).tolist():
             a, b = edge[i], edge[i + 1]
-            z = h[a:b] @ self.wm[i]
-            z += self.bm[i]
+            z = h[a:b] @ self.wm[i, :, : self.sizes[i]]
+            z += self.bm[i, : self.sizes[i]]
             np.minimum(z, HIGHEST, out=z)
             inner[a:b] = z[np.arange(b - a), m[a:b]]
             np.exp(z, out=z)
-            inner[a:b] -= np.log(z @ self.ones[: self.width])
+            inner[a:b] -= np.log(z @ self.ones[: self.sizes[i]])
         got[order] += inner
         return got
 
@@ -174,13 +179,13 @@ class AttentionModel:
                 edge = np.searchsorted(c[by], np.arange(self.classes + 1))
                 for i in np.flatnonzero(np.diff(edge)).tolist():
                     r = by[edge[i] : edge[i + 1]]
-                    z = h[r] @ self.wm[i] + self.bm[i]
+                    z = h[r] @ self.wm[i, :, : self.sizes[i]] + self.bm[i, : self.sizes[i]]
                     p = np.exp(z - z.max(axis=1, keepdims=True))
                     p /= p.sum(axis=1, keepdims=True)
                     p[np.arange(len(r)), m[r]] -= 1
                     p *= w
-                    g["wm"][i], g["bm"][i] = h[r].T @ p, p.sum(axis=0)
-                    gh[r] += p @ self.wm[i].T
+                    g["wm"][i, :, : self.sizes[i]], g["bm"][i, : self.sizes[i]] = h[r].T @ p, p.sum(axis=0)
+                    gh[r] += p @ self.wm[i, :, : self.sizes[i]].T
                 full = np.zeros((len(pick) * STEP, SIZE), dtype=np.float32)
                 full[ok] = gh
                 gctx = full.reshape(len(pick), STEP, SIZE)
@@ -200,8 +205,10 @@ class AttentionModel:
 class Scorer:
     """What a worker needs: the model, the counts of the top words, and N and V of all words."""
 
-    def __init__(self, model: AttentionModel, words: list[bytes], counts: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
+    def __init__(self, model: AttentionModel, words: list[bytes], counts: np.ndarray, pieces: np.ndarray, n: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
+        """`pieces`: the subwords of all top words in a row, as slots of the model; `n`: how many each has."""
         self.model, self.words, self.counts = model, words, counts
+        self.pieces, self.n, self.start = [pieces], n, np.cumsum(n) - n
         self.total, self.types, self.ends, self.tokenizer = total, types, ends, tokenizer
         self.index: dict[bytes, int] | None = None
 
@@ -215,18 +222,14 @@ class Scorer:
         self._freq = np.r_[share, 0.0].astype(np.float64)
         self.index = {w: i for i, w in enumerate(self.words)}
         self.top = len(self.words)
-        self._forget()
-        self._add(self.words)
+        self.extra = 0
 
     def _forget(self) -> None:
         for w in list(self.index)[self.top :]:
             del self.index[w]
-        if hasattr(self, "start"):
-            self.pieces = [np.concatenate(self.pieces)[: int(self.start[self.top - 1] + self.n[self.top - 1]) if self.top else 0]]
-            self.start, self.n = self.start[: self.top], self.n[: self.top]
-        else:
-            self.pieces, self.start, self.n = [], np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-        self.extra = 0
+        used = int(self.n[: self.top].sum())
+        self.pieces = [np.concatenate(self.pieces)[:used]]
+        self.start, self.n, self.extra = self.start[: self.top], self.n[: self.top], 0
 
     def _add(self, words: list[bytes]) -> None:
         """Subwords of words, as slots of the model."""
@@ -330,7 +333,8 @@ def train(docs: DataFrame, counts: DataFrame, tokenizer: str, top_words: int = T
         length = np.array([len(s) + 1 for s in seqs])
         slots = model.slot[np.concatenate([np.r_[s, size] for s in seqs])]
         model.fit(slots, length)
-    return Scorer(model, words, c, int(total[1] or 0) + ends, int(total[0]) + (ends > 0), ends, tokenizer)
+    pieces = model.slot[np.frombuffer(b"".join(ids), dtype=coder.dtype)]
+    return Scorer(model, words, c, pieces, n, int(total[1] or 0) + ends, int(total[0]) + (ends > 0), ends, tokenizer)
 
 
 def score(docs: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int = SAMPLE) -> DataFrame:
@@ -349,7 +353,7 @@ def score(docs: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=3 << 20):
             n, known, base, got, rare = sent.value.score(texts(batch))
             ids = batch.column("doc_id")
             yield record_batch(schema, list(range(row, row + len(n))), ids.cast(pa.int64()), held_out_of(ids.to_pylist(), FOLDS), n, known, base, got, rare)
