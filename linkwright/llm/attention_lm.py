@@ -224,6 +224,11 @@ class Scorer:
         self.top = len(self.words)
         self.extra = 0
 
+    def close(self) -> None:
+        if self.index is not None:
+            self._forget()
+            self.index = None
+
     def _forget(self) -> None:
         for w in list(self.index)[self.top :]:
             del self.index[w]
@@ -358,6 +363,7 @@ def score(docs: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int
             ids = batch.column("doc_id")
             yield record_batch(schema, list(range(row, row + len(n))), ids.cast(pa.int64()), held_out_of(ids.to_pylist(), FOLDS), n, known, base, got, rare)
             row += len(n)
+        sent.value.close()  # the worker lives on
 
     found = materialize(docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"), "scored")
     floor = scorer.total + ADD * (scorer.types + 1)

@@ -21,7 +21,7 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The word pattern of such vocabularies. A fixed value of that format.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: From so many occurrences on a pair is merged at all of them at once.
 MANY = 150
 
@@ -67,6 +67,9 @@ class PairIndexBPE:
         self.raw: dict[str, bytes] = {}
         self.older: tuple[dict[str, str], dict[str, bytes]] | None = None
 
+    def forget(self) -> None:
+        self.ids, self.raw, self.older = {}, {}, None
+
     def _merge_all(self, words: list[str]) -> tuple[list[int], list[int]]:
         """Ids of all words in a row, and where each word's end."""
         raw = [w.encode() for w in words]
@@ -196,7 +199,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=4 << 20):
             cut = [coder.pieces(t or "") for t in batch.column("text").to_pylist()]
             for start in range(0, len(cut), 2048):
                 part = cut[start : start + 2048]
@@ -214,5 +217,6 @@ def encode_decode(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFr
                 lists = [[int(i) for i in s.split(",") if i] for s in shown] if ids else []
                 cols = [batch.column("doc_id").slice(start, len(part)).cast(pa.int64()), counts, hashes, decoded] + [lists] * ids
                 yield record_batch(schema, *cols)
+        coder.forget()  # the worker lives on, and other stages need its memory
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

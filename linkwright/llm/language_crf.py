@@ -267,5 +267,6 @@ def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
         for batch in chunks(batches, most=4 << 20):
             lang, score = known.value.predict([tokens(t or "") for t in batch.column("text").to_pylist()])
             yield record_batch(schema, batch.column("doc_id").cast(pa.int64()), held_out_of(batch.column("doc_id").to_pylist(), FOLDS), lang, score)
+        known.value.known, known.value.rows = {}, []  # the worker lives on
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
