@@ -223,10 +223,12 @@ class LanguageField:
         return marginals(self.rows[0][ids[ids >= 0]].astype(np.float64), n[some], self.transition, self.start), n
 
     def predict(self, docs: list[list[str]]) -> tuple[list[str], list[float]]:
-        p, n = self.label(docs)
         lang, score = ["und"] * len(docs), [0.0] * len(docs)
+        if not self.langs:
+            return lang, score
+        p, n = self.label(docs)
         some = np.flatnonzero(n > 0)
-        if len(some) and self.langs:
+        if len(some):
             first = np.cumsum(n[some]) - n[some]
             mean = np.add.reduceat(p, first, axis=0) / n[some][:, None]
             best = mean.argmax(axis=1)
