@@ -1,0 +1,104 @@
+from pyspark.sql import functions as F
+
+from linkwright.operators import generate as g
+from linkwright.sources import readers, writers
+from linkwright.spec import LAYOUTS, LinkageSpec
+
+
+def put(path, text):
+    path.write_text(text)
+    return str(path)
+
+
+def test_delimited_and_cleaning(spark, tmp_path):
+    p = put(tmp_path / "a.csv", "0001,O'Neil 2,03181996,03181895\n0002,Ann,\n")
+    df = readers.delimited(spark, p, LAYOUTS["full_name"])
+    assert [tuple(r) for r in df.orderBy("ssn").collect()] == [("0001", "O'Neil 2", "03181996", "03181895"), ("0002", "Ann", "", "")]
+    assert readers.cleaned(df).orderBy("ssn").first().name == "oneil 2"
+    assert readers.name_cleaned(df, "name").orderBy("ssn").first().name == "oneil "
+    assert readers.block_first(df, "dod").columns == ["ssn", "dod", "name", "dob"]
+
+
+def test_cluster_files(spark, tmp_path):
+    c = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "cluster long, member string")
+    writers.write_clusters(c, str(tmp_path / "out"))
+    back = readers.clusters_by_line(spark, str(tmp_path / "out"))
+    sets = back.groupBy("cluster").agg(F.sort_array(F.collect_list("member")).alias("m")).collect()
+    assert sorted(r.m for r in sets) == [["a", "b"], ["c"]]
+    writers.write_cluster_text(c, str(tmp_path / "text"), ["member", "cluster"])
+    back = readers.clusters_by_headers(spark, str(tmp_path / "text"))
+    assert sorted(tuple(r.fields) for r in back.collect()) == [("a", "1"), ("b", "1"), ("c", "2")]
+    writers.write_clusters_with(c.withColumn("tag", F.lit("t")), str(tmp_path / "with"), "member", "tag")
+    assert "c:t," in [r.value for r in spark.read.text(str(tmp_path / "with")).collect()]
+    writers.write_statistics(c.agg(F.count("*").alias("rows")), str(tmp_path / "stat"))
+    assert spark.read.text(str(tmp_path / "stat")).first().value == "rows: 3"
+    for _ in range(2):
+        writers.append_log(c.agg(F.count("*").alias("rows")), str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 2
+    records = spark.createDataFrame([(1, "x"), (2, "y")], "rec_idx long, entity_id string")
+    writers.write_components(spark.createDataFrame([(1, 1), (2, 1)], "rec long, component long"), records, str(tmp_path / "both"), "entity_id")
+    assert spark.read.text(str(tmp_path / "both/by_id")).first().value == "x,y,"
+    writers.write_table(records, str(tmp_path / "table"))
+    assert spark.read.csv(str(tmp_path / "table")).count() == 2
+
+
+def test_other_readers(spark, tmp_path):
+    p = put(tmp_path / "w.txt", "one two   three\nshort\nalpha beta gamma delta\n")
+    rows = readers.whitespace(spark, p, ["a", "b", "c", "d"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("alpha", "beta", "gamma", "delta"), ("one", "two", "three", "")]
+    assert readers.whitespace(spark, p, ["a"], row_cap=1).count() == 1
+    p = put(tmp_path / "g.fa", ">head\nACGTACGTAC\nGT\n")
+    assert sorted(tuple(r) for r in readers.genome_windows(spark, p, 5).collect()) == [(0, "acgta"), (1, "cgtac")]
+    p = put(tmp_path / "g.gb", "     gene            190..255\n     CDS  1..2\n     gene            complement(5683..6459)\n")
+    assert sorted(tuple(r) for r in readers.gene_locations(spark, p).collect()) == [(190, 255, False), (5683, 6459, True)]
+    p = put(tmp_path / "s.txt", "abc\nabcdef\n")
+    assert tuple(readers.string_stats(readers.strings(spark, p)).first()) == (2, 3, 6, 4.5)
+
+
+def test_configuration(spark, tmp_path):
+    a, b = put(tmp_path / "a.tsv", "Ann\tLee\tX\n"), put(tmp_path / "b.tsv", "K\tLee An\n")
+    xml = f"""<linkage><dataset><file>{a}</file><map>0 1</map></dataset><dataset><file>{b}</file><map>-1,1</map></dataset><threshold>2</threshold>
+      <comparison><method>0</method><attributes>0</attributes><weight>2</weight></comparison><comparison><method>2</method><attributes>1</attributes><truncate>3</truncate></comparison>
+      <block><field>1</field><kind>alpha</kind><length>3</length></block><priority>1 0</priority></linkage>"""
+    spec = LinkageSpec.from_xml(xml)
+    assert (spec.threshold, spec.priority, spec.block_fields, spec.comparisons[1].truncate) == (2.0, [1, 0], [(1, "alpha", 3)], 3)
+    rows = readers.mapped(spark, spec, ["first", "last"]).select("first", "last", "source").collect()
+    assert sorted(tuple(r) for r in rows) == [("", "leean", 1), ("ann", "lee", 0)]
+    from linkwright.plans.linkage import configured_edges
+
+    df = readers.mapped(spark, spec, ["first", "last"]).withColumn("rec_idx", F.col("source").cast("long"))
+    assert [tuple(r) for r in configured_edges(df, spec, ["first", "last"]).collect()] == [(0, 1)]
+
+
+def test_generators(spark):
+    assert g.edit_string("joyan", 1, 1) == g.edit_string("joyan", 1, 1) != "joyan"
+    d = g.edit_digits("03181996", 2, 5)
+    assert sum(x != y for x, y in zip(d, "03181996", strict=True)) == 2
+    assert len(g.insert_digits("abcdefghij", 0.3, 1)) == 13
+    base = spark.createDataFrame([("0001", "joyan", "03181996")], "ssn string, name string, dob string")
+    assert sorted(r.tag for r in g.k_distant(base, "name", ["dob"]).collect()) == ["0", "01", "011", "02", "1", "2", "21", "211", "22"]
+    assert sorted(r.tag for r in g.chain(base, "name").collect()) == ["0", "01", "2"]
+    s = g.random_strings(spark, 50, 20, 3).collect()
+    assert all(len(r.value) == 20 and set(r.value) <= set("abc") for r in s) and len({r.value for r in s}) == 50
+    assert g.in_parts(spark.range(100), 3, "id").select("part").distinct().count() == 3
+
+
+def test_streams(spark, tmp_path):
+    from linkwright.functions import metrics
+    from linkwright.streaming import incremental
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"rec_idx": 1, "last": "watson", "at": "2024-01-01T00:00:00Z"}\n{"rec_idx": 2, "last": "watsen", "at": "2024-01-01T00:01:00Z"}\n{"rec_idx": 1, "last": "watson", "at": "2024-01-01T00:02:00Z"}\n')
+    stream = spark.readStream.schema("rec_idx long, last string, at timestamp").json(str(src))
+    q = incremental.first_seen(stream, ["rec_idx"], "at").writeStream.format("memory").queryName("firsts").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("firsts").count() == 2
+    found = []
+    rule = metrics.edit_within("l_last", "r_last", 1) >= 0
+    run = incremental.linking_batches(str(tmp_path / "known"), LinkageSpec(compare=["last"], block="last"), rule, lambda df, i: found.extend(tuple(r) for r in df.collect()))
+    q = stream.select("rec_idx", "last").dropDuplicates(["rec_idx"]).writeStream.foreachBatch(run).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert found == [(1, 2)]
