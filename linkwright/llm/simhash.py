@@ -197,7 +197,8 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Da
     """The rows of `docs` without near-duplicates: of each component the row with the smallest id stays,
     once. Rows with a null id stay. The columns are those of `docs`."""
     gone = components(docs, radius, parts).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the same join at every size: what goes grows with the documents, so it is never sent whole
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.limit(1).count():
         return kept
