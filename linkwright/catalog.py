@@ -401,6 +401,12 @@ def jaro_thresholded(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("l", "r", F.round(m.jaro_at_least("a", "b", 0.8), 6).alias("jaro"))
 
 
+@query()
+def jaro_all_pairs(spark, sf_dir):
+    """10,000 random strings of 25 letters out of 5, all with all: the setting of the published timings."""
+    return m.all_pairs_jaro(g.random_strings(spark, 10_000, 25, 5), "value", 0.9)
+
+
 @query()
 def osa(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("l", "r", m.osa("a", "b").alias("osa"))

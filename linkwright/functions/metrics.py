@@ -3,8 +3,9 @@ optimal string alignment, which Spark lacks, are Arrow-batched UDFs on distinct
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
@@ -199,14 +200,88 @@ def _over_distinct(f, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+class JaroTable:
+    """Strings of up to 64 characters as codes, and for each string and code the places where it stands, as bits.
+
+    Two strings are then compared in steps of one character, for many pairs at once."""
+
+    def __init__(self, strings: list[str]):
+        self.strings = strings
+        self.length = np.array([len(s) for s in strings], dtype=np.int64)
+        self.short = self.length <= 64
+        letters = sorted({c for s in strings if len(s) <= 64 for c in s})
+        code = {c: i + 1 for i, c in enumerate(letters)}
+        width = int(self.length[self.short].max(initial=0))
+        self.codes = np.zeros((len(strings), max(width, 1)), dtype=np.int64)
+        self.places = np.zeros((len(strings), len(letters) + 1), dtype=np.uint64)
+        for i, s in enumerate(strings):
+            if len(s) <= 64:
+                c = [code[x] for x in s]
+                self.codes[i, : len(c)] = c
+                for j, x in enumerate(c):
+                    self.places[i, x] |= np.uint64(1 << j)
+        self.flat = self.places.reshape(-1)
+
+    def compare(self, a: np.ndarray, b: np.ndarray, whole: bool = True) -> np.ndarray:
+        """Jaro similarity of the strings numbered a and b, pair by pair."""
+        out = np.zeros(len(a))
+        for start in range(0, len(a), 1 << 15):
+            part = slice(start, start + (1 << 15))
+            out[part] = self._compare(a[part], b[part], whole)
+        long = np.flatnonzero(~(self.short[a] & self.short[b]))
+        for i in long.tolist():
+            out[i] = jaro_value(self.strings[a[i]], self.strings[b[i]], whole)
+        return out
+
+    def _compare(self, a: np.ndarray, b: np.ndarray, whole: bool) -> np.ndarray:
+        n, m = np.where(self.short[a], self.length[a], 0), np.where(self.short[b], self.length[b], 0)
+        one = np.uint64(1)
+        reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+        used, mine = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.uint64)
+        row = b * self.places.shape[1]
+        codes = np.ascontiguousarray(self.codes[a].T)
+        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        # the places within reach of place i: bits up to i + reach, without those below i - reach
+        top = reach.astype(np.uint64)
+        for i in range(int(n.max(initial=0))):
+            hi = np.minimum(top + np.uint64(i + 1), np.uint64(64))
+            window = np.where(hi >= 64, full, (one << np.minimum(hi, np.uint64(63))) - one)
+            low = np.maximum(i - reach, 0).astype(np.uint64)
+            x = self.flat[row + codes[i]] & window & (full << low) & ~used
+            x &= ~x + one  # the lowest place
+            used |= x
+            mine |= np.where(x != 0, one << np.uint64(i), np.uint64(0))
+        k = np.bitwise_count(used).astype(np.int64)
+        moved = np.zeros(len(a), dtype=np.int64)
+        at = np.flatnonzero(k > 0)
+        s, t = mine[at], used[at]
+        while len(at):
+            ls, lt = s & (~s + one), t & (~t + one)
+            i, j = np.bitwise_count(ls - one), np.bitwise_count(lt - one)
+            moved[at] += self.codes[a[at], i] != self.codes[b[at], j]
+            s, t = s ^ ls, t ^ lt
+            left = s != 0
+            at, s, t = at[left], s[left], t[left]
+        half = moved // 2 if whole else moved / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = (k / n + k / m + (k - half) / k) / 3
+        return np.where(a == b, 1.0, np.where(k > 0, v, 0.0))
+
+
+def _jaro_series(a: pd.Series, b: pd.Series, whole: bool) -> pd.Series:
+    codes, strings = pd.factorize(pd.concat([a, b], ignore_index=True).fillna(""))
+    codes = codes.astype(np.int64)
+    return pd.Series(JaroTable(list(strings)).compare(codes[: len(a)], codes[len(a) :], whole))
+
+
 @F.pandas_udf(DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _over_distinct(jaro_value, a, b).astype("float64")
+    return _jaro_series(a, b, True)
 
 
 @F.pandas_udf(DoubleType())
 def _jaro_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _over_distinct(lambda x, y: jaro_value(x, y, False), a, b).astype("float64")
+    return _jaro_series(a, b, False)
 
 
 @F.pandas_udf(DoubleType())
@@ -227,6 +302,38 @@ def jaro_winkler(a, b) -> Column:
     return _winkler(_col(a), _col(b))
 
 
+#: Different strings that `all_pairs_jaro` takes at most, as they go to every task.
+MOST_STRINGS = 200_000
+
+
+def all_pairs_jaro(df: DataFrame, col: str, least: float, key: str = "id", whole: bool = True) -> DataFrame:
+    """Rows (l, r, jaro) of all pairs with l < r whose similarity is at least `least`: every string against all, in blocks.
+
+    The work is that of all pairs, which this metric cannot avoid; so it is for sets of strings that a check finds to be small. Larger ones are blocked first."""
+    rows = df.select(F.col(key).cast("long").alias("id"), text(col).alias("s")).orderBy("id")
+    n = df.count()
+    if n > MOST_STRINGS:
+        raise ValueError(f"{n} strings are too many to compare all with all; use blocks")
+    got = rows.toArrow()
+    ids, strings = np.array(got["id"].to_pylist(), dtype=np.int64), got["s"].to_pylist()
+    sent = df.sparkSession.sparkContext.broadcast((ids, strings))
+    tasks = max(1, min(4 * df.sparkSession.sparkContext.defaultParallelism, n))
+
+    def run(parts):
+        ids, strings = sent.value
+        table = JaroTable(strings)
+        for part in parts:
+            for p in part["id"].tolist():
+                for i in range(p, len(ids), tasks):
+                    j = np.arange(i + 1, len(ids))
+                    v = table.compare(np.full(len(j), i), j, whole)
+                    hit = v >= least
+                    if hit.any():
+                        yield pd.DataFrame({"l": ids[i], "r": ids[j[hit]], "jaro": v[hit]})
+
+    return df.sparkSession.range(tasks).repartition(tasks, "id").mapInPandas(run, "l long, r long, jaro double")
+
+
 def scaled(similarity: Column, factor: int = 1000) -> Column:
     """A similarity as a whole number of thousandths (or hundredths)."""
     return F.floor(similarity * factor + 1e-9).cast("int")

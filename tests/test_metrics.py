@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,3 +86,23 @@ def test_normalise(spark):
     df = spark.createDataFrame([("O'Neil-Smith 3rd", None)], "a string, b string")
     r = df.select(n.strip_punct("a"), n.strip_digits_punct("a"), n.letters_only("a"), n.alnum_only("a"), n.strip_punct("b"), n.headless("a")).first()
     assert tuple(r) == ("oneilsmith 3rd", "oneilsmith rd", "oneilsmithrd", "ONeilSmith3rd", "", "'Neil-Smith 3rd0")
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_jaro_of_many_pairs(whole):
+    rng = random.Random(4)
+    strings = ["", "a", "é" * 64, "ab" * 40, *{"".join(rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 70))) for _ in range(150)}]
+    strings = list(dict.fromkeys(strings))
+    t = m.JaroTable(strings)
+    pairs = [(rng.randrange(len(strings)), rng.randrange(len(strings))) for _ in range(4000)]
+    got = t.compare(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), whole)
+    for (a, b), v in zip(pairs, got, strict=True):
+        assert abs(v - m.jaro_value(strings[a], strings[b], whole)) < 1e-12
+
+
+def test_all_pairs_jaro(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(8)) for _ in range(80)] + [None]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, v string")
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and m.jaro_value(a or "", b or "") >= 0.8}
+    assert {(r.l, r.r) for r in m.all_pairs_jaro(df, "v", 0.8).collect()} == want
