@@ -26,9 +26,9 @@ from .token_files import WordEncoder, _coder
 #: Ids that a window holds, ids that it scores, size of a vector.
 WINDOW, STEP, SIZE = 24, 16, 16
 #: Words whose counts are sent to the executors at most, training documents whose ids the weights are learned on at most.
-TOP_WORDS, SAMPLE = 400_000, 1500
+TOP_WORDS, SAMPLE = 300_000, 1500
 #: Texts are taken in whole until they hold so many bytes.
-SAMPLE_BYTES = 4 << 20
+SAMPLE_BYTES = 3 << 20
 #: Share of the word frequencies in the mixture.
 MIX = 0.4
 FOLDS, ADD = 10, 0.1
