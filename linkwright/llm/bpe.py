@@ -21,7 +21,7 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The word pattern of such vocabularies. A fixed value of that format.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: From so many occurrences on a pair is merged at all of them at once.
 MANY = 150
 
@@ -199,7 +199,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        for batch in chunks(batches, most=4 << 20):
+        for batch in chunks(batches):
             cut = [coder.pieces(t or "") for t in batch.column("text").to_pylist()]
             for start in range(0, len(cut), 2048):
                 part = cut[start : start + 2048]
@@ -214,7 +214,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFr
                 counts = [s.count(",") + 1 if s else 0 for s in shown]
                 hashes = [hashlib.sha256(s.encode()).hexdigest() for s in shown]
                 decoded = [hashlib.sha256(b"".join(map(coder.raw.__getitem__, words)).decode("utf-8", "replace").encode()).hexdigest() for words in part]
-                lists = [[int(i) for i in s.split(",") if i] for s in shown] if ids else []
+                lists = pa.array([np.fromstring(s, np.int32, sep=",") if s else [] for s in shown], pa.list_(pa.int32())) if ids else []
                 cols = [batch.column("doc_id").slice(start, len(part)).cast(pa.int64()), counts, hashes, decoded] + [lists] * ids
                 yield record_batch(schema, *cols)
         coder.forget()  # the worker lives on, and other stages need its memory
