@@ -218,8 +218,7 @@ class Scorer:
     def _open(self) -> None:
         self.coder: WordEncoder = _coder(self.tokenizer)
         self._base = np.r_[self.base(self.counts), 0.0]
-        share = self.counts / max(self.counts.sum(), 1)
-        self._freq = np.r_[share, 0.0].astype(np.float64)
+        self._freq = np.r_[self.counts / max(self.total, 1), 0.0].astype(np.float64)
         self.index = {w: i for i, w in enumerate(self.words)}
         self.top = len(self.words)
         self.extra = 0
@@ -245,8 +244,9 @@ class Scorer:
         self.n = np.r_[self.n, n]
         self.pieces.append(flat)
 
-    def score(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], list[float], list[list[bytes]]]:
-        """For each text: tokens, known top words, their base score, the model's log10 probability, and the other words."""
+    def score(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], list[float], list[list[bytes]], list[np.ndarray]]:
+        """For each text: tokens, known top words, their base score, the log10 probability of these and of the end, and the other
+        words with the model's probability of each, which is mixed with their frequency where their counts are."""
         if self.index is None:
             self._open()
         if self.extra > REMEMBERED:
@@ -283,14 +283,15 @@ class Scorer:
         last = np.cumsum(per_doc) - 1
         whole = np.r_[0.0, np.cumsum(logs)]
         word = whole[word_at + n] - whole[word_at]
-        mixed = np.log10(MIX * self._freq[top] + (1 - MIX) * np.exp(word) + 1e-300)
+        mixed = np.where(idx < self.top, np.log10(MIX * self._freq[top] + (1 - MIX) * np.exp(word) + 1e-300), 0.0)
         score = np.bincount(doc, weights=mixed, minlength=len(docs)) + logs[last] / np.log(10)
         rare = np.flatnonzero(idx >= self.top)
         others: list[list[bytes]] = [[] for _ in docs]
         first = ends - n_words
         for i, d in zip(rare.tolist(), doc[rare].tolist(), strict=True):
             others[d].append(docs[d][i - first[d]])
-        return (n_words + 1).tolist(), known.tolist(), base.tolist(), score.tolist(), others
+        chances = np.split(np.exp(word[rare]), np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))[:-1]) if docs else []
+        return (n_words + 1).tolist(), known.tolist(), base.tolist(), score.tolist(), others, chances
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -313,6 +314,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def subword_counts(counts: DataFrame, tokenizer: str, size: int) -> np.ndarray:
+    """How often each id of the vocabulary occurs in the words of `counts`, all of them; a task sends its sums alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, total = _coder(tokenizer), np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            ids = coder.encode_words(batch.column("word").to_pylist())
+            n = np.fromiter(map(len, ids), np.int64, len(ids)) // coder.dtype.itemsize
+            # counts are whole numbers far below 2^53, so sums of them as floats are exact
+            total += np.bincount(np.frombuffer(b"".join(ids), dtype=coder.dtype), weights=np.repeat(batch.column("c").to_numpy(), n), minlength=size).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
+
+    got = counts.select("word", "c").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    freq = np.zeros(size)
+    freq[got["id"].to_numpy()] = got["n"].to_numpy()
+    return freq
+
+
 def train(docs: DataFrame, counts: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int = SAMPLE) -> Scorer:
     """`docs`: the training documents; `counts`: their words."""
     top = counts.orderBy(F.desc("c"), "word").limit(top_words).toArrow()
@@ -323,7 +343,7 @@ def train(docs: DataFrame, counts: DataFrame, tokenizer: str, top_words: int = T
     size = len(coder.ends_word)
     ids = coder.encode(words)
     n = np.array([len(x) // coder.dtype.itemsize for x in ids], dtype=np.int64)
-    freq = np.bincount(np.frombuffer(b"".join(ids), dtype=coder.dtype), weights=np.repeat(c, n), minlength=size) if len(words) else np.zeros(size)
+    freq = subword_counts(counts, tokenizer, size)
     rows = docs.select("text", F.xxhash64("doc_id").alias("order"), "doc_id").orderBy("order", "doc_id").limit(most)
     bounded, held = [], 0
     for t in rows.select("text").toArrow()["text"].to_pylist():
@@ -347,26 +367,30 @@ def score(docs: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int
 
     A null text is empty: its only token is the end. Rows with a null doc_id count as held out; repeated ids keep their own
     rows. Other columns are not read. The `top_words` commonest words have their counts sent to every executor; all other words of
-    a text meet their counts in a join, so no table that grows with the corpus is sent, and every word counts in full."""
+    a text meet their counts in a join, and are mixed with their frequency there by the same rule, so no table that grows with the
+    corpus is sent, and every word counts in full."""
     docs = docs.select("doc_id", "text")
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS))
     counts = materialize(word_counts(learn), "word-counts")
     scorer = train(learn, counts, tokenizer, top_words, most)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary()))]
+    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("chance", pa.list_(pa.float64()))]
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in chunks(batches, most=3 << 20):
-            n, known, base, got, rare = sent.value.score(texts(batch))
+            n, known, base, got, rare, chance = sent.value.score(texts(batch))
             ids = batch.column("doc_id")
-            yield record_batch(schema, list(range(row, row + len(n))), ids.cast(pa.int64()), held_out_of(ids.to_pylist(), FOLDS), n, known, base, got, rare)
+            yield record_batch(schema, list(range(row, row + len(n))), ids.cast(pa.int64()), held_out_of(ids.to_pylist(), FOLDS), n, known, base, got, rare, chance)
             row += len(n)
         sent.value.close()  # the worker lives on
 
-    found = materialize(docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"), "scored")
+    found = materialize(docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, chance array<double>"), "scored")
     floor = scorer.total + ADD * (scorer.types + 1)
-    rest = found.select("key", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rest = rest.groupBy("key").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(floor))).alias("rest"), F.count("c").alias("more"))
-    return found.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+    rest = found.select("key", F.explode(F.arrays_zip("rare", "chance")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.chance").alias("chance")).join(counts, "word", "left")
+    c = F.coalesce("c", F.lit(0))
+    mixed = F.log10(MIX * c / F.lit(max(scorer.total, 1)) + (1 - MIX) * F.col("chance") + F.lit(1e-300))
+    rest = rest.groupBy("key").agg(F.sum(F.log10((c + ADD) / F.lit(floor))).alias("rest"), F.count("c").alias("more"), F.sum(mixed).alias("mixed"))
+    whole = [(F.col(x) + F.coalesce(y, F.lit(0.0))).alias(x) for x, y in (("base_score", "rest"), ("score", "mixed"))]
+    return found.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"), *whole)

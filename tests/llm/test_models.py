@@ -72,6 +72,12 @@ def test_lm_base_as_brute_force(spark, top):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.score < 0
 
 
+def test_lm_mixes_rare_words_as_the_top_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few, all_ = ({r.doc_id: r.score for r in lm.score(docs, WORDS, top_words=top).collect()} for top in (5, lm.TOP_WORDS))
+    assert few.keys() == all_.keys() and all(abs(few[i] - x) < 1e-4 * abs(x) for i, x in all_.items())
+
+
 def test_lm_beats_word_frequencies_on_held_out_documents(spark):
     held = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
