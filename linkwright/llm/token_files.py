@@ -77,7 +77,11 @@ class WordEncoder:
         pieces, letters, odd, cut = set(), [], [], []
         for w in new:
             if w.isalpha():
-                pieces.add(w)
+                # a text with '<|' keeps its capitals, which `bare` does not lower-case
+                if w.islower() or not self.lower:
+                    pieces.add(w)
+                else:
+                    odd.append(w)
             elif _PLAIN(w) and b"<|" not in w:
                 parts = _PIECE(w)
                 pieces.update(parts)

@@ -28,6 +28,12 @@ def test_words_as_the_library():
         t.REMEMBERED = known
 
 
+def test_capitals_of_a_text_that_is_not_lower_cased():
+    texts = ["Hello <| WORLD", "hello world", "<|endoftext|> Hello heLLo It'S A b", "HELLO"]
+    coder = t.WordEncoder(PATH)
+    assert [np.frombuffer(x, coder.dtype).tolist() + [2] for x in coder.encode([x.encode() for x in texts])] == ids_of(texts)
+
+
 def check(spark, docs, tmp, **options):
     rows = sorted(((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     manifest = t.write(docs, PATH, f"file://{tmp}", **options)
