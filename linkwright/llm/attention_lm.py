@@ -1,16 +1,24 @@
 """Operator 3: language-model scoring with causal self-attention, trained and run in numpy.
 
-Texts become words, words become subword ids of a public vocabulary. One attention layer reads at most WINDOW ids
-back: windows of WINDOW ids overlap by WINDOW - STEP, and each id is scored once, in the window where it
-is among the last STEP. The next id is predicted in two softmaxes, its class and its place in the class.
-Windows are scored in batches with one mask. The score of a word mixes the model with the frequency of
-the word in all training documents, which are counted in full; only the weights of the attention layer are
-learned on a bounded sample of them."""
+A text is a row of words, `[^\\x20\\x09-\\x0D]+` in lower case, and an end. A word becomes subword ids of a public
+vocabulary, a mark standing before an id that goes on with a word where the vocabulary would also let the word
+end. A word that its ids do not give back byte by byte (capitals beyond ASCII, say) is spelled in bytes. So
+different texts have different sequences, and the probabilities of all sequences add up to 1.
+
+At each place the model first says what comes, if there is a choice: the same word goes on, a new word, or the end. Then it
+says which id, first its class and then its place in the class. Both are read from one attention layer that looks back
+WINDOW ids at most: windows of WINDOW ids overlap by WINDOW - STEP, and each id is scored once, in the window
+where it is among the last STEP. Windows are scored in batches with one mask.
+
+The model learns from every window of every training document. Each task makes one pass of adaptive gradient steps over its
+partition from the same weights; the changes of each weight row are averaged by how often the row was met,
+in a DataFrame aggregation."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -21,194 +29,381 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .common import LOWER, chunks, held_out, held_out_of, record_batch, texts
-from .token_files import WordEncoder, _coder
+from .token_files import _coder
 
 #: Ids that a window holds, ids that it scores, size of a vector.
 WINDOW, STEP, SIZE = 24, 16, 16
-#: Words whose counts are sent to the executors at most, training documents whose ids the weights are learned on at most.
-TOP_WORDS, SAMPLE = 300_000, 1500
-#: Texts are taken in whole until they hold so many bytes.
-SAMPLE_BYTES = 3 << 20
-#: Share of the word frequencies in the mixture.
-MIX = 0.4
+#: Words whose counts are sent to the executors at most, and their bytes at most; all others are joined.
+TOP_WORDS, TOP_BYTES = 300_000, 64
+#: Passes over all training documents, step sizes of weight rows and of matrices, windows of the first and of later steps.
+ROUNDS, RATE, DENSE_RATE, FIRST_BATCH, BATCH = 1, 0.1, 0.02, 48, 768
 FOLDS, ADD = 10, 0.1
 #: Scores are cut off here before they are raised to powers of e.
 HIGHEST, TINY = np.float32(60), np.float32(1e-30)
-#: Words besides the top ones that a worker remembers, words of a partial count.
-REMEMBERED, COUNTED = 300_000, 400_000
+#: Words besides the top ones that a worker remembers, words of a partial count, bytes of sequences held at once.
+REMEMBERED, COUNTED, HELD = 300_000, 400_000, 2 << 20
+#: What comes at a place: the word goes on within a piece, it goes on after one, a new word, the end.
+INSIDE, ON, NEW, END = range(4)
+
+
+class Speller:
+    """Sequences of words: their ids as bytes, with a mark before an id that goes on with a word after a piece that could end it."""
+
+    def __init__(self, path: str):
+        self.coder = _coder(path)
+        vocab = self.coder.tok.get_vocab()
+        self.size = len(self.coder.ends_word)
+        self.dtype = self.coder.dtype if self.size < np.iinfo(self.coder.dtype).max else np.dtype("<u4")
+        self.mark = int(np.iinfo(self.dtype).max)
+        # fixed values of such vocabularies: printable bytes stand for themselves, the others for code points from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        of_char = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        char = {b: c for c, b in of_char.items()}
+        self.closes = self.coder.ends_word.copy()
+        self.bytes_of: list[bytes | None] = [None] * self.size
+        special = {t.content for t in self.coder.tok.get_added_tokens_decoder().values()}
+        for token, i in vocab.items():
+            if token in special:
+                self.closes[i], self.bytes_of[i] = True, token.encode()
+                continue
+            body = token.removesuffix("</w>")
+            if all(c in of_char for c in body):
+                self.bytes_of[i] = bytes(of_char[c] for c in body)
+        self.byte = [vocab[char[b]] for b in range(256)]
+        self.last_byte = [vocab[char[b] + "</w>"] for b in range(256)]
+
+    def spell(self, words: list[bytes]) -> list[bytes]:
+        """The sequences of different lower-cased words."""
+        ids = self.coder.encode_words(words)
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.coder.dtype.itemsize
+        flat = np.frombuffer(b"".join(ids), dtype=self.coder.dtype).astype(self.dtype)
+        stop = np.cumsum(n)
+        odd = np.zeros(len(words), dtype=bool)
+        odd[n == 0] = True
+        some = np.flatnonzero(n)
+        odd[some[~self.closes[flat[stop[some] - 1]]]] = True
+        for i in [i for i, w in enumerate(words) if not w.isascii()]:
+            if not odd[i]:
+                odd[i] = b"".join([self.bytes_of[k] or b"\xff" for k in flat[stop[i] - n[i] : stop[i]].tolist()]) != words[i]
+        # marks go before ids that follow a closing one within a word
+        closed = np.r_[False, self.closes[flat[:-1]]] if len(flat) else np.array([], dtype=bool)
+        closed[(stop - n)[some]] = False
+        at = np.flatnonzero(closed)
+        marked = np.insert(flat, at, self.mark)
+        more = np.r_[0, np.cumsum(closed)]
+        width = self.dtype.itemsize
+        data, begin = marked.tobytes(), (stop - n + more[stop - n]) * width
+        end = (stop + more[stop]) * width
+        out = [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            w = words[i]
+            out[i] = np.array([*[self.byte[b] for b in w[:-1]], self.last_byte[w[-1]]], dtype=self.dtype).tobytes()
+        return out
+
+
+@lru_cache(maxsize=2)
+def _speller(path: str) -> Speller:
+    return Speller(path)
+
+
+def lower(raw: bytes) -> bytes:
+    return raw.translate(LOWER)
+
+
+class Places:
+    """The places of some texts one after the other, an end after each: slot, kind, whether the kind was a choice, slot before."""
+
+    def __init__(self, model: AttentionModel, sequences: list[bytes]):
+        unit = np.dtype(model.dtype).itemsize
+        flat = np.frombuffer(b"".join(sequences), dtype=model.dtype)
+        stop = np.cumsum(np.fromiter(map(len, sequences), np.int64, len(sequences)) // unit)
+        marks = flat == np.iinfo(model.dtype).max
+        keep = ~marks
+        on = (np.r_[False, marks[:-1]] if len(flat) else marks)[keep]
+        ids = flat[keep]
+        stop = np.r_[0, np.cumsum(keep)][stop]
+        n = np.diff(np.r_[0, stop])
+        self.length = n + 1
+        total = int(self.length.sum())
+        end = np.cumsum(self.length) - 1
+        inside = np.ones(total, dtype=bool)
+        inside[end] = False
+        at = np.flatnonzero(inside)
+        self.slot = np.zeros(total, dtype=np.int32)
+        self.slot[at] = model.slot[ids]
+        self.before = np.empty(total, dtype=np.int32)
+        self.before[1:] = self.slot[:-1]
+        first = end - n
+        self.before[first] = model.begin
+        closed = np.ones(total, dtype=bool)
+        closed[at + 1] = model.closes[ids]
+        self.kind = np.full(total, END, dtype=np.int8)
+        self.kind[at] = np.where(on, ON, NEW)
+        self.kind[~closed & inside] = INSIDE
+        self.first = np.zeros(total, dtype=bool)
+        self.first[first] = True
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each window: its slots, the mask of places before the text, the place of its first scored input and the end of its text."""
+        n_win = -(-self.length // STEP)
+        owner = np.repeat(np.arange(len(self.length)), n_win)
+        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+        base = (np.cumsum(self.length) - self.length)[owner]
+        stop = base + self.length[owner]
+        at = base + k * STEP
+        place = at[:, None] + np.arange(WINDOW)[None, :] - (WINDOW - STEP)
+        inside = (place >= base[:, None]) & (place < stop[:, None])
+        return np.where(inside, self.before[np.clip(place, 0, max(len(self.before) - 1, 0))], 0), np.where(inside, np.float32(0), np.float32(-1e9)), at, stop
 
 
 class AttentionModel:
-    """Tables of query, key, value and direct vectors of each slot, and the two output layers.
+    """One layer: a vector for each slot, matrices of queries, keys and values, and the outputs.
+
+    Slots are the ids that occur in training text, by frequency, and one for all others, which share its probability;
+    one more vector stands for the begin of a text."""
 
-    Slots are the ids that occur, by frequency, and one for all others; slot 0 ends a text and also begins it."""
+    #: Rows of slots, and what is not kept by slot.
+    rows, dense = ("e", "o", "b"), ("wq", "wk", "wv", "near", "wc", "bc", "kinds", "wn", "bn")
 
-    def __init__(self, counts: np.ndarray, seed: int = 1):
-        """`counts`: how often each id of the vocabulary occurs; its last place stands for the end of a text."""
-        seen = np.flatnonzero(counts[:-1] > 0)
+    def __init__(self, counts: np.ndarray, closes: np.ndarray, dtype: str = "<u2", seed: int = 1):
+        """`counts`: how often each id occurs; `closes`: whether a word may end after it."""
+        self.dtype, self.closes = np.dtype(dtype).str, closes
+        seen = np.flatnonzero(counts > 0)
         seen = seen[np.argsort(-counts[seen], kind="stable")]
-        self.slot = np.full(len(counts), len(seen) + 1, dtype=np.int32)
-        self.slot[seen] = np.arange(1, len(seen) + 1)
-        self.slot[-1] = 0
-        n = len(seen) + 2
-        self.unseen = max(1, len(counts) - 1 - len(seen))
-        weight = np.r_[max(counts[-1], 1.0), counts[seen], 1.0]
+        n = len(seen) + 1
+        self.slot = np.full(len(counts), n - 1, dtype=np.int32)
+        self.slot[seen] = np.arange(n - 1)
+        self.begin, self.n = n, n
+        self.unseen = max(1, len(counts) - len(seen))
+        weight = np.r_[counts[seen], 0.5]
         # common slots are in small classes, rare ones in large ones, so an id costs few steps on average
         sizes = []
         while sum(sizes) < n:
             sizes.append(min(int(8 * 1.3 ** len(sizes)), n - sum(sizes)))
-        self.classes, self.sizes, self.width = len(sizes), sizes, max(sizes)
-        order = np.r_[np.argsort(-weight[:-1], kind="stable"), n - 1]
-        first = np.cumsum(sizes) - sizes
-        self.cls, self.place = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.int32)
-        self.cls[order] = np.repeat(np.arange(self.classes), sizes)
-        self.place[order] = np.arange(n) - np.repeat(first, sizes)
+        self.sizes, self.classes = sizes, len(sizes)
+        self.off = np.r_[0, np.cumsum(sizes)]
+        self.cls = np.repeat(np.arange(self.classes), sizes).astype(np.uint8)
         rng = np.random.default_rng(seed)
-        draw = lambda *s: rng.normal(0, 0.3 / np.sqrt(SIZE), s).astype(np.float32)
-        self.q, self.k, self.v, self.e = (draw(n, SIZE) for _ in range(4))
+        draw = lambda *s: rng.normal(0, 0.5 / np.sqrt(SIZE), s).astype(np.float32)
+        self.e, self.o = draw(n + 1, SIZE), draw(n, SIZE)
+        self.wq, self.wk, self.wv, self.wc, self.wn, self.kinds = draw(SIZE, SIZE), draw(SIZE, SIZE), draw(SIZE, SIZE), draw(SIZE, self.classes), draw(SIZE, 3), draw(3, SIZE)
         self.near = np.zeros(WINDOW, dtype=np.float32)  # by distance
-        self.wc, self.wm = draw(SIZE, self.classes), draw(self.classes, SIZE, self.width)
-        total = np.zeros(self.classes)
-        np.add.at(total, self.cls, weight)
-        self.bc = np.log(total / total.sum() + 1e-9).astype(np.float32)
-        self.bm = np.full((self.classes, self.width), -30, dtype=np.float32)
-        self.bm[self.cls, self.place] = np.log(weight / total[self.cls])
-        self.bm[self.bm < -30] = -30
-        self.ones = np.ones(max(WINDOW, self.classes, self.width), dtype=np.float32)
+        self.bn = np.zeros(3, dtype=np.float32)  # on, new, end
+        total = np.add.reduceat(weight, self.off[:-1])
+        self.bc = np.log(total / total.sum()).astype(np.float32)
+        self.b = np.log(weight / total[self.cls]).astype(np.float32)
+        self.ones = np.ones(max(WINDOW, self.classes, 3, *sizes), dtype=np.float32)
         back = WINDOW - STEP + np.arange(STEP)[:, None] - np.arange(WINDOW)[None, :]
         self.back = np.where(back >= 0, back, 0)
         self.mask = np.where(back >= 0, 0, -1e9).astype(np.float32)
-
-    names = ("q", "k", "v", "e", "near", "wc", "wm", "bc", "bm")
+        self.sums = None
 
     def _attend(self, x: np.ndarray, live: np.ndarray):
-        """x: windows of slots (n, WINDOW); live: 0 where a window has no id of its text. Vectors that predict what follows the last STEP."""
-        q, k, v = self.q[x[:, WINDOW - STEP :]], self.k[x], self.v[x]
+        """x: windows of slots (n, WINDOW); live: below 0 where a window has no id of its text. Vectors that predict what follows the last STEP."""
+        e = self.e[x]
+        own = e[:, WINDOW - STEP :]
+        q, k, v = own.reshape(-1, SIZE) @ self.wq, e.reshape(-1, SIZE) @ self.wk, e.reshape(-1, SIZE) @ self.wv
+        q, k, v = (y.reshape(len(x), -1, SIZE) for y in (q, k, v))
         s = np.matmul(q, k.transpose(0, 2, 1))
         s *= np.float32(1 / np.sqrt(SIZE))
         s += self.near[self.back] + self.mask
         s += live[:, None, :]
         np.exp(np.minimum(s, HIGHEST, out=s), out=s)
         s /= (s.reshape(-1, WINDOW) @ self.ones[:WINDOW]).reshape(len(x), STEP, 1) + TINY
-        return self.e[x[:, WINDOW - STEP :]] + np.matmul(s, v), s, q, k, v
+        return own + np.matmul(s, v), s, q, k, v, e
 
-    def windows(self, slots: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows over texts that stand one after the other: their slots, the mask of places before the text, and for each
-        window the place of its first scored input. Inputs are the begin and all ids of a text but the last."""
-        n_win = -(-length // STEP)
-        owner = np.repeat(np.arange(len(length)), n_win)
-        k = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        base = (np.cumsum(length) - length)[owner]
-        at = base + k * STEP
-        place = at[:, None] + np.arange(WINDOW)[None, :] - (WINDOW - STEP)
-        inside = (place >= base[:, None]) & (place < (base + length[owner])[:, None])
-        return np.where(inside, slots[np.clip(place, 0, len(slots) - 1)], 0), np.where(inside, np.float32(0), np.float32(-1e9)), at
-
-    def logs(self, slots: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Natural log probability of each slot given those before it in its text; `slots`: texts one after the other, each ending in slot 0."""
-        inputs = np.empty_like(slots)
-        inputs[1:] = slots[:-1]
-        inputs[np.cumsum(length) - length] = 0
-        out = np.empty(len(slots), dtype=np.float32)
-        x, live, at = self.windows(inputs, length)
-        end = np.repeat(np.cumsum(length), -(-length // STEP))
-        for s in range(0, len(x), 2048):
-            h = self._attend(x[s : s + 2048], live[s : s + 2048])[0].reshape(-1, SIZE)
-            place = (at[s : s + 2048, None] + np.arange(STEP)).reshape(-1)
-            ok = place < np.repeat(end[s : s + 2048], STEP)
+    def _softmax(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probability of the targets; z is overwritten with powers of e."""
+        np.minimum(z, HIGHEST, out=z)
+        got = z[np.arange(len(z)), target]
+        np.exp(z, out=z)
+        return got - np.log(z @ self.ones[: z.shape[1]])
+
+    def logs(self, places: Places) -> np.ndarray:
+        """Natural log probability of each place given those before it in its text."""
+        out = np.zeros(len(places.slot), dtype=np.float32)
+        x, live, at, end = places.windows()
+        for s in range(0, len(x), 1024):
+            h = self._attend(x[s : s + 1024], live[s : s + 1024])[0].reshape(-1, SIZE)
+            place = (at[s : s + 1024, None] + np.arange(STEP)).reshape(-1)
+            ok = place < np.repeat(end[s : s + 1024], STEP)
             h, place = h[ok], place[ok]
-            target = slots[place]
-            out[place] = self._predict(h, self.cls[target], self.place[target])
-        unseen = slots == len(self.cls) - 1
-        if unseen.any():
-            out[unseen] -= np.float32(np.log(self.unseen))
+            kind = places.kind[place]
+            got = np.zeros(len(h), dtype=np.float32)
+            choice = np.flatnonzero(kind != INSIDE)
+            z = h[choice] @ self.wn + self.bn
+            z[places.first[place[choice]], 0] = -HIGHEST * 2  # a text does not go on at its begin
+            got[choice] = self._softmax(z, kind[choice] - 1)
+            word = np.flatnonzero(kind != END)
+            got[word] += self._predict(h[word] + self.kinds[kind[word]], places.slot[place[word]])
+            out[place] = got
+        lost = (places.slot == self.n - 1) & (places.kind != END)
+        out[lost] -= np.float32(np.log(self.unseen))
         return out
 
-    def _predict(self, h: np.ndarray, c: np.ndarray, m: np.ndarray) -> np.ndarray:
+    def _predict(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         z = h @ self.wc
         z += self.bc
-        np.minimum(z, HIGHEST, out=z)
-        got = z[np.arange(len(h)), c]
-        np.exp(z, out=z)
-        got -= np.log(z @ self.ones[: self.classes])
-        order = np.argsort(c.astype(np.uint16), kind="stable")
-        h, m = h[order], m[order]
+        c = self.cls[target]
+        got = self._softmax(z, c)
+        order = np.argsort(c, kind="stable")
+        h, target = h[order], target[order]
         edge = np.searchsorted(c[order], np.arange(self.classes + 1))
         inner = np.empty(len(h), dtype=np.float32)
         for i in np.flatnonzero(np.diff(edge)).tolist():
-            a, b = edge[i], edge[i + 1]
-            z = h[a:b] @ self.wm[i, :, : self.sizes[i]]
-            z += self.bm[i, : self.sizes[i]]
-            np.minimum(z, HIGHEST, out=z)
-            inner[a:b] = z[np.arange(b - a), m[a:b]]
-            np.exp(z, out=z)
-            inner[a:b] -= np.log(z @ self.ones[: self.sizes[i]])
+            lo, hi = self.off[i], self.off[i + 1]
+            for a in range(edge[i], edge[i + 1], 4096):
+                part = slice(a, min(a + 4096, edge[i + 1]))
+                z = h[part] @ self.o[lo:hi].T
+                z += self.b[lo:hi]
+                inner[part] = self._softmax(z, target[part] - lo)
         got[order] += inner
         return got
 
-    def fit(self, slots: np.ndarray, length: np.ndarray, rounds: int = 3, batch: int = 192, rate: float = 0.12, seed: int = 2) -> AttentionModel:
-        """Adaptive gradient steps on the log-likelihood, windows in a fixed random order."""
-        inputs = np.empty_like(slots)
-        inputs[1:] = slots[:-1]
-        inputs[np.cumsum(length) - length] = 0
-        x, live, at = self.windows(inputs, length)
-        end = np.repeat(np.cumsum(length), -(-length // STEP))
-        seen = {n: np.full_like(getattr(self, n), 1e-4) for n in self.names}
-        rng = np.random.default_rng(seed)
-        scale = np.float32(1 / np.sqrt(SIZE))
-        for _ in range(rounds):
-            order = rng.permutation(len(x))
-            for s in range(0, len(order), batch):
-                pick = order[s : s + batch]
-                xs, back = x[pick], WINDOW - STEP
-                h3, a, q, k, v = self._attend(xs, live[pick])
-                place = at[pick, None] + np.arange(STEP)
-                ok = (place < end[pick, None]).reshape(-1)
-                target = slots[np.minimum(place, len(slots) - 1)].reshape(-1)[ok]
-                h = h3.reshape(-1, SIZE)[ok]
-                c, m = self.cls[target], self.place[target]
-                row, w = np.arange(len(h)), np.float32(1 / len(h))
-                z = h @ self.wc + self.bc
-                p = np.exp(z - z.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[row, c] -= 1
-                p *= w
-                g = {"wc": h.T @ p, "bc": p.sum(axis=0), "wm": np.zeros_like(self.wm), "bm": np.zeros_like(self.bm)}
-                gh = p @ self.wc.T
-                by = np.argsort(c, kind="stable")
-                edge = np.searchsorted(c[by], np.arange(self.classes + 1))
-                for i in np.flatnonzero(np.diff(edge)).tolist():
-                    r = by[edge[i] : edge[i + 1]]
-                    z = h[r] @ self.wm[i, :, : self.sizes[i]] + self.bm[i, : self.sizes[i]]
-                    p = np.exp(z - z.max(axis=1, keepdims=True))
-                    p /= p.sum(axis=1, keepdims=True)
-                    p[np.arange(len(r)), m[r]] -= 1
-                    p *= w
-                    g["wm"][i, :, : self.sizes[i]], g["bm"][i, : self.sizes[i]] = h[r].T @ p, p.sum(axis=0)
-                    gh[r] += p @ self.wm[i, :, : self.sizes[i]].T
-                full = np.zeros((len(pick) * STEP, SIZE), dtype=np.float32)
-                full[ok] = gh
-                gctx = full.reshape(len(pick), STEP, SIZE)
-                ga = np.matmul(gctx, v.transpose(0, 2, 1))
-                gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
-                flat_q, flat = xs[:, back:].reshape(-1), xs.reshape(-1)
-                for n, at_, val in (("e", flat_q, full), ("q", flat_q, np.matmul(gs, k) * scale), ("k", flat, np.matmul(gs.transpose(0, 2, 1), q) * scale), ("v", flat, np.matmul(a.transpose(0, 2, 1), gctx))):
-                    g[n] = np.zeros_like(getattr(self, n))
-                    np.add.at(g[n], at_, val.reshape(-1, SIZE))
-                g["near"] = np.bincount(self.back.reshape(-1), weights=gs.sum(axis=0).reshape(-1) * (self.mask.reshape(-1) == 0), minlength=WINDOW).astype(np.float32)
-                for n in self.names:
-                    seen[n] += g[n] ** 2
-                    getattr(self, n)[...] -= rate * g[n] / np.sqrt(seen[n])
-        return self
-
-
-class Scorer:
-    """What a worker needs: the model, the counts of the top words, and N and V of all words."""
-
-    def __init__(self, model: AttentionModel, words: list[bytes], counts: np.ndarray, pieces: np.ndarray, n: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
-        """`pieces`: the subwords of all top words in a row, as slots of the model; `n`: how many each has."""
-        self.model, self.words, self.counts = model, words, counts
-        self.pieces, self.n, self.start = [pieces], n, np.cumsum(n) - n
+    def learn(self, places: Places, rng: np.random.Generator) -> None:
+        """One pass of adaptive gradient steps over all windows of these places, in a random order."""
+        if self.sums is None:
+            self.sums = {n: np.full_like(getattr(self, n), 0.1 if n in self.rows else 1e-3) for n in (*self.rows, *self.dense)}
+            self.steps, self.met, self.asked = 0, np.zeros(self.n + 1), np.zeros(self.n)
+        x, live, at, end = places.windows()
+        order = rng.permutation(len(x))
+        s = 0
+        while s < len(order):
+            size = min(BATCH, FIRST_BATCH + 2 * self.steps)
+            self._step(places, *(y[order[s : s + size]] for y in (x, live, at, end)))
+            s += size
+            self.steps += 1
+
+    def _down(self, name: str, g: np.ndarray, at=None) -> None:
+        """One adaptive step down the gradient g of a table, or of its rows `at`."""
+        w, seen = getattr(self, name), self.sums[name]
+        rate = RATE if name in self.rows else DENSE_RATE
+        if at is None:
+            seen += g * g
+            w -= rate * g / np.sqrt(seen)
+        else:
+            new = seen[at] + g * g
+            seen[at] = new
+            w[at] -= rate * g / np.sqrt(new)
+
+    def _step(self, places: Places, x: np.ndarray, live: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
+        back, scale = WINDOW - STEP, np.float32(1 / np.sqrt(SIZE))
+        h3, a, q, k, v, e = self._attend(x, live)
+        place = (at[:, None] + np.arange(STEP)).reshape(-1)
+        ok = np.flatnonzero(place < np.repeat(end, STEP))
+        place = place[ok]
+        h = h3.reshape(-1, SIZE)[ok]
+        kind, target = places.kind[place], places.slot[place]
+        gh = np.zeros_like(h)
+        mean = np.float32(1 / len(h))
+        # what comes
+        choice = np.flatnonzero(kind != INSIDE)
+        z = h[choice] @ self.wn + self.bn
+        z[places.first[place[choice]], 0] = -HIGHEST * 2
+        self._gap(z, kind[choice] - 1)
+        gh[choice] = z @ self.wn.T
+        down = {"wn": h[choice].T @ z * mean, "bn": z.sum(axis=0) * mean}
+        # which id
+        word = np.flatnonzero(kind != END)
+        of = kind[word]
+        hw, tw = h[word] + self.kinds[of], target[word]
+        c = self.cls[tw]
+        z = hw @ self.wc + self.bc
+        self._gap(z, c)
+        down |= {"wc": hw.T @ z * mean, "bc": z.sum(axis=0) * mean}
+        gw = z @ self.wc.T
+        by = np.argsort(c, kind="stable")
+        edge = np.searchsorted(c[by], np.arange(self.classes + 1))
+        for i in np.flatnonzero(np.diff(edge)).tolist():
+            lo, hi = self.off[i], self.off[i + 1]
+            r = by[edge[i] : edge[i + 1]]
+            hr = hw[r]
+            z = hr @ self.o[lo:hi].T
+            z += self.b[lo:hi]
+            self._gap(z, tw[r] - lo)
+            gw[r] += z @ self.o[lo:hi]
+            self._down("o", z.T @ hr, slice(lo, hi))
+            self._down("b", z.sum(axis=0), slice(lo, hi))
+        self.asked += np.bincount(tw, minlength=self.n)
+        gh[word] += gw
+        down["kinds"] = np.stack([gw[of == t].sum(axis=0) for t in range(3)]) * mean
+        # back through the attention
+        full = np.zeros((len(x) * STEP, SIZE), dtype=np.float32)
+        full[ok] = gh
+        ctx = full.reshape(len(x), STEP, SIZE)
+        ga = np.matmul(ctx, v.transpose(0, 2, 1))
+        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
+        gq, gk, gv = np.matmul(gs, k) * scale, np.matmul(gs.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), ctx)
+        fe, fq, fk, fv = e.reshape(-1, SIZE), gq.reshape(-1, SIZE), gk.reshape(-1, SIZE), gv.reshape(-1, SIZE)
+        down |= {"wq": e[:, back:].reshape(-1, SIZE).T @ fq * mean, "wk": fe.T @ fk * mean, "wv": fe.T @ fv * mean}
+        down["near"] = np.bincount(self.back.reshape(-1), weights=gs.sum(axis=0).reshape(-1) * (self.mask.reshape(-1) == 0), minlength=WINDOW).astype(np.float32) * mean
+        ge = (fk @ self.wk.T + fv @ self.wv.T).reshape(len(x), WINDOW, SIZE)
+        ge[:, back:] += ctx + (fq @ self.wq.T).reshape(len(x), STEP, SIZE)
+        flat = x.reshape(-1)
+        real = np.flatnonzero(live.reshape(-1) == 0)
+        flat = flat[real]
+        self.met += np.bincount(flat, minlength=self.n + 1)
+        order = np.argsort(flat.astype(np.uint16) if self.n < 1 << 16 else flat, kind="stable")
+        flat = flat[order]
+        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        self._down("e", np.add.reduceat(ge.reshape(-1, SIZE)[real[order]], first, axis=0), flat[first])
+        for name, g in down.items():
+            self._down(name, g)
+
+    def _gap(self, z: np.ndarray, target: np.ndarray) -> None:
+        """Scores to probabilities less 1 at the target: the gradient of the loss."""
+        np.minimum(z, HIGHEST, out=z)
+        np.exp(z, out=z)
+        z /= (z @ self.ones[: z.shape[1]])[:, None]
+        z[np.arange(len(z)), target] -= 1
+
+    def copy(self) -> AttentionModel:
+        new = object.__new__(AttentionModel)
+        new.__dict__ |= self.__dict__
+        for n in (*self.rows, *self.dense):
+            setattr(new, n, getattr(self, n).copy())
+        return new
+
+    def flat(self, old: AttentionModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What `learn` changed since `old`: rows (row number, weight, SIZE values), matrices after the rows of slots."""
+        rows, weight, value = [], [], []
+
+        def put(first: int, change: np.ndarray, w: np.ndarray) -> None:
+            some = np.flatnonzero(w > 0)
+            rows.append(first + some)
+            weight.append(w[some])
+            value.append(change[some])
+
+        put(0, self.e - old.e, self.met)
+        put(self.n + 1, self.o - old.o, self.asked)
+        bias = np.zeros((self.n, SIZE), dtype=np.float32)
+        bias[:, 0] = self.b - old.b
+        put(2 * self.n + 1, bias, self.asked)
+        rest = np.concatenate([(getattr(self, n) - getattr(old, n)).reshape(-1) for n in self.dense])
+        rest = np.r_[rest, np.zeros(-len(rest) % SIZE, dtype=np.float32)].reshape(-1, SIZE)
+        put(3 * self.n + 1, rest, np.full(len(rest), float(max(self.asked.sum(), 1))))
+        return np.concatenate(rows), np.concatenate(weight), np.concatenate(value)
+
+    def add(self, row: np.ndarray, value: np.ndarray) -> None:
+        """Add averaged changes, as `flat` numbers them."""
+        parts = np.searchsorted(row, [0, self.n + 1, 2 * self.n + 1, 3 * self.n + 1, 1 << 62])
+        a, b, c, d, _ = parts
+        self.e[row[a:b]] += value[a:b]
+        self.o[row[b:c] - (self.n + 1)] += value[b:c]
+        self.b[row[c:d] - (2 * self.n + 1)] += value[c:d, 0]
+        rest, at = value[d:].reshape(-1), 0
+        for n in self.dense if len(rest) else ():
+            w = getattr(self, n)
+            w += rest[at : at + w.size].reshape(w.shape)
+            at += w.size
+
+
+class Encoder:
+    """What a worker needs to spell texts and to add up the base scores of their words: the top words and their counts, N and V."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
+        self.words, self.counts = words, counts
         self.total, self.types, self.ends, self.tokenizer = total, types, ends, tokenizer
         self.index: dict[bytes, int] | None = None
 
@@ -216,82 +411,41 @@ class Scorer:
         return np.log10((c + ADD) / (self.total + ADD * (self.types + 1)))
 
     def _open(self) -> None:
-        self.coder: WordEncoder = _coder(self.tokenizer)
         self._base = np.r_[self.base(self.counts), 0.0]
-        self._freq = np.r_[self.counts / max(self.total, 1), 0.0].astype(np.float64)
         self.index = {w: i for i, w in enumerate(self.words)}
-        self.top = len(self.words)
-        self.extra = 0
+        self.spelled: dict[bytes, bytes] = {}
 
     def close(self) -> None:
-        if self.index is not None:
-            self._forget()
-            self.index = None
-
-    def _forget(self) -> None:
-        for w in list(self.index)[self.top :]:
-            del self.index[w]
-        used = int(self.n[: self.top].sum())
-        self.pieces = [np.concatenate(self.pieces)[:used]]
-        self.start, self.n, self.extra = self.start[: self.top], self.n[: self.top], 0
-
-    def _add(self, words: list[bytes]) -> None:
-        """Subwords of words, as slots of the model."""
-        ids = self.coder.encode_words(words)
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // self.coder.dtype.itemsize
-        flat = self.model.slot[np.frombuffer(b"".join(ids), dtype=self.coder.dtype)]
-        self.start = np.r_[self.start, sum(map(len, self.pieces)) + np.cumsum(n) - n]
-        self.n = np.r_[self.n, n]
-        self.pieces.append(flat)
-
-    def score(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], list[float], list[list[bytes]], list[np.ndarray]]:
-        """For each text: tokens, known top words, their base score, the log10 probability of these and of the end, and the other
-        words with the model's probability of each, which is mixed with their frequency where their counts are."""
+        self.index, self.spelled = None, {}
+
+    def encode(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], list[list[bytes]], list[bytes]]:
+        """For each text: tokens, known top words, their base score and the end's, the other words, and the sequence."""
         if self.index is None:
             self._open()
-        if self.extra > REMEMBERED:
-            self._forget()
-        docs = [t.translate(LOWER).split() for t in raw]
+        docs = [lower(t).split() for t in raw]
         fresh: set[bytes] = set()
         for d in docs:
             fresh.update(d)
-        new = [w for w in fresh if w not in self.index]
+        if len(self.spelled) > REMEMBERED + len(self.words):
+            self.spelled = {w: s for w, s in self.spelled.items() if w in self.index}
+        new = list(fresh.difference(self.spelled))
         if new:
-            base = len(self.start)
-            self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            self._add(new)
-            self.extra += len(new)
-        if len(self.pieces) > 1:
-            self.pieces = [np.concatenate(self.pieces)]
+            self.spelled.update(zip(new, _speller(self.tokenizer).spell(new), strict=True))
+        get = self.spelled.__getitem__
+        sequences = [b"".join(map(get, d)) for d in docs]
         n_words = np.fromiter(map(len, docs), np.int64, len(docs))
-        idx = np.fromiter(map(self.index.__getitem__, chain.from_iterable(docs)), np.int64, int(n_words.sum()))
-        top = np.minimum(idx, self.top)
+        top = len(self.words)
+        place = {w: self.index.get(w, top) for w in fresh}
+        idx = np.fromiter(map(place.__getitem__, chain.from_iterable(docs)), np.int64, int(n_words.sum()))
         doc = np.repeat(np.arange(len(docs)), n_words)
-        base = np.bincount(doc, weights=self._base[top], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
-        known = np.bincount(doc[idx < self.top], minlength=len(docs)) + (self.ends > 0)
-        # subwords of all words in a row, an end after each text
-        n = self.n[idx]
-        ends = np.cumsum(n_words)
-        per_doc = np.bincount(doc, weights=n, minlength=len(docs)).astype(np.int64) + 1
-        word_at = np.cumsum(n) - n + doc
-        slots = np.zeros(int(per_doc.sum()), dtype=np.int32)
-        rep = np.repeat(np.arange(len(idx)), n)
-        within = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-        if len(rep):
-            slots[word_at[rep] + within] = self.pieces[0][self.start[idx][rep] + within]
-        logs = self.model.logs(slots, per_doc).astype(np.float64)
-        last = np.cumsum(per_doc) - 1
-        whole = np.r_[0.0, np.cumsum(logs)]
-        word = whole[word_at + n] - whole[word_at]
-        mixed = np.where(idx < self.top, np.log10(MIX * self._freq[top] + (1 - MIX) * np.exp(word) + 1e-300), 0.0)
-        score = np.bincount(doc, weights=mixed, minlength=len(docs)) + logs[last] / np.log(10)
-        rare = np.flatnonzero(idx >= self.top)
+        base = np.bincount(doc, weights=self._base[idx], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
+        known = np.bincount(doc[idx < top], minlength=len(docs)) + (self.ends > 0)
         others: list[list[bytes]] = [[] for _ in docs]
-        first = ends - n_words
-        for i, d in zip(rare.tolist(), doc[rare].tolist(), strict=True):
-            others[d].append(docs[d][i - first[d]])
-        chances = np.split(np.exp(word[rare]), np.cumsum(np.fromiter(map(len, others), np.int64, len(others)))[:-1]) if docs else []
-        return (n_words + 1).tolist(), known.tolist(), base.tolist(), score.tolist(), others, chances
+        first = np.cumsum(n_words) - n_words
+        rare = np.flatnonzero(idx == top)
+        for i, d in zip((rare - first[doc[rare]]).tolist(), doc[rare].tolist(), strict=True):
+            others[d].append(docs[d][i])
+        return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, sequences
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -305,7 +459,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in chunks(batches):
             for t in texts(batch):
-                total.update(t.translate(LOWER).split())
+                total.update(lower(t).split())
             if len(total) >= COUNTED:
                 yield out()
                 total.clear()
@@ -314,83 +468,124 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def subword_counts(counts: DataFrame, tokenizer: str, size: int) -> np.ndarray:
-    """How often each id of the vocabulary occurs in the words of `counts`, all of them; a task sends its sums alone."""
+def top_words(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """Words above the least count that at most `most` words reach, told from a histogram of the counts, of at most TOP_BYTES bytes each."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    found, least = 0, None
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # some hundred rows at most
+        found += r["n"]
+        if found > most:
+            break
+        least = r["level"]
+    if least is None:
+        return [], np.array([])
+    got = counts.where((level >= least) & (F.octet_length("word") <= TOP_BYTES)).toArrow()
+    return got["word"].to_pylist(), np.array(got["c"].to_pylist(), dtype=np.float64)
+
+
+def _encoded(docs: DataFrame, encoder: Encoder) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(encoder)
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("rare", pa.list_(pa.binary())), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in chunks(batches, most=3 << 20):
+            n, known, base, rare, ids = sent.value.encode(texts(batch))
+            names = batch.column("doc_id")
+            yield record_batch(schema, list(range(row, row + len(n))), names.cast(pa.int64()), held_out_of(names.to_pylist(), FOLDS), n, known, base, rare, ids)
+            row += len(n)
+        sent.value.close()  # the worker lives on
+
+    return docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<binary>, ids binary")
+
+
+def id_counts(sequences: DataFrame, speller: Speller) -> np.ndarray:
+    """How often each id of the vocabulary occurs; a task sends its sums alone."""
+    size, dtype = speller.size, speller.dtype.str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = _coder(tokenizer), np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            ids = coder.encode_words(batch.column("word").to_pylist())
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // coder.dtype.itemsize
-            # counts are whole numbers far below 2^53, so sums of them as floats are exact
-            total += np.bincount(np.frombuffer(b"".join(ids), dtype=coder.dtype), weights=np.repeat(batch.column("c").to_numpy(), n), minlength=size).astype(np.int64)
+            for s in batch.column("ids").to_pylist():
+                ids = np.frombuffer(s, dtype=dtype)
+                total += np.bincount(ids[ids < size], minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    got = counts.select("word", "c").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = sequences.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     freq = np.zeros(size)
     freq[got["id"].to_numpy()] = got["n"].to_numpy()
     return freq
 
 
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int = SAMPLE) -> Scorer:
-    """`docs`: the training documents; `counts`: their words."""
-    top = counts.orderBy(F.desc("c"), "word").limit(top_words).toArrow()
-    words, c = top["word"].to_pylist(), np.array(top["c"].to_pylist(), dtype=np.float64)
-    total = counts.agg(F.count("*"), F.sum("c")).first()
-    ends = docs.count()
-    coder = WordEncoder(tokenizer)
-    size = len(coder.ends_word)
-    ids = coder.encode(words)
-    n = np.array([len(x) // coder.dtype.itemsize for x in ids], dtype=np.int64)
-    freq = subword_counts(counts, tokenizer, size)
-    rows = docs.select("text", F.xxhash64("doc_id").alias("order"), "doc_id").orderBy("order", "doc_id").limit(most)
-    bounded, held = [], 0
-    for t in rows.select("text").toArrow()["text"].to_pylist():
-        if t and held < SAMPLE_BYTES:
-            bounded.append(t.encode().translate(LOWER))
-            held += len(bounded[-1])
-    seqs = [np.frombuffer(x, dtype=coder.dtype).astype(np.int64) for x in coder.encode(bounded)]
-    for s in seqs:
-        freq[:size] += np.bincount(s, minlength=size) * 1e-6  # so that all ids of the sample have slots
-    model = AttentionModel(np.r_[freq, float(ends)])
-    if seqs:
-        length = np.array([len(s) + 1 for s in seqs])
-        slots = model.slot[np.concatenate([np.r_[s, size] for s in seqs])]
-        model.fit(slots, length)
-    pieces = model.slot[np.frombuffer(b"".join(ids), dtype=coder.dtype)]
-    return Scorer(model, words, c, pieces, n, int(total[1] or 0) + ends, int(total[0]) + (ends > 0), ends, tokenizer)
-
-
-def score(docs: DataFrame, tokenizer: str, top_words: int = TOP_WORDS, most: int = SAMPLE) -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Sequences of the batches, some at a time; one that is longer than HELD comes alone."""
+    held, size = [], 0
+    for batch in batches:
+        for s in batch.column("ids").to_pylist():
+            if size + len(s) > HELD and held:
+                yield held
+                held, size = [], 0
+            held.append(s)
+            size += len(s)
+    if held:
+        yield held
+
+
+def train(sequences: DataFrame, model: AttentionModel, rounds: int = ROUNDS) -> AttentionModel:
+    """The model after `rounds` passes over all sequences: every task learns from its partition, changes are averaged."""
+    names = [f"v{i}" for i in range(SIZE)]
+    for turn in range(rounds):
+        sent = sequences.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            mine, rng = sent.value.copy(), np.random.default_rng(turn)
+            for held in _held(batches):
+                mine.learn(Places(mine, held), rng)
+            if mine.sums is None:
+                return
+            row, weight, value = mine.flat(sent.value)
+            for a in range(0, len(row), 20_000):
+                part = slice(a, a + 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array(row[part], pa.int32()), pa.array(weight[part].astype(np.float32)), *[pa.array(np.ascontiguousarray(c)) for c in value[part].T]], names=["row", "w", *names])
+
+        changes = sequences.select("ids").mapInArrow(run, "row int, w float, " + ", ".join(f"{n} float" for n in names))
+        mean = changes.groupBy("row").agg(*[(F.sum(F.col(n) * F.col("w")) / F.sum("w")).cast("float").alias(n) for n in names]).toArrow().sort_by("row")  # one row for each weight row
+        model = model.copy()
+        if mean.num_rows:
+            model.add(mean["row"].to_numpy(), np.stack([mean[n].to_numpy() for n in names], axis=1))
+    return model
+
+
+def score(docs: DataFrame, tokenizer: str, most_words: int = TOP_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of `docs`.
 
     A null text is empty: its only token is the end. Rows with a null doc_id count as held out; repeated ids keep their own
-    rows. Other columns are not read. The `top_words` commonest words have their counts sent to every executor; all other words of
-    a text meet their counts in a join, and are mixed with their frequency there by the same rule, so no table that grows with the
-    corpus is sent, and every word counts in full."""
+    rows. Other columns are not read. The counts of at most `most_words` common words are sent to every executor; all other words of
+    a text meet their counts in a join, so no table that grows with the corpus is sent and every word counts in full. `score` is the
+    log10 probability of the text by the model alone, which learns from all training documents; without any it is uniform over ids."""
     docs = docs.select("doc_id", "text")
     learn = docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS))
     counts = materialize(word_counts(learn), "word-counts")
-    scorer = train(learn, counts, tokenizer, top_words, most)
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    fields = [("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("chance", pa.list_(pa.float64()))]
-    schema = pa.schema(fields)
+    total = counts.agg(F.count("*"), F.sum("c")).first()
+    ends = learn.count()
+    encoder = Encoder(*top_words(counts, most_words), int(total[1] or 0) + ends, int(total[0]) + (ends > 0), ends, tokenizer)
+    encoded = materialize(_encoded(docs, encoder), "sequences")
+    speller = Speller(tokenizer)
+    known = encoded.where("not held_out")
+    model = train(known, AttentionModel(id_counts(known, speller), speller.closes, speller.dtype.str), rounds)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in chunks(batches, most=3 << 20):
-            n, known, base, got, rare, chance = sent.value.score(texts(batch))
-            ids = batch.column("doc_id")
-            yield record_batch(schema, list(range(row, row + len(n))), ids.cast(pa.int64()), held_out_of(ids.to_pylist(), FOLDS), n, known, base, got, rare, chance)
-            row += len(n)
-        sent.value.close()  # the worker lives on
-
-    found = materialize(docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, chance array<double>"), "scored")
-    floor = scorer.total + ADD * (scorer.types + 1)
-    rest = found.select("key", F.explode(F.arrays_zip("rare", "chance")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.chance").alias("chance")).join(counts, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    mixed = F.log10(MIX * c / F.lit(max(scorer.total, 1)) + (1 - MIX) * F.col("chance") + F.lit(1e-300))
-    rest = rest.groupBy("key").agg(F.sum(F.log10((c + ADD) / F.lit(floor))).alias("rest"), F.count("c").alias("more"), F.sum(mixed).alias("mixed"))
-    whole = [(F.col(x) + F.coalesce(y, F.lit(0.0))).alias(x) for x, y in (("base_score", "rest"), ("score", "mixed"))]
-    return found.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(scorer.total).cast("long").alias("train_tokens"), *whole)
+        for batch in chunks(batches, "ids", HELD):
+            places = Places(sent.value, batch.column("ids").to_pylist())
+            first = np.cumsum(places.length) - places.length
+            value = np.add.reduceat(sent.value.logs(places).astype(np.float64), first) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in ("key", "doc_id", "held_out", "n_tokens", "n_known", "base_score")], pa.array(value)], names=[*names, "score"])
+
+    names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base_score"]
+    found = encoded.select(*names, "ids").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    floor = encoder.total + ADD * (encoder.types + 1)
+    rest = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("key").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(floor))).alias("rest"), F.count("c").alias("more"))
+    known_words = (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known")
+    return found.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", known_words, F.lit(encoder.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")

@@ -19,32 +19,125 @@ BIG = "/root/testdata/sf0.1"
 EDGE = ["", None, " \n ", "123 456 !!", "x" * 20_000, "same words here", "same words here", "ünï çödé", (None, "no id"), (3, "again")]
 
 
+def toy_model(seed=0):
+    """A model of a vocabulary of 12 ids, a third of which may end a word, with weights that are not those of its counts."""
+    rng = np.random.default_rng(seed)
+    counts, closes = np.r_[rng.integers(1, 50, 9), 0, 0, 0].astype(float), np.arange(12) % 3 == 0
+    m = lm.AttentionModel(counts, closes)
+    for n in (*m.rows, *m.dense):
+        getattr(m, n)[...] += rng.normal(0, 0.5, getattr(m, n).shape)
+    return m, rng
+
+
+def toy_text(m, rng, n):
+    """A sequence of n ids with marks where a word goes on after an id that may end it."""
+    out, closed = [], False
+    for i in rng.integers(0, 12, n).tolist():
+        if closed and rng.random() < 0.4:
+            out.append(65535)
+        out.append(i)
+        closed = bool(m.closes[i])
+    return np.array(out, dtype="<u2").tobytes()
+
+
+def brute_logs(m, sequence):
+    """Log probability of each place, one by one."""
+    ids, on = [], []
+    for x in np.frombuffer(sequence, dtype="<u2").tolist():
+        if x == 65535:
+            on.append(len(ids))
+        else:
+            ids.append(x)
+    x = [m.begin, *[m.slot[i] for i in ids]]
+    out = []
+    for i in range(len(ids) + 1):
+        first = max(0, i // lm.STEP * lm.STEP - (lm.WINDOW - lm.STEP))
+        keys = m.e[x[first : i + 1]]
+        a = (keys @ m.wk) @ (m.e[x[i]] @ m.wq) / np.sqrt(lm.SIZE) + m.near[i - np.arange(first, i + 1)]
+        a = np.exp(a - a.max())
+        h = m.e[x[i]] + (a / a.sum()) @ (keys @ m.wv)
+        kind = lm.END if i == len(ids) else lm.ON if i in on else lm.NEW if i == 0 or m.closes[ids[i - 1]] else lm.INSIDE
+        p = 0.0
+        if kind != lm.INSIDE:
+            z = h @ m.wn + m.bn
+            if i == 0:
+                z = z[1:]
+            p += z[kind - 1 - (i == 0)] - np.log(np.exp(z).sum())
+        if kind != lm.END:
+            g, y = h + m.kinds[kind], m.slot[ids[i]]
+            z = g @ m.wc + m.bc
+            c = m.cls[y]
+            p += z[c] - np.log(np.exp(z).sum())
+            z = m.o[m.off[c] : m.off[c + 1]] @ g + m.b[m.off[c] : m.off[c + 1]]
+            p += z[y - m.off[c]] - np.log(np.exp(z).sum()) - (np.log(m.unseen) if y == m.n - 1 else 0)
+        out.append(p)
+    return out
+
+
 def test_attention_scores_as_one_by_one():
-    rng = np.random.default_rng(0)
-    counts = np.r_[rng.integers(0, 50, 300), 20].astype(float)
-    m = lm.AttentionModel(counts)
-    length = np.array([1, 5, 16, 17, 24, 25, 60])
-    slots = rng.integers(1, len(m.cls), length.sum()).astype(np.int32)
-    slots[np.cumsum(length) - 1] = 0
-    got, at = m.logs(slots, length), 0
-    for n in length:
-        x = np.r_[0, slots[at : at + n - 1]]
-        for i in range(n):
-            first = max(0, i // lm.STEP * lm.STEP - (lm.WINDOW - lm.STEP))
-            q, keys = m.q[x[i]], x[first : i + 1]
-            a = m.k[keys] @ q / np.sqrt(lm.SIZE) + m.near[i - np.arange(first, i + 1)]
-            a = np.exp(a - a.max())
-            h = m.e[x[i]] + (a / a.sum()) @ m.v[keys]
-            every = []
-            for c in range(m.classes):
-                z = h @ m.wm[c, :, : m.sizes[c]] + m.bm[c, : m.sizes[c]]
-                every.append(z - np.log(np.exp(z).sum()))
-            zc = h @ m.wc + m.bc
-            zc -= np.log(np.exp(zc).sum())
-            y = slots[at + i]
-            want = zc[m.cls[y]] + every[m.cls[y]][m.place[y]] - (np.log(m.unseen) if y == len(m.cls) - 1 else 0)
-            assert abs(got[at + i] - want) < 1e-3
-        at += n
+    m, rng = toy_model()
+    texts_ = [toy_text(m, rng, n) for n in (0, 1, 4, 15, 16, 17, 24, 25, 60)]
+    got = m.logs(lm.Places(m, texts_))
+    want = [x for t in texts_ for x in brute_logs(m, t)]
+    assert len(got) == len(want) and np.abs(got - want).max() < 1e-3
+
+
+def test_all_that_may_come_next_sums_to_one():
+    m, rng = toy_model(3)
+    for n in (0, 1, 5, 16, 30):
+        text = toy_text(m, rng, n)
+        ids = np.frombuffer(text, dtype="<u2")
+        closed = not len(ids) or bool(m.closes[ids[-1]])
+        unit = lambda *x: np.array(x, dtype="<u2").tobytes()
+        nexts = [text + unit(i) for i in range(12)]
+        if closed:
+            nexts += [text + unit(65535, i) for i in range(12)] * (n > 0)
+        at = len(brute_logs(m, text)) - 1
+        total = sum(math.exp(m.logs(lm.Places(m, [t]))[at]) for t in nexts)
+        if closed:
+            total += math.exp(m.logs(lm.Places(m, [text]))[at])
+        assert abs(total - 1) < 1e-4
+
+
+def test_different_words_have_different_sequences():
+    sp = lm.Speller(WORDS)
+    rng = np.random.default_rng(5)
+    some = ["don't", "foo,", ",foo", "É", "é", "e\u0301", "\u00a0", "a\u00a0b", "ab", "<|endoftext|>", "<|endoftext|>x", "ǅ", "İ", "ﬁ", "x" * 300, "日本語", "12.5%", "'s", "l'été", "\u200b"]
+    some += ["".join(rng.choice(list("aé'É.,1日 ́"), rng.integers(1, 6))).replace(" ", "") or "z" for _ in range(3000)]
+    words = sorted({lm.lower(w.encode()) for w in some})
+    got = sp.spell(words)
+    assert len(set(got)) == len(words)
+    texts_ = {(w, v) for w in words[:60] for v in words[:60]}
+    assert len({sp.spell([w])[0] + sp.spell([v])[0] for w, v in texts_}) == len(texts_)  # where one word ends can be told
+    for w, s in zip(words, got, strict=True):
+        ids = [i for i in np.frombuffer(s, dtype=sp.dtype).tolist() if i != sp.mark]
+        assert b"".join(sp.bytes_of[i] for i in ids) == w and sp.closes[ids[-1]]
+
+
+def test_gradients_as_differences():
+    m, rng = toy_model(7)
+    places = lm.Places(m, [toy_text(m, rng, n) for n in (3, 20, 40)])
+    text_windows = places.windows()
+    got = {}
+    m._down = lambda name, g, at=None: got.setdefault(name, []).append((g, at))
+    m.met, m.asked = np.zeros(m.n + 1), np.zeros(m.n)
+    m._step(places, *text_windows)
+    n = len(places.slot)
+    lost = (places.slot == m.n - 1) & (places.kind != lm.END)
+    words = n
+    for name, parts in got.items():
+        w = getattr(m, name)
+        whole = np.zeros(w.shape)
+        for g, at in parts:
+            whole[slice(None) if at is None else at] += g * (1 if name in m.rows else words)
+        for _ in range(4):
+            i = tuple(int(rng.integers(0, k)) for k in w.shape)
+            old, ends = w[i], []
+            for d in (1e-2, -1e-2):
+                w[i] = old + d
+                ends.append(-float(m.logs(places).astype(float).sum()) - lost.sum() * np.log(m.unseen))
+            w[i] = old
+            assert abs((ends[0] - ends[1]) / 2e-2 - whole[i]) < 0.02 + 0.03 * abs(whole[i]), name
 
 
 def brute_base(rows, fold=10):
@@ -64,7 +157,7 @@ def test_lm_base_as_brute_force(spark, top):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want, total = brute_base([(r.doc_id, r.text) for r in docs.collect()])
     by_id = {i: v for (i, _), v in want.items()}
-    rows = lm.score(docs, WORDS, top_words=top).collect()
+    rows = lm.score(docs, WORDS, most_words=top, rounds=0).collect()
     assert len(rows) == docs.count()
     for r in rows:
         n, known, base = by_id[r.doc_id]
@@ -72,15 +165,24 @@ def test_lm_base_as_brute_force(spark, top):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) and r.score < 0
 
 
-def test_lm_mixes_rare_words_as_the_top_ones(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    few, all_ = ({r.doc_id: r.score for r in lm.score(docs, WORDS, top_words=top).collect()} for top in (5, lm.TOP_WORDS))
-    assert few.keys() == all_.keys() and all(abs(few[i] - x) < 1e-4 * abs(x) for i, x in all_.items())
-
-
-def test_lm_beats_word_frequencies_on_held_out_documents(spark):
-    held = [r for r in lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+def test_lm_beats_frequencies_of_ids_on_held_out_documents(spark):
+    """`score`, which is normalised over texts, against a unigram of the same places: what comes, and which id, each by its frequency."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = {r.doc_id: r.score for r in lm.score(docs, WORDS).collect() if r.held_out}
+    sp = lm.Speller(WORDS)
+    train, test = [], []
+    for r in docs.collect():
+        words = lm.lower((r.text or "").encode()).split()
+        (test if r.doc_id in held else train).append(b"".join(sp.spell(words)))
+    flat = np.frombuffer(b"".join(train), dtype=sp.dtype)
+    m = lm.AttentionModel(np.bincount(flat[flat < sp.size], minlength=sp.size).astype(float), sp.closes)
+    kinds = np.bincount(lm.Places(m, train).kind, minlength=4)
+    share = np.log((kinds + 1) / (kinds[1:].sum() + 3))
+    share[lm.INSIDE] = 0
+    p = lm.Places(m, test)
+    ids = m.bc[m.cls[p.slot]] + m.b[p.slot] - np.where(p.slot == m.n - 1, np.log(m.unseen), 0)
+    unigram = float((share[p.kind] + np.where(p.kind == lm.END, 0, ids)).sum() / np.log(10))
+    assert sum(held.values()) > 0.85 * unigram
 
 
 def test_lm_edge_cases(spark):
