@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .common import LOWER, chunks, held_out, held_out_of, record_batch, texts
+from .common import LOWER, chunks, held_out, held_out_of, one_blas_thread, record_batch, texts
 from .token_files import _coder
 
 #: Ids that a window holds, ids that it scores, size of a vector.
@@ -149,12 +149,14 @@ class Places:
         n_win = -(-self.length // STEP)
         owner = np.repeat(np.arange(len(self.length)), n_win)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-        base = (np.cumsum(self.length) - self.length)[owner]
-        stop = base + self.length[owner]
-        at = base + k * STEP
-        place = at[:, None] + np.arange(WINDOW)[None, :] - (WINDOW - STEP)
-        inside = (place >= base[:, None]) & (place < stop[:, None])
-        return np.where(inside, self.before[np.clip(place, 0, max(len(self.before) - 1, 0))], 0), np.where(inside, np.float32(0), np.float32(-1e9)), at, stop
+        base = (np.cumsum(self.length) - self.length)[owner].astype(np.int32)
+        stop = base + self.length[owner].astype(np.int32)
+        at = base + k.astype(np.int32) * STEP
+        place = at[:, None] + np.arange(WINDOW, dtype=np.int32)[None, :] - (WINDOW - STEP)
+        outside = (place < base[:, None]) | (place >= stop[:, None])
+        x = self.before[np.clip(place, 0, max(len(self.before) - 1, 0), out=place)]
+        x[outside] = 0
+        return x, outside * np.float32(-1e9), at, stop
 
 
 class AttentionModel:
@@ -164,7 +166,7 @@ class AttentionModel:
     one more vector stands for the begin of a text."""
 
     #: Rows of slots, and what is not kept by slot.
-    rows, dense = ("e", "o", "b"), ("wq", "wk", "wv", "near", "wc", "bc", "kinds", "wn", "bn")
+    rows, dense = ("e", "o"), ("wq", "wk", "wv", "near", "wc", "kinds", "wn")
 
     def __init__(self, counts: np.ndarray, closes: np.ndarray, dtype: str = "<u2", seed: int = 1):
         """`counts`: how often each id occurs; `closes`: whether a word may end after it."""
@@ -186,81 +188,108 @@ class AttentionModel:
         self.cls = np.repeat(np.arange(self.classes), sizes).astype(np.uint8)
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, 0.5 / np.sqrt(SIZE), s).astype(np.float32)
-        self.e, self.o = draw(n + 1, SIZE), draw(n, SIZE)
-        self.wq, self.wk, self.wv, self.wc, self.wn, self.kinds = draw(SIZE, SIZE), draw(SIZE, SIZE), draw(SIZE, SIZE), draw(SIZE, self.classes), draw(SIZE, 3), draw(3, SIZE)
+        # the last column of the outputs is their bias
+        self.e, self.o = draw(n + 1, SIZE), draw(n, SIZE + 1)
+        self.wq, self.wk, self.wv, self.wc, self.wn, self.kinds = draw(SIZE, SIZE), draw(SIZE, SIZE), draw(SIZE, SIZE), draw(self.classes, SIZE + 1), draw(3, SIZE + 1), draw(3, SIZE)
         self.near = np.zeros(WINDOW, dtype=np.float32)  # by distance
-        self.bn = np.zeros(3, dtype=np.float32)  # on, new, end
+        self.wn[:, SIZE] = 0  # on, new, end
         total = np.add.reduceat(weight, self.off[:-1])
-        self.bc = np.log(total / total.sum()).astype(np.float32)
-        self.b = np.log(weight / total[self.cls]).astype(np.float32)
-        self.ones = np.ones(max(WINDOW, self.classes, 3, *sizes), dtype=np.float32)
+        self.wc[:, SIZE] = np.log(total / total.sum())
+        self.o[:, SIZE] = np.log(weight / total[self.cls])
+        self.ones = np.ones(max(WINDOW, SIZE, self.classes, *sizes), dtype=np.float32)
         back = WINDOW - STEP + np.arange(STEP)[:, None] - np.arange(WINDOW)[None, :]
         self.back = np.where(back >= 0, back, 0)
         self.mask = np.where(back >= 0, 0, -1e9).astype(np.float32)
         self.sums = None
 
     def _attend(self, x: np.ndarray, live: np.ndarray):
-        """x: windows of slots (n, WINDOW); live: below 0 where a window has no id of its text. Vectors that predict what follows the last STEP."""
+        """x: windows of slots (n, WINDOW); live: below 0 where a window has no id of its text. Vectors that predict what follows the last STEP,
+        and what the way back needs."""
+        n = len(x)
         e = self.e[x]
+        flat = e.reshape(-1, SIZE)
         own = e[:, WINDOW - STEP :]
-        q, k, v = own.reshape(-1, SIZE) @ self.wq, e.reshape(-1, SIZE) @ self.wk, e.reshape(-1, SIZE) @ self.wv
-        q, k, v = (y.reshape(len(x), -1, SIZE) for y in (q, k, v))
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= np.float32(1 / np.sqrt(SIZE))
-        s += self.near[self.back] + self.mask
-        s += live[:, None, :]
-        np.exp(np.minimum(s, HIGHEST, out=s), out=s)
-        s /= (s.reshape(-1, WINDOW) @ self.ones[:WINDOW]).reshape(len(x), STEP, 1) + TINY
-        return own + np.matmul(s, v), s, q, k, v, e
-
-    def _softmax(self, z: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability of the targets; z is overwritten with powers of e."""
-        np.minimum(z, HIGHEST, out=z)
-        got = z[np.arange(len(z)), target]
+        q = (own.reshape(-1, SIZE) @ (self.wq * np.float32(1 / np.sqrt(SIZE)))).reshape(n, STEP, SIZE)
+        k = (flat @ self.wk).reshape(n, WINDOW, SIZE)
+        v = np.empty((n, WINDOW, SIZE + 1), dtype=np.float32)
+        v[:, :, SIZE] = 1  # so that the sum of the weights comes with the sum of the values
+        np.matmul(flat, self.wv, out=(value := np.empty_like(flat)))
+        v[:, :, :SIZE] = value.reshape(n, WINDOW, SIZE)
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += self.near[self.back] + self.mask
+        part = np.flatnonzero(live.min(axis=1) < 0)
+        a[part] += live[part, None, :]
+        self._powers(a)
+        ctx = np.matmul(a, v)
+        norm = 1 / (ctx[:, :, SIZE:] + TINY)
+        ctx = ctx[:, :, :SIZE] * norm
+        return own + ctx, (ctx, a, norm, q, k, v, e)
+
+    @staticmethod
+    def _powers(z: np.ndarray) -> None:
+        """Powers of e, in place; what float32 could not hold is cut off first."""
+        if z.size and z.max() > HIGHEST:
+            np.minimum(z, HIGHEST, out=z)
         np.exp(z, out=z)
+
+    def _log_shares(self, h: np.ndarray, w: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log probabilities of the targets in the softmax over the rows of w."""
+        z = h @ w.T
+        got = np.minimum(z[np.arange(len(z)), target], HIGHEST)
+        self._powers(z)
         return got - np.log(z @ self.ones[: z.shape[1]])
 
+    def _seen(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The vectors from which ids are told, with a last 1 for the bias."""
+        out = np.ones((len(h), SIZE + 1), dtype=np.float32)
+        np.add(h, np.concatenate([self.kinds, np.zeros((1, SIZE), dtype=np.float32)])[kind], out=out[:, :SIZE])
+        return out
+
+    def _next(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of what comes: on, new, end."""
+        z = h @ self.wn[:, :SIZE].T + self.wn[:, SIZE]
+        z[first, 0] = -2 * HIGHEST  # a text does not go on at its begin
+        return z
+
+    def _by_class(self, c: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by class, and rows (class, from, to) of pieces of it of at most 4096 places."""
+        order = np.argsort(c, kind="stable")
+        edge = np.r_[0, np.cumsum(np.bincount(c, minlength=self.classes))].tolist()
+        return order, [(i, a, min(a + 4096, edge[i + 1])) for i in range(self.classes) for a in range(edge[i], edge[i + 1], 4096)]
+
     def logs(self, places: Places) -> np.ndarray:
         """Natural log probability of each place given those before it in its text."""
         out = np.zeros(len(places.slot), dtype=np.float32)
         x, live, at, end = places.windows()
-        for s in range(0, len(x), 1024):
-            h = self._attend(x[s : s + 1024], live[s : s + 1024])[0].reshape(-1, SIZE)
-            place = (at[s : s + 1024, None] + np.arange(STEP)).reshape(-1)
-            ok = place < np.repeat(end[s : s + 1024], STEP)
-            h, place = h[ok], place[ok]
-            kind = places.kind[place]
-            got = np.zeros(len(h), dtype=np.float32)
-            choice = np.flatnonzero(kind != INSIDE)
-            z = h[choice] @ self.wn + self.bn
-            z[places.first[place[choice]], 0] = -HIGHEST * 2  # a text does not go on at its begin
-            got[choice] = self._softmax(z, kind[choice] - 1)
-            word = np.flatnonzero(kind != END)
-            got[word] += self._predict(h[word] + self.kinds[kind[word]], places.slot[place[word]])
-            out[place] = got
+        last = len(out) - 1
+        for s in range(0, len(x), 768):
+            h = self._attend(x[s : s + 768], live[s : s + 768])[0].reshape(-1, SIZE)
+            place = (at[s : s + 768, None] + np.arange(STEP)).reshape(-1)
+            ok = place < np.repeat(end[s : s + 768], STEP)
+            place = np.minimum(place, last)
+            kind, target = places.kind[place], places.slot[place]
+            z = self._next(h, places.first[place])
+            got = np.minimum(z[np.arange(len(z)), kind - 1], HIGHEST)  # inside is the last column here, and left out below
+            self._powers(z)
+            got -= np.log(z @ self.ones[:3])
+            got[kind == INSIDE] = 0
+            h = self._seen(h, kind)
+            c = self.cls[target]
+            word = self._log_shares(h, self.wc, c)
+            order, pieces = self._by_class(c)
+            h, target = h[order], target[order]
+            inner = np.empty(len(h), dtype=np.float32)
+            for i, a, b in pieces:
+                lo, hi = self.off[i], self.off[i + 1]
+                inner[a:b] = self._log_shares(h[a:b], self.o[lo:hi], target[a:b] - lo)
+            word[order] += inner
+            word[kind == END] = 0
+            got += word
+            out[place[ok]] = got[ok]
         lost = (places.slot == self.n - 1) & (places.kind != END)
         out[lost] -= np.float32(np.log(self.unseen))
         return out
 
-    def _predict(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        z = h @ self.wc
-        z += self.bc
-        c = self.cls[target]
-        got = self._softmax(z, c)
-        order = np.argsort(c, kind="stable")
-        h, target = h[order], target[order]
-        edge = np.searchsorted(c[order], np.arange(self.classes + 1))
-        inner = np.empty(len(h), dtype=np.float32)
-        for i in np.flatnonzero(np.diff(edge)).tolist():
-            lo, hi = self.off[i], self.off[i + 1]
-            for a in range(edge[i], edge[i + 1], 4096):
-                part = slice(a, min(a + 4096, edge[i + 1]))
-                z = h[part] @ self.o[lo:hi].T
-                z += self.b[lo:hi]
-                inner[part] = self._softmax(z, target[part] - lo)
-        got[order] += inner
-        return got
-
     def learn(self, places: Places, rng: np.random.Generator) -> None:
         """One pass of adaptive gradient steps over all windows of these places, in a random order."""
         if self.sums is None:
@@ -287,77 +316,74 @@ class AttentionModel:
             seen[at] = new
             w[at] -= rate * g / np.sqrt(new)
 
+    def _pull(self, h: np.ndarray, w: np.ndarray, target: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of the loss, each place counting as its share: of w and of the vectors h without their last 1."""
+        z = h @ w.T
+        self._powers(z)
+        total = z @ self.ones[: z.shape[1]]
+        z[np.arange(len(z)), target] -= total
+        scale = (share / total)[:, None]
+        return z.T @ (h * scale), (z @ w[:, :SIZE]) * scale
+
     def _step(self, places: Places, x: np.ndarray, live: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
-        back, scale = WINDOW - STEP, np.float32(1 / np.sqrt(SIZE))
-        h3, a, q, k, v, e = self._attend(x, live)
+        back, n = WINDOW - STEP, len(x)
+        h3, (ctx, a, norm, q, k, v, e) = self._attend(x, live)
         place = (at[:, None] + np.arange(STEP)).reshape(-1)
-        ok = np.flatnonzero(place < np.repeat(end, STEP))
-        place = place[ok]
-        h = h3.reshape(-1, SIZE)[ok]
+        ok = place < np.repeat(end, STEP)
+        place = np.minimum(place, len(places.slot) - 1)
         kind, target = places.kind[place], places.slot[place]
-        gh = np.zeros_like(h)
-        mean = np.float32(1 / len(h))
+        mean = np.float32(1 / ok.sum())
+        h = h3.reshape(-1, SIZE)
+        ones = np.ones(len(h), dtype=np.float32)
         # what comes
-        choice = np.flatnonzero(kind != INSIDE)
-        z = h[choice] @ self.wn + self.bn
-        z[places.first[place[choice]], 0] = -HIGHEST * 2
-        self._gap(z, kind[choice] - 1)
-        gh[choice] = z @ self.wn.T
-        down = {"wn": h[choice].T @ z * mean, "bn": z.sum(axis=0) * mean}
+        z = self._next(h, places.first[place])
+        self._powers(z)
+        total = z @ self.ones[:3]
+        z[np.arange(len(z)), kind - 1] -= total
+        z *= ((ok & (kind != INSIDE)) / total).astype(np.float32)[:, None]
+        gh = z @ self.wn[:, :SIZE]
+        down = {"wn": np.concatenate([z.T @ h, (ones @ z)[:, None]], axis=1) * mean}
         # which id
-        word = np.flatnonzero(kind != END)
-        of = kind[word]
-        hw, tw = h[word] + self.kinds[of], target[word]
-        c = self.cls[tw]
-        z = hw @ self.wc + self.bc
-        self._gap(z, c)
-        down |= {"wc": hw.T @ z * mean, "bc": z.sum(axis=0) * mean}
-        gw = z @ self.wc.T
-        by = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[by], np.arange(self.classes + 1))
-        for i in np.flatnonzero(np.diff(edge)).tolist():
+        share = (ok & (kind != END)).astype(np.float32)
+        hw = self._seen(h, kind)
+        c = self.cls[target]
+        g, gw = self._pull(hw, self.wc, c, share)
+        down["wc"] = g * mean
+        order, pieces = self._by_class(c)
+        ho, to, so = hw[order], target[order], share[order]
+        inner = np.empty((len(h), SIZE), dtype=np.float32)
+        for i, s, t in pieces:
             lo, hi = self.off[i], self.off[i + 1]
-            r = by[edge[i] : edge[i + 1]]
-            hr = hw[r]
-            z = hr @ self.o[lo:hi].T
-            z += self.b[lo:hi]
-            self._gap(z, tw[r] - lo)
-            gw[r] += z @ self.o[lo:hi]
-            self._down("o", z.T @ hr, slice(lo, hi))
-            self._down("b", z.sum(axis=0), slice(lo, hi))
-        self.asked += np.bincount(tw, minlength=self.n)
-        gh[word] += gw
-        down["kinds"] = np.stack([gw[of == t].sum(axis=0) for t in range(3)]) * mean
+            g, inner[s:t] = self._pull(ho[s:t], self.o[lo:hi], to[s:t] - lo, so[s:t])
+            self._down("o", g, slice(lo, hi))
+        gw[order] += inner
+        self.asked += np.bincount(target, weights=share, minlength=self.n)
+        gh += gw
+        down["kinds"] = (np.eye(4, dtype=np.float32)[kind].T @ gw)[:3] * mean
         # back through the attention
-        full = np.zeros((len(x) * STEP, SIZE), dtype=np.float32)
-        full[ok] = gh
-        ctx = full.reshape(len(x), STEP, SIZE)
-        ga = np.matmul(ctx, v.transpose(0, 2, 1))
-        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
-        gq, gk, gv = np.matmul(gs, k) * scale, np.matmul(gs.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), ctx)
-        fe, fq, fk, fv = e.reshape(-1, SIZE), gq.reshape(-1, SIZE), gk.reshape(-1, SIZE), gv.reshape(-1, SIZE)
-        down |= {"wq": e[:, back:].reshape(-1, SIZE).T @ fq * mean, "wk": fe.T @ fk * mean, "wv": fe.T @ fv * mean}
+        gctx = gh.reshape(n, STEP, SIZE)
+        gs = np.matmul(gctx, v[:, :, :SIZE].transpose(0, 2, 1))
+        gs -= ((gctx * ctx).reshape(-1, SIZE) @ self.ones[:SIZE]).reshape(n, STEP, 1)
+        a *= norm
+        gs *= a
+        scale = np.float32(1 / np.sqrt(SIZE))
+        fq = np.matmul(gs, k).reshape(-1, SIZE) * scale
+        fk, fv = np.matmul(gs.transpose(0, 2, 1), q).reshape(-1, SIZE), np.matmul(a.transpose(0, 2, 1), gctx).reshape(-1, SIZE)  # q is scaled already
+        flat = e.reshape(-1, SIZE)
+        down |= {"wq": np.ascontiguousarray(e[:, back:]).reshape(-1, SIZE).T @ fq * mean, "wk": flat.T @ fk * mean, "wv": flat.T @ fv * mean}
         down["near"] = np.bincount(self.back.reshape(-1), weights=gs.sum(axis=0).reshape(-1) * (self.mask.reshape(-1) == 0), minlength=WINDOW).astype(np.float32) * mean
-        ge = (fk @ self.wk.T + fv @ self.wv.T).reshape(len(x), WINDOW, SIZE)
-        ge[:, back:] += ctx + (fq @ self.wq.T).reshape(len(x), STEP, SIZE)
-        flat = x.reshape(-1)
-        real = np.flatnonzero(live.reshape(-1) == 0)
-        flat = flat[real]
-        self.met += np.bincount(flat, minlength=self.n + 1)
-        order = np.argsort(flat.astype(np.uint16) if self.n < 1 << 16 else flat, kind="stable")
-        flat = flat[order]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        self._down("e", np.add.reduceat(ge.reshape(-1, SIZE)[real[order]], first, axis=0), flat[first])
+        ge = (fk @ self.wk.T + fv @ self.wv.T).reshape(n, WINDOW, SIZE)
+        ge[:, back:] += gctx + (fq @ self.wq.T).reshape(n, STEP, SIZE)
+        slot = x.reshape(-1).copy()
+        slot[live.reshape(-1) < 0] = self.n + 1  # places before a text stand last and are left out
+        met = np.bincount(slot, minlength=self.n + 2)[: self.n + 1]
+        self.met += met
+        order = np.argsort(slot.astype(np.uint16) if self.n + 1 < 1 << 16 else slot, kind="stable")[: met.sum()]
+        first = (np.cumsum(met) - met)[met > 0]
+        self._down("e", np.add.reduceat(ge.reshape(-1, SIZE)[order], first, axis=0), np.flatnonzero(met))
         for name, g in down.items():
             self._down(name, g)
 
-    def _gap(self, z: np.ndarray, target: np.ndarray) -> None:
-        """Scores to probabilities less 1 at the target: the gradient of the loss."""
-        np.minimum(z, HIGHEST, out=z)
-        np.exp(z, out=z)
-        z /= (z @ self.ones[: z.shape[1]])[:, None]
-        z[np.arange(len(z)), target] -= 1
-
     def copy(self) -> AttentionModel:
         new = object.__new__(AttentionModel)
         new.__dict__ |= self.__dict__
@@ -376,9 +402,9 @@ class AttentionModel:
             value.append(change[some])
 
         put(0, self.e - old.e, self.met)
-        put(self.n + 1, self.o - old.o, self.asked)
+        put(self.n + 1, self.o[:, :SIZE] - old.o[:, :SIZE], self.asked)
         bias = np.zeros((self.n, SIZE), dtype=np.float32)
-        bias[:, 0] = self.b - old.b
+        bias[:, 0] = self.o[:, SIZE] - old.o[:, SIZE]
         put(2 * self.n + 1, bias, self.asked)
         rest = np.concatenate([(getattr(self, n) - getattr(old, n)).reshape(-1) for n in self.dense])
         rest = np.r_[rest, np.zeros(-len(rest) % SIZE, dtype=np.float32)].reshape(-1, SIZE)
@@ -390,8 +416,8 @@ class AttentionModel:
         parts = np.searchsorted(row, [0, self.n + 1, 2 * self.n + 1, 3 * self.n + 1, 1 << 62])
         a, b, c, d, _ = parts
         self.e[row[a:b]] += value[a:b]
-        self.o[row[b:c] - (self.n + 1)] += value[b:c]
-        self.b[row[c:d] - (2 * self.n + 1)] += value[c:d, 0]
+        self.o[row[b:c] - (self.n + 1), :SIZE] += value[b:c]
+        self.o[row[c:d] - (2 * self.n + 1), SIZE] += value[c:d, 0]
         rest, at = value[d:].reshape(-1), 0
         for n in self.dense if len(rest) else ():
             w = getattr(self, n)
@@ -403,7 +429,7 @@ class Encoder:
     """What a worker needs to spell texts and to add up the base scores of their words: the top words and their counts, N and V."""
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
-        self.words, self.counts = words, counts
+        self.words, self.counts = {w: i for i, w in enumerate(words)}, counts
         self.total, self.types, self.ends, self.tokenizer = total, types, ends, tokenizer
         self.index: dict[bytes, int] | None = None
 
@@ -411,41 +437,62 @@ class Encoder:
         return np.log10((c + ADD) / (self.total + ADD * (self.types + 1)))
 
     def _open(self) -> None:
-        self._base = np.r_[self.base(self.counts), 0.0]
-        self.index = {w: i for i, w in enumerate(self.words)}
-        self.spelled: dict[bytes, bytes] = {}
+        self.unit = _speller(self.tokenizer).dtype
+        self._base = self.base(self.counts)
+        self._forget()
 
-    def close(self) -> None:
-        self.index, self.spelled = None, {}
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.pieces, self.start, self.n, self.top = np.array([], dtype=self.unit), np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=np.int64)
 
-    def encode(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], list[list[bytes]], list[bytes]]:
+    def close(self) -> None:
+        self.index = None
+        self.pieces = self.start = self.n = self.top = None
+
+    def _add(self, words: list[bytes]) -> None:
+        """Number new words; keep their sequences in a row, and which of the top words they are."""
+        got = _speller(self.tokenizer).spell(words)
+        n = np.fromiter(map(len, got), np.int64, len(got)) // self.unit.itemsize
+        self.index.update(zip(words, range(len(self.n), len(self.n) + len(words)), strict=True))
+        self.start = np.r_[self.start, len(self.pieces) + np.cumsum(n) - n]
+        self.n = np.r_[self.n, n]
+        self.pieces = np.r_[self.pieces, np.frombuffer(b"".join(got), dtype=self.unit)]
+        common = len(self.words)
+        self.top = np.r_[self.top, np.fromiter((self.words.get(w, common) for w in words), np.int64, len(words))]
+
+    def encode(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], pa.Array, list[bytes]]:
         """For each text: tokens, known top words, their base score and the end's, the other words, and the sequence."""
         if self.index is None:
             self._open()
+        if len(self.index) > REMEMBERED:
+            self._forget()
         docs = [lower(t).split() for t in raw]
-        fresh: set[bytes] = set()
-        for d in docs:
-            fresh.update(d)
-        if len(self.spelled) > REMEMBERED + len(self.words):
-            self.spelled = {w: s for w, s in self.spelled.items() if w in self.index}
-        new = list(fresh.difference(self.spelled))
-        if new:
-            self.spelled.update(zip(new, _speller(self.tokenizer).spell(new), strict=True))
-        get = self.spelled.__getitem__
-        sequences = [b"".join(map(get, d)) for d in docs]
         n_words = np.fromiter(map(len, docs), np.int64, len(docs))
-        top = len(self.words)
-        place = {w: self.index.get(w, top) for w in fresh}
-        idx = np.fromiter(map(place.__getitem__, chain.from_iterable(docs)), np.int64, int(n_words.sum()))
+        total = int(n_words.sum())
+        idx = np.fromiter(map(self.index.get, chain.from_iterable(docs), repeat(-1)), np.int64, total)
+        unknown = np.flatnonzero(idx < 0)
+        if len(unknown):
+            every = list(chain.from_iterable(docs))
+            words = [every[i] for i in unknown.tolist()]
+            self._add(list(dict.fromkeys(words)))
+            idx[unknown] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         doc = np.repeat(np.arange(len(docs)), n_words)
-        base = np.bincount(doc, weights=self._base[idx], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
-        known = np.bincount(doc[idx < top], minlength=len(docs)) + (self.ends > 0)
-        others: list[list[bytes]] = [[] for _ in docs]
-        first = np.cumsum(n_words) - n_words
-        rare = np.flatnonzero(idx == top)
-        for i, d in zip((rare - first[doc[rare]]).tolist(), doc[rare].tolist(), strict=True):
-            others[d].append(docs[d][i])
-        return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, sequences
+        top = self.top[idx]
+        rare = np.flatnonzero(top == len(self.words))
+        known = np.bincount(doc, minlength=len(docs)) - np.bincount(doc[rare], minlength=len(docs)) + (self.ends > 0)
+        base = np.bincount(doc, weights=np.r_[self._base, 0.0][top], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
+        others = pa.array([], pa.binary())
+        if len(rare):
+            every = list(chain.from_iterable(docs))
+            others = pa.array([every[i] for i in rare.tolist()], pa.binary())
+        others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=len(docs)))], pa.int32()), others)
+        # sequences of all words in a row
+        n = self.n[idx]
+        stop = np.cumsum(n)
+        at = np.arange(stop[-1] if total else 0) + np.repeat(self.start[idx] - (stop - n), n)
+        data = self.pieces[at].tobytes()
+        edge = (np.r_[0, stop][np.r_[0, np.cumsum(n_words)]] * self.unit.itemsize).tolist()
+        return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -539,6 +586,7 @@ def train(sequences: DataFrame, model: AttentionModel, rounds: int = ROUNDS) ->
         sent = sequences.sparkSession.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            one_blas_thread()
             mine, rng = sent.value.copy(), np.random.default_rng(turn)
             for held in _held(batches):
                 mine.learn(Places(mine, held), rng)
@@ -577,6 +625,7 @@ def score(docs: DataFrame, tokenizer: str, most_words: int = TOP_WORDS, rounds:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in chunks(batches, "ids", HELD):
             places = Places(sent.value, batch.column("ids").to_pylist())
             first = np.cumsum(places.length) - places.length

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,17 @@ CHUNK_BYTES = 8 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Keep numpy's own OpenBLAS to one thread: every core has a task already, and the matrices are small. Without that library nothing is done."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__) + ".libs", "*openblas*")):
+        lib = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

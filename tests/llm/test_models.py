@@ -59,16 +59,16 @@ def brute_logs(m, sequence):
         kind = lm.END if i == len(ids) else lm.ON if i in on else lm.NEW if i == 0 or m.closes[ids[i - 1]] else lm.INSIDE
         p = 0.0
         if kind != lm.INSIDE:
-            z = h @ m.wn + m.bn
+            z = m.wn @ np.r_[h, 1]
             if i == 0:
                 z = z[1:]
             p += z[kind - 1 - (i == 0)] - np.log(np.exp(z).sum())
         if kind != lm.END:
             g, y = h + m.kinds[kind], m.slot[ids[i]]
-            z = g @ m.wc + m.bc
+            z = m.wc @ np.r_[g, 1]
             c = m.cls[y]
             p += z[c] - np.log(np.exp(z).sum())
-            z = m.o[m.off[c] : m.off[c + 1]] @ g + m.b[m.off[c] : m.off[c + 1]]
+            z = m.o[m.off[c] : m.off[c + 1]] @ np.r_[g, 1]
             p += z[y - m.off[c]] - np.log(np.exp(z).sum()) - (np.log(m.unseen) if y == m.n - 1 else 0)
         out.append(p)
     return out
@@ -180,7 +180,7 @@ def test_lm_beats_frequencies_of_ids_on_held_out_documents(spark):
     share = np.log((kinds + 1) / (kinds[1:].sum() + 3))
     share[lm.INSIDE] = 0
     p = lm.Places(m, test)
-    ids = m.bc[m.cls[p.slot]] + m.b[p.slot] - np.where(p.slot == m.n - 1, np.log(m.unseen), 0)
+    ids = m.wc[m.cls[p.slot], lm.SIZE] + m.o[p.slot, lm.SIZE] - np.where(p.slot == m.n - 1, np.log(m.unseen), 0)
     unigram = float((share[p.kind] + np.where(p.kind == lm.END, 0, ids)).sum() / np.log(10))
     assert sum(held.values()) > 0.85 * unigram
 
