@@ -89,7 +89,7 @@ def unique(spark, sf_dir) -> DataFrame:
 
 def candidates(spark, sf_dir) -> DataFrame:
     u = unique(spark, sf_dir)
-    return p.attach(p.within_blocks(super_index(u)), u, COLS)
+    return p.candidate_pairs(super_index(u), u, COLS)
 
 
 # normalisation -------------------------------------------------------------------------------------------------------
@@ -222,6 +222,19 @@ def interlaced_blocks(spark, sf_dir):
     return b.interlaced_index(planted(spark, sf_dir), COLS)
 
 
+@query(PLANTED + """, s AS (SELECT rec_idx, rpad(substr(last, 1, 1) || substr(suburb, 1, 1) || substr(postcode, 1, 1) || substr(first, 1, 1), 4, 'a') AS t FROM planted)
+SELECT rec_idx AS rec, '0:' || t AS block FROM s UNION SELECT rec_idx, '1:' || unnest([substr(t, i, 3) FOR i IN range(1, length(t) - 1)]) FROM s""")
+def interlaced_exact_blocks(spark, sf_dir):
+    s = n.interlaced(COLS, 4)
+    return b.multi_pass(planted(spark, sf_dir), [F.array(s), b.sliding(s)])
+
+
+@query(PLANTED + """SELECT (ascii(substr(first, 1, 1)) - 97) + 26 * (ascii(substr(first, 2, 1)) - 97) AS prefix, count(*) AS records, min(rec_idx) AS first_rec FROM planted GROUP BY 1""")
+def prefix_partitions(spark, sf_dir):
+    r = planted(spark, sf_dir).withColumn("prefix", n.prefix_number("first")).repartitionByRange("prefix").sortWithinPartitions("prefix", "rec_idx")
+    return r.groupBy("prefix").agg(F.count("*").alias("records"), F.min("rec_idx").alias("first_rec"))
+
+
 @query(_blocks_sql("list_distinct([substr(last, i, 4) FOR i IN range(1, length(last) - 2)])"))
 def lmer4_blocks(spark, sf_dir):
     return b.index(planted(spark, sf_dir), b.left_padded("last", 4))
@@ -310,10 +323,11 @@ def ed_all_pairs(spark, sf_dir):
 
 
 def name_pairs(spark, sf_dir) -> DataFrame:
-    """All pairs of the different part names; parts have a small set of names, whatever their number."""
+    """All pairs of the different part names, which are few whatever the number of parts, dealt out as the records of one block."""
     u = names(spark, sf_dir)
-    one = u.select(F.col("rec_idx").alias("l"), F.col("p_name").alias("a"), F.lit(1).alias("one"))
-    return one.join(u.select(F.col("rec_idx").alias("r"), F.col("p_name").alias("b"), F.lit(1).alias("one")), "one").where("l < r").drop("one")
+    met = p.within_blocks(u.select(F.lit("all").alias("block"), F.col("rec_idx").alias("rec")))
+    one = u.select(F.col("rec_idx").alias("l"), F.col("p_name").alias("a"))
+    return met.join(one, "l").join(one.select(F.col("l").alias("r"), F.col("a").alias("b")), "r").select("l", "r", "a", "b")
 
 
 PAIRS = NAMES + ", pairs AS (SELECT x.rec_idx AS l, y.rec_idx AS r, x.p_name AS a, y.p_name AS b FROM names x JOIN names y ON x.rec_idx < y.rec_idx)\n"
@@ -401,13 +415,36 @@ def jaro_thresholded(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("l", "r", F.round(m.jaro_at_least("a", "b", 0.8), 6).alias("jaro"))
 
 
-@query()
+@query("""WITH s AS MATERIALIZED (SELECT id, list_aggregate([substr('abcde', CAST(CAST('0x' || substr(md5(id || ':0:' || i), 1, 15) AS BIGINT) % 5 AS INTEGER) + 1, 1) FOR i IN range(1, 26)], 'string_agg', '') AS v FROM (SELECT unnest(range(10000)) AS id))
+SELECT a.id AS l, b.id AS r, round(jaro_similarity(a.v, b.v), 6) AS jaro FROM s a JOIN s b ON a.id < b.id WHERE jaro_similarity(a.v, b.v) >= 0.9000001""")
 def jaro_all_pairs(spark, sf_dir):
     """10,000 random strings of 25 letters out of 5, all with all: the setting of the published timings."""
-    return m.all_pairs_jaro(g.random_strings(spark, 10_000, 25, 5), "value", 0.9)
+    return m.all_pairs_jaro(g.random_strings(spark, 10_000, 25, 5), "value", 0.9000001).withColumn("jaro", F.round("jaro", 6))
 
 
-@query()
+def _long_pairs(spark, length: int, alphabet: int, n: int = 1500) -> DataFrame:
+    """All pairs of random strings of a length beyond one machine word, of different lengths by up to a third."""
+    s = g.random_strings(spark, n, length, alphabet).withColumn("value", F.substring("value", 1, length - 2) if not length % 2 else F.col("value"))
+    return m.all_pairs_jaro(s.withColumn("value", F.col("value").substr(F.lit(1), (F.length("value") - F.col("id") % (length // 3)).cast("int"))), "value", 0.7000001).withColumn("jaro", F.round("jaro", 6))
+
+
+def _long_sql(length: int, alphabet: int, n: int = 1500) -> str:
+    keep = length - 2 if not length % 2 else length
+    return f"""WITH s AS MATERIALIZED (SELECT id, substr(list_aggregate([substr('abcdefghijklmnopqrstuvwxyz', CAST(CAST('0x' || substr(md5(id || ':0:' || i), 1, 15) AS BIGINT) % {alphabet} AS INTEGER) + 1, 1) FOR i IN range(1, {length + 1})], 'string_agg', ''), 1, CAST({keep} - id % {length // 3} AS INTEGER)) AS v FROM (SELECT unnest(range({n})) AS id))
+SELECT a.id AS l, b.id AS r, round(jaro_similarity(a.v, b.v), 6) AS jaro FROM s a JOIN s b ON a.id < b.id WHERE jaro_similarity(a.v, b.v) >= 0.7000001"""
+
+
+for _n in (75, 150, 500):
+    QUERIES[f"jaro_length_{_n}"] = lambda spark, sf_dir, _n=_n: _long_pairs(spark, _n, 5 if _n < 500 else 4)
+    SQL[f"jaro_length_{_n}"] = _long_sql(_n, 5 if _n < 500 else 4)
+
+
+# a row of the table at a time; within a row the best way from the left is a minimum over all places before
+@query(PAIRS.replace("WITH names", "WITH RECURSIVE names") + """, way(l, r, a, b, i, before, line) AS (SELECT l, r, a, b, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), range(length(b) + 1) FROM pairs
+  UNION ALL SELECT l, r, a, b, i + 1, line, [list_min([t[k] + j - k FOR k IN range(1, j + 1)]) FOR j IN range(1, len(t) + 1)] FROM (SELECT *, list_concat([i + 1],
+    [least(line[j + 1] + 1, line[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 0 ELSE 1 END,
+      CASE WHEN i >= 1 AND j >= 2 AND substr(a, i + 1, 1) = substr(b, j - 1, 1) AND substr(a, i, 1) = substr(b, j, 1) THEN before[j - 1] + 1 ELSE 1000 END) FOR j IN range(1, length(b) + 1)]) AS t FROM way WHERE i < length(a)))
+SELECT l, r, line[-1] AS osa FROM way WHERE i = length(a)""")
 def osa(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("l", "r", m.osa("a", "b").alias("osa"))
 
@@ -449,7 +486,7 @@ att AS (SELECT l, r, a.source AS l_source, b.source AS r_source, a.first AS l_fi
 @query(RAW + f"SELECT l, r FROM att WHERE l_source <> r_source AND {_D['last']} <= 3 AND {_D['first']} + {_D['suburb']} + {_D['postcode']} <= 5")
 def match_source(spark, sf_dir):
     r = planted(spark, sf_dir)
-    return p.attach(p.within_blocks(super_index(r)), r, [*COLS, "source"]).where(pr.other_source()).where(pr.block_and_rest("last", 3, ["first", "suburb", "postcode"], 5)).select("l", "r")
+    return p.candidate_pairs(super_index(r), r, [*COLS, "source"]).where(pr.other_source()).where(pr.block_and_rest("last", 3, ["first", "suburb", "postcode"], 5)).select("l", "r")
 
 
 _J = [f"jaro_similarity(l_{c}, r_{c})" for c in COLS]
@@ -460,6 +497,26 @@ def match_mean_jaro(spark, sf_dir):
     return pr.with_jaro(candidates(spark, sf_dir), COLS, 0.8, 0.9).select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 
+_JS = [f"CAST(floor(jaro_similarity(l_{c}, r_{c}) * 1000 + 1e-9) AS BIGINT)" for c in COLS]
+
+
+@query(BLOCKS + f"""SELECT l, r, round(CASE WHEN {' AND '.join(x + ' >= 0.8' for x in _J)} THEN ({' + '.join(_J)}) / 4 ELSE 0 END, 6) AS mean_or_zero,
+  CAST(floor(CASE WHEN {' AND '.join(x + ' >= 800' for x in _JS)} AND ({' + '.join(_JS)}) / 4 >= 900 THEN ({' + '.join(_JS)}) / 4 ELSE 0 END) AS BIGINT) AS thousandths FROM att""")
+def pair_similarity(spark, sf_dir):
+    j = [m.jaro(f"l_{c}", f"r_{c}") for c in COLS]
+    return candidates(spark, sf_dir).select("l", "r", F.round(pr.similarity_or_zero(j, [0.8] * 4), 6).alias("mean_or_zero"), pr.scaled_similarity(j, [800] * 4, 900).alias("thousandths"))
+
+
+@query(BLOCKS + f"SELECT l, r FROM att WHERE {' AND '.join(x + ' >= 0.8' for x in _J)} AND ({' + '.join(_J)}) / 4 >= 0.85")
+def match_thresholded_jaro(spark, sf_dir):
+    return candidates(spark, sf_dir).where(pr.thresholded_jaro(COLS, 0.8, 0.85)).select("l", "r")
+
+
+@query(BLOCKS + f"SELECT l, r FROM att WHERE {' AND '.join(x + ' >= 0.9' for x in _J)}")
+def match_each_jaro(spark, sf_dir):
+    return pr.with_jaro(candidates(spark, sf_dir), COLS, 0.9).select("l", "r")
+
+
 @query(BLOCKS + f"SELECT l, r, {_SUM} AS total, CASE WHEN {_SUM} > 5 THEN 99 ELSE {_SUM} END AS capped FROM att")
 def pair_distance(spark, sf_dir):
     return candidates(spark, sf_dir).select("l", "r", pr.total_distance(COLS).alias("total"), pr.total_distance(COLS, 5).alias("capped"))
@@ -480,9 +537,17 @@ def headless_edges(spark, sf_dir):
     return _headless(spark, sf_dir)
 
 
-@query(_HEADLESS + "SELECT l, r FROM edges JOIN uniq a ON a.rec_idx = l JOIN uniq b ON b.rec_idx = r WHERE levenshtein(a.first, b.first) + levenshtein(a.last, b.last) + levenshtein(a.suburb, b.suburb) + levenshtein(a.postcode, b.postcode) <= 1")
+#: All pairs of unique records whose keys, with a mark after each attribute, agree without the first character of one or both.
+_MARKED = """, marked AS (SELECT rec_idx, last || '#' || first || '#' || suburb || '#' || postcode || '#' AS k FROM uniq),
+mkeys AS (SELECT rec_idx, k FROM marked UNION SELECT rec_idx, substr(k, 2) FROM marked),
+headless AS (SELECT DISTINCT x.rec_idx AS l, y.rec_idx AS r FROM mkeys x JOIN mkeys y USING (k) WHERE x.rec_idx < y.rec_idx)
+"""
+
+
+@query(_HEADLESS + _MARKED + "SELECT l, r FROM headless JOIN uniq a ON a.rec_idx = l JOIN uniq b ON b.rec_idx = r WHERE levenshtein(a.first, b.first) + levenshtein(a.last, b.last) + levenshtein(a.suburb, b.suburb) + levenshtein(a.postcode, b.postcode) <= 1")
 def headless_checked(spark, sf_dir):
-    return p.attach(_headless(spark, sf_dir), unique(spark, sf_dir), COLS).where(pr.sum_within(COLS, 1)).select("l", "r")
+    u = unique(spark, sf_dir)
+    return p.candidate_pairs(p.headless_index(u, ["last", "first", "suburb", "postcode"]), u, COLS).where(pr.sum_within(COLS, 1)).select("l", "r")
 
 
 @query(PLANTED + "SELECT a.rec_idx AS l, b.rec_idx AS r FROM planted a JOIN planted b ON a.first = b.first AND a.postcode = b.postcode WHERE a.source = 0 AND b.source = 1")
@@ -505,8 +570,8 @@ def semi_join(spark, sf_dir):
 # components and clusters ---------------------------------------------------------------------------------------------
 
 SPEC = LinkageSpec(compare=COLS, block="last", total=1)
-_COMP = _HEADLESS + f""", blocks AS (SELECT rec_idx AS rec, substr(last, 1, 1) || '|' || k AS block FROM (SELECT rec_idx, last, unnest({SLIDING}) AS k FROM uniq)),
-cand AS (SELECT DISTINCT x.rec AS l, y.rec AS r FROM blocks x JOIN blocks y ON x.block = y.block AND x.rec < y.rec UNION SELECT l, r FROM edges),
+_COMP = _HEADLESS + _MARKED + f""", blocks AS (SELECT rec_idx AS rec, substr(last, 1, 1) || '|' || k AS block FROM (SELECT rec_idx, last, unnest({SLIDING}) AS k FROM uniq)),
+cand AS (SELECT DISTINCT x.rec AS l, y.rec AS r FROM blocks x JOIN blocks y ON x.block = y.block AND x.rec < y.rec UNION SELECT l, r FROM headless),
 good AS (SELECT l, r FROM cand JOIN uniq a ON a.rec_idx = l JOIN uniq b ON b.rec_idx = r
   WHERE levenshtein(a.first, b.first) + levenshtein(a.last, b.last) + levenshtein(a.suburb, b.suburb) + levenshtein(a.postcode, b.postcode) <= 1),
 both_ways AS (SELECT l AS a, r AS b FROM good UNION SELECT r, l FROM good),
@@ -543,12 +608,28 @@ def _refined(spark, sf_dir, method: str, rule, weight, cols=COLS, with_source: b
     return rf.refine(met, nodes, method, sources, **options)
 
 
-@query()
+#: Matching pairs of all records of a component, and the records of each component in order.
+_MET = _COMP + """, part AS (SELECT component, list_sort(list(rec)) AS nodes FROM linked GROUP BY component),
+pair AS (SELECT x.component, x.rec AS a, y.rec AS b FROM linked x JOIN linked y ON x.component = y.component AND x.rec <> y.rec JOIN planted p ON p.rec_idx = x.rec JOIN planted q ON q.rec_idx = y.rec
+  WHERE levenshtein(p.first, q.first) + levenshtein(p.last, q.last) + levenshtein(p.suburb, q.suburb) + levenshtein(p.postcode, q.postcode) <= 1),
+beside AS (SELECT l.rec AS node, coalesce(list(b) FILTER (b IS NOT NULL), []) AS near FROM linked l LEFT JOIN pair ON a = l.rec GROUP BY l.rec)
+"""
+
+
+@query(_MET + """, turn(free, taken) AS (SELECT nodes, CAST([] AS BIGINT[]) FROM part
+  UNION ALL SELECT list_filter(free, lambda x: x <> free[1] AND NOT list_contains(near, x)), list_filter(free, lambda x: x = free[1] OR list_contains(near, x)) FROM turn JOIN beside ON node = free[1] WHERE len(free) > 0)
+SELECT unnest(taken) AS rec, taken[1] AS cluster FROM turn WHERE len(taken) > 0""")
 def star_clusters(spark, sf_dir):
     return _refined(spark, sf_dir, "star", pr.sum_within(COLS, 1), pr.total_distance(COLS))
 
 
-@query()
+# one record at a time: it joins what is taken if it matches all of it, else it waits for a later turn
+@query(_MET + """, turn(todo, taken, later, done) AS (SELECT nodes[2:], nodes[1:1], CAST([] AS BIGINT[]), false FROM part
+  UNION ALL SELECT CASE WHEN len(todo) > 0 THEN todo[2:] ELSE later[2:] END,
+    CASE WHEN len(todo) = 0 THEN later[1:1] WHEN len(list_intersect(near, taken)) = len(taken) THEN list_append(taken, todo[1]) ELSE taken END,
+    CASE WHEN len(todo) = 0 THEN CAST([] AS BIGINT[]) WHEN len(list_intersect(near, taken)) = len(taken) THEN later ELSE list_append(later, todo[1]) END, len(todo) = 0
+  FROM turn LEFT JOIN beside ON node = todo[1] WHERE len(todo) > 0 OR len(later) > 0)
+SELECT unnest(taken) AS rec, taken[1] AS cluster FROM turn WHERE len(todo) = 0""")
 def clique_clusters(spark, sf_dir):
     return _refined(spark, sf_dir, "clique", pr.sum_within(COLS, 1), pr.total_distance(COLS))
 
@@ -574,7 +655,35 @@ def knn_complete(spark, sf_dir):
     return _refined(spark, sf_dir, "source_complete", pr.other_source() & pr.sum_within(COLS, 5), pr.total_distance(COLS), [*COLS, "source"], True, nearest=20, repeats=3)
 
 
+@query(_MET + """, sides AS (SELECT component, least(a, b) AS l, greatest(a, b) AS r, a AS node, row_number() OVER (PARTITION BY a ORDER BY w, least(a, b), greatest(a, b)) AS k FROM (SELECT pair.*,
+  levenshtein(p.first, q.first) + levenshtein(p.last, q.last) + levenshtein(p.suburb, q.suburb) + levenshtein(p.postcode, q.postcode) AS w FROM pair JOIN planted p ON p.rec_idx = a JOIN planted q ON q.rec_idx = b))
+SELECT DISTINCT component, l, r FROM sides WHERE k <= 2""")
+def nearest_two(spark, sf_dir):
+    met = rf.component_pairs(planted(spark, sf_dir), _nodes(spark, sf_dir), COLS, pr.sum_within(COLS, 1), pr.total_distance(COLS))
+    return rf.nearest_edges(met, 2).select("component", "l", "r")
+
+
 @query()
+def complete_driver(spark, sf_dir):
+    r = planted(spark, sf_dir).withColumn("source", F.when(F.col("entity_id") % 3 == 0, F.col("source") % 4).otherwise(F.col("source")))
+    spec = LinkageSpec(compare=COLS, block="last", source="source", total=5)
+    return linkage.complete_clusters(r, _nodes(spark, sf_dir), spec, 5, pr.sum_within(COLS, 5), pr.total_distance(COLS), nearest=5, refill=True)
+
+
+@query()
+def similar_complete(spark, sf_dir):
+    spec = LinkageSpec(compare=COLS, block="last", source="source")
+    value = pr.scaled_similarity([m.jaro_winkler(f"l_{c}", f"r_{c}") for c in COLS], [75] * 4, 85, 100)
+    return linkage.complete_clusters(planted(spark, sf_dir), _nodes(spark, sf_dir), spec, 5, value > 0, value, "similar_complete", least=85)
+
+
+@query(_MET + """, turn(free, taken) AS (SELECT nodes, CAST([] AS BIGINT[]) FROM part
+  UNION ALL SELECT list_filter(free, lambda x: x <> free[1] AND NOT list_contains(near, x)), list_filter(free, lambda x: x = free[1] OR list_contains(near, x)) FROM turn JOIN beside ON node = free[1] WHERE len(free) > 0),
+star AS (SELECT s.rec, cluster, component, last, suburb FROM (SELECT unnest(taken) AS rec, taken[1] AS cluster FROM turn WHERE len(taken) > 0) s JOIN linked l ON l.rec = s.rec JOIN planted p ON p.rec_idx = s.rec),
+vote AS (SELECT s.rec, h.cluster, h.n * 200 AS v FROM star s JOIN (SELECT component, cluster, last, count(*) AS n FROM star GROUP BY ALL) h USING (component, last)
+  UNION ALL SELECT s.rec, h.cluster, h.n * 100 FROM star s JOIN (SELECT component, cluster, suburb, count(*) AS n FROM star GROUP BY ALL) h USING (component, suburb)),
+total AS (SELECT rec, cluster, sum(v) AS v FROM vote GROUP BY rec, cluster)
+SELECT rec, total.cluster AS cluster FROM total JOIN star USING (rec) QUALIFY row_number() OVER (PARTITION BY rec ORDER BY v DESC, (total.cluster = star.cluster) DESC, total.cluster) = 1""")
 def moved_by_votes(spark, sf_dir):
     r, nodes = planted(spark, sf_dir), _nodes(spark, sf_dir)
     star = rf.refine(rf.component_pairs(r, nodes, COLS, pr.sum_within(COLS, 1), pr.total_distance(COLS)), nodes, "star")
@@ -582,7 +691,13 @@ def moved_by_votes(spark, sf_dir):
     return rf.move_by_votes(r, c, ["last", "suburb"]).select("rec", "cluster")
 
 
-@query()
+@query(_COMP + f""", few AS (SELECT rec FROM linked WHERE component IN (SELECT component FROM linked GROUP BY component HAVING count(*) <= 4)),
+rb AS (SELECT rec_idx AS rec, substr(last, 1, 1) || '|' || k AS block FROM (SELECT rec_idx, last, unnest({SLIDING}) AS k FROM planted)),
+met AS (SELECT DISTINCT x.rec AS l, y.rec AS r FROM rb x JOIN rb y ON x.block = y.block AND x.rec < y.rec WHERE x.rec IN (SELECT rec FROM few) OR y.rec IN (SELECT rec FROM few)),
+loose AS (SELECT l, r FROM met JOIN planted a ON a.rec_idx = l JOIN planted b ON b.rec_idx = r WHERE levenshtein(a.first, b.first) + levenshtein(a.last, b.last) + levenshtein(a.suburb, b.suburb) + levenshtein(a.postcode, b.postcode) <= 2
+  UNION SELECT component, rec FROM linked),
+turns AS (SELECT l AS a, r AS b FROM loose UNION SELECT r, l FROM loose), wider(node, seen) AS (SELECT rec, rec FROM linked UNION SELECT turns.b, seen FROM wider JOIN turns ON turns.a = node)
+SELECT node AS rec, min(seen) AS component FROM wider GROUP BY node""")
 def generalised_pass(spark, sf_dir):
     r = planted(spark, sf_dir)
     c = linkage.link(r, SPEC).withColumnRenamed("component", "cluster")
@@ -663,16 +778,61 @@ def dist_maxima(spark, sf_dir):
     return d.maxima(d.entity_distances(planted(spark, sf_dir), COLS), COLS)
 
 
+def _coverage_sql(dist: str, points: list[str], after: str = "SELECT * FROM shares") -> str:
+    """The entities whose first record reaches all others over the pairs that meet a condition, for each condition."""
+    fit = " UNION ALL ".join(f"SELECT {i} AS point, entity, l, r FROM dist WHERE {x}" for i, x in enumerate(points))
+    return dist + f""", fit AS ({fit}), ways AS (SELECT point, entity, l AS a, r AS b FROM fit UNION ALL SELECT point, entity, r, l FROM fit),
+size AS (SELECT entity_id AS entity, count(*) AS n, min(rec_idx) AS start FROM planted GROUP BY entity_id), point AS (SELECT CAST(unnest(range({len(points)})) AS INTEGER) AS point),
+reached(point, entity, node) AS (SELECT point, entity, start FROM size, point UNION SELECT w.point, w.entity, w.b FROM reached g JOIN ways w ON w.point = g.point AND w.entity = g.entity AND w.a = g.node),
+whole AS (SELECT g.point, entity, n FROM (SELECT point, entity, count(*) AS m FROM reached GROUP BY point, entity) g JOIN size USING (entity) WHERE m = n),
+counts AS (SELECT point, (SELECT count(*) FROM fit WHERE fit.point = point.point) AS pairs, (SELECT count(*) FROM whole WHERE whole.point = point.point) AS entities,
+  CAST((SELECT coalesce(sum(n), 0) FROM whole WHERE whole.point = point.point) AS BIGINT) AS records FROM point),
+shares AS (SELECT point, pairs, entities, round(entities / (SELECT count(*) FROM size), 6) AS entity_share, records, round(records / (SELECT sum(n) FROM size), 6) AS record_share FROM counts)
+""" + after
+
+
 GRID = [([a, l, a, z], t) for a in (0, 1) for l in (0, 1, 2) for z in (0, 1) for t in (0, 1, 2)]
 _POINTS = [" AND ".join(f"d_{c} <= {x}" for c, x in zip(COLS, lim, strict=True)) + f" AND d_first + d_last + d_suburb + d_postcode <= {t}" for lim, t in GRID]
 
 
-@query(_DIST + ", " + "per AS (SELECT entity, count(*) AS n, " + ", ".join(f"count(*) FILTER ({x}) AS p{i}" for i, x in enumerate(_POINTS)) + " FROM dist GROUP BY entity) " + " UNION ALL ".join(f"SELECT {i} AS point, CAST(sum(p{i}) AS BIGINT) AS pairs, count(*) FILTER (p{i} = n) AS entities FROM per" for i in range(len(GRID))))
+@query(_coverage_sql(_DIST, _POINTS))
 def threshold_grid(spark, sf_dir):
     r = planted(spark, sf_dir)
     return d.grid_coverage(d.entity_distances(r, COLS), COLS, GRID, r)
 
 
+@query(_coverage_sql(_DIST, _POINTS, "SELECT * FROM shares WHERE entity_share > 0.999 AND record_share > 0.999 ORDER BY point LIMIT 1"))
+def threshold_sweep(spark, sf_dir):
+    r = planted(spark, sf_dir)
+    return d.first_covering(d.grid_coverage(d.entity_distances(r, COLS), COLS, GRID, r), 0.999)
+
+
+JARO_GRID = [([t, l, t, t], mean) for t in (0.9, 0.75) for l in (0.95, 0.9, 0.85, 0.75) for mean in (0.975, 0.9, 0.75)]
+_SIM = PLANTED + ", dist AS (SELECT a.entity_id AS entity, a.rec_idx AS l, b.rec_idx AS r, " + ", ".join(f"round(jaro_similarity(a.{c}, b.{c}), 9) AS s_{c}" for c in COLS) + " FROM planted a JOIN planted b ON a.entity_id = b.entity_id AND a.rec_idx < b.rec_idx)\n"
+_SIM_POINTS = [" AND ".join(f"s_{c} >= {x}" for c, x in zip(COLS, lim, strict=True)) + f" AND (s_first + s_last + s_suburb + s_postcode) / 4 > {t}" for lim, t in JARO_GRID]
+
+
+@query(_coverage_sql(_SIM, _SIM_POINTS))
+def jaro_grid(spark, sf_dir):
+    r = planted(spark, sf_dir)
+    return d.similarity_grid(d.entity_similarities(r, COLS), COLS, JARO_GRID, r)
+
+
+#: For each entity the last edge of the spanning tree in the order (w, l, r): the first edge up to which all edges join its records.
+_TREE = _DIST + """, e AS (SELECT *, d_first + d_last + d_suburb + d_postcode AS w, row_number() OVER (PARTITION BY entity ORDER BY d_first + d_last + d_suburb + d_postcode, l, r) AS k FROM dist),
+size AS (SELECT entity_id AS entity, count(*) AS n, min(rec_idx) AS start FROM planted GROUP BY entity_id), ways AS (SELECT entity, k, l AS a, r AS b FROM e UNION ALL SELECT entity, k, r, l FROM e),
+reached(entity, upto, node) AS (SELECT e.entity, e.k, size.start FROM e JOIN size USING (entity) UNION SELECT g.entity, g.upto, w.b FROM reached g JOIN ways w ON w.entity = g.entity AND w.a = g.node AND w.k <= g.upto),
+last AS (SELECT entity, min(upto) AS k FROM (SELECT entity, upto, count(*) AS m FROM reached GROUP BY entity, upto) JOIN size USING (entity) WHERE m = n GROUP BY entity)
+"""
+
+
+@query(_TREE + """, ok AS (SELECT entity, d_first <= 1 AND d_last <= 1 AND d_suburb <= 1 AND d_postcode <= 1 AND w <= 1 AS ok FROM last JOIN e USING (entity, k))
+SELECT count(*) AS entities, count(*) FILTER (coalesce(ok, true)) AS valid, count(*) FILTER (NOT coalesce(ok, true)) AS invalid, CAST(coalesce(sum(n) FILTER (coalesce(ok, true)), 0) AS BIGINT) AS valid_records FROM size LEFT JOIN ok USING (entity)""")
+def threshold_validity(spark, sf_dir):
+    r = planted(spark, sf_dir)
+    return d.threshold_validity(d.entity_distances(r, COLS), COLS, [1, 1, 1, 1], 1, r)
+
+
 @query(_COMP + """, own AS (SELECT rec, entity_id AS entity, component FROM linked JOIN planted ON rec = rec_idx), per AS (SELECT entity, count(*) AS n, min(component) = max(component) AS joined FROM own GROUP BY entity)
 SELECT count(*) AS entities, count(*) FILTER (joined) AS joined_entities, CAST(sum(n) AS BIGINT) AS records, CAST(coalesce(sum(n) FILTER (joined), 0) AS BIGINT) AS joined_records FROM per""")
 def blocking_coverage(spark, sf_dir):
@@ -681,13 +841,15 @@ def blocking_coverage(spark, sf_dir):
     return d.coverage(linkage.edges(r, SPEC).unionAll(exact), r)
 
 
-@query()
+@query(_TREE + "SELECT entity AS component, n AS records, CAST(w AS DOUBLE) AS bottleneck FROM last JOIN e USING (entity, k) JOIN size USING (entity)")
 def mst_bottleneck(spark, sf_dir):
     dist = d.entity_distances(planted(spark, sf_dir), COLS)
     return rf.mst_bottlenecks(dist.select(F.col("entity").alias("component"), "l", "r", sum((F.col(f"d_{c}") for c in COLS[1:]), F.col("d_first")).cast("double").alias("w")))
 
 
-@query()
+@query(BLOCKS + """, s AS (SELECT CAST(CAST('0x' || substr(md5(block), 1, 15) AS BIGINT) % 16 AS INTEGER) AS chunk, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS comparisons FROM blocks GROUP BY block),
+k AS (SELECT chunk, CAST(coalesce(sum(comparisons), 0) AS BIGINT) AS comparisons FROM (SELECT CAST(unnest(range(16)) AS INTEGER) AS chunk) LEFT JOIN s USING (chunk) GROUP BY chunk)
+SELECT chunk, comparisons, min(comparisons) OVER () AS least, max(comparisons) OVER () AS most, round(max(comparisons) OVER () / greatest(avg(comparisons) OVER (), 1e-9), 6) AS imbalance FROM k""")
 def chunk_balance(spark, sf_dir):
     return d.chunk_balance(b.sizes(super_index(unique(spark, sf_dir))), 16)
 
@@ -705,14 +867,16 @@ def sample_rows(spark, sf_dir):
     return g.sample_rows(planted(spark, sf_dir), 100, "rec_idx").select("rec_idx")
 
 
-@query()
+@query(NAMES + """, k AS (SELECT rec_idx, row_number() OVER (ORDER BY rec_idx) - 1 AS row FROM names), c AS (SELECT count(*) AS n FROM names),
+d AS (SELECT unnest(range(CAST(floor(0.5 * n * n) AS BIGINT))) AS draw, n FROM c), z AS (SELECT draw, CAST('0x' || substr(md5(draw || ':3:x'), 1, 15) AS BIGINT) % n AS i, CAST('0x' || substr(md5(draw || ':3:y'), 1, 15) AS BIGINT) % n AS j FROM d)
+SELECT draw, a.rec_idx AS x, b.rec_idx AS y FROM z JOIN k a ON a.row = i JOIN k b ON b.row = j""")
 def random_pairs(spark, sf_dir):
     return p.random_pairs(names(spark, sf_dir), 0.5, 3)
 
 
-@query(NAMES + "SELECT rec_idx, (row_number() OVER (ORDER BY rec_idx)) - 1 AS row FROM names")
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row FROM lineitem")
 def number_rows(spark, sf_dir):
-    return p.number_rows(names(spark, sf_dir).select("rec_idx"), "rec_idx").select("rec_idx", "row")
+    return p.number_rows(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "row")
 
 
 @query("SELECT c_custkey, copy FROM customer, (SELECT CAST(unnest(range(3)) AS INTEGER) AS copy)")
@@ -725,13 +889,39 @@ def fixed_width(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", g.fixed_width("p_name", 26).alias("value"))
 
 
+def _edit_sql(table: str, col: str, k: int, key: str) -> str:
+    """One drawn edit of a column, in SQL; `key` is the string that seeds it."""
+    h = lambda what: f"CAST('0x' || substr(md5({key} || ':{k}:{what}'), 1, 15) AS BIGINT)"
+    letters = "'abcdefghijklmnopqrstuvwxyz'"
+    return f"""SELECT * EXCLUDE (kind, place) REPLACE (CASE kind WHEN 0 THEN substr({col}, 1, place) || substr({letters}, CAST({h("letter")} % 26 AS INTEGER) + 1, 1) || substr({col}, place + 1)
+  WHEN 1 THEN substr({col}, 1, place) || substr({col}, place + 2)
+  ELSE substr({col}, 1, place) || substr({letters}, CAST((greatest(strpos({letters}, substr({col}, place + 1, 1)), 1) + {h("other")} % 25) % 26 AS INTEGER) + 1, 1) || substr({col}, place + 2) END AS {col})
+FROM (SELECT *, CAST({h("place")} % (length({col}) + CASE kind WHEN 0 THEN 1 ELSE 0 END) AS INTEGER) AS place FROM (SELECT *, CASE WHEN length({col}) = 0 THEN 0 ELSE {h("kind")} % 3 END AS kind FROM {table}))"""
+
+
+_EDITED = "WITH o AS (SELECT c_custkey, c_name, c_name || ':0' AS k FROM customer), a AS (" + _edit_sql("o", "c_name", 0, "k") + "), b AS (" + _edit_sql("a", "c_name", 1, "k") + ")\n"
+
+
+@query(_EDITED + """, p AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS s FROM customer),
+q AS (SELECT c_custkey, s, list_sort([{h: md5(s || ':0:' || i), i: i} FOR i IN range(1, 9)])[1:2] AS c FROM p),
+z AS (SELECT c_custkey, list_aggregate([CASE WHEN list_contains([x.i FOR x IN c], i) THEN substr('0123456789', CAST((strpos('0123456789', substr(s, i, 1)) + CAST('0x' || substr(md5(s || ':0:' || i || ':by'), 1, 15) AS BIGINT) % 9) % 10 AS INTEGER) + 1, 1)
+  ELSE substr(s, i, 1) END FOR i IN range(1, 9)], 'string_agg', '') AS dob FROM q),
+m AS (SELECT c_custkey, list_aggregate([CASE WHEN CAST('0x' || substr(md5(c_name || ':0:' || i || ':in'), 1, 15) AS BIGINT) % 1000 < 300 THEN CAST(CAST('0x' || substr(md5(c_name || ':0:' || i || ':digit'), 1, 15) AS BIGINT) % 10 AS VARCHAR) ELSE '' END
+  || substr(c_name, i, 1) FOR i IN range(1, length(c_name) + 1)], 'string_agg', '') AS mixed FROM customer)
+SELECT c_custkey, a.c_name AS one, b.c_name AS two, dob, mixed FROM a JOIN b USING (c_custkey) JOIN z USING (c_custkey) JOIN m USING (c_custkey)""")
+def edited_strings(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    c = c.select("c_custkey", *[F.col("c_name").alias(x) for x in ("one", "two", "mixed")], F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("dob"))
+    return g.with_digits(g.with_digit_edits(g.with_edits(g.with_edits(c, "one", 1), "two", 2), "dob", 2), "mixed").select("c_custkey", "one", "two", "dob", "mixed")
+
+
 @query()
 def k_distant(spark, sf_dir):
     r = planted(spark, sf_dir).where("source = 0").select("entity_id", F.col("last").alias("name"), F.lpad(F.col("entity_id").cast("string"), 8, "0").alias("dob"))
     return g.k_distant(r, "name", ["dob"])
 
 
-@query()
+@query("""SELECT id, list_aggregate([substr('abcde', CAST(CAST('0x' || substr(md5(id || ':0:' || i), 1, 15) AS BIGINT) % 5 AS INTEGER) + 1, 1) FOR i IN range(1, 26)], 'string_agg', '') AS value FROM (SELECT unnest(range(1000)) AS id)""")
 def random_strings(spark, sf_dir):
     return g.random_strings(spark, 1000, 25, 5)
 

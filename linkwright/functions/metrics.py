@@ -174,7 +174,7 @@ def winkler_value(s: str, t: str) -> float:
 
 
 def osa_value(s: str, t: str) -> int:
-    """Edit distance in which two neighbours may change places, each part of the string being edited once."""
+    """Edit distance of two strings in which two neighbours may change places, each part of the string being edited once."""
     if s == t:
         return 0
     before, row = [], list(range(len(t) + 1))
@@ -189,64 +189,120 @@ def osa_value(s: str, t: str) -> int:
     return row[-1]
 
 
-def _over_distinct(f, a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a.fillna(""), b.fillna(""), strict=True):
-        v = known.get(pair)
-        if v is None:
-            v = known[pair] = f(*pair)
-        out.append(v)
-    return pd.Series(out)
+#: Pairs times letters, and pairs times characters, that are compared in one step.
+CELLS = 1 << 17
 
 
 class JaroTable:
-    """Strings of up to 64 characters as codes, and for each string and code the places where it stands, as bits.
+    """Strings as codes, compared pair by pair for many pairs at once.
 
-    Two strings are then compared in steps of one character, for many pairs at once."""
+    Up to 64 characters, the places of each letter of a string are the bits of a number, and a step looks at one character of all
+    pairs. For longer ones the places of each letter stand in a row; a step looks at one place of all pairs and letters, so a pair takes
+    as many steps as its commonest letter has places, and the work is linear in the lengths."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
         self.length = np.array([len(s) for s in strings], dtype=np.int64)
         self.short = self.length <= 64
-        letters = sorted({c for s in strings if len(s) <= 64 for c in s})
-        code = {c: i + 1 for i, c in enumerate(letters)}
-        width = int(self.length[self.short].max(initial=0))
-        self.codes = np.zeros((len(strings), max(width, 1)), dtype=np.int64)
-        self.places = np.zeros((len(strings), len(letters) + 1), dtype=np.uint64)
-        for i, s in enumerate(strings):
-            if len(s) <= 64:
-                c = [code[x] for x in s]
-                self.codes[i, : len(c)] = c
-                for j, x in enumerate(c):
-                    self.places[i, x] |= np.uint64(1 << j)
-        self.flat = self.places.reshape(-1)
-
-    def compare(self, a: np.ndarray, b: np.ndarray, whole: bool = True) -> np.ndarray:
-        """Jaro similarity of the strings numbered a and b, pair by pair."""
+        flat = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+        letters, code = np.unique(flat, return_inverse=True)
+        self.letters = len(letters)
+        width = max(int(self.length.max(initial=0)), 1)
+        row = np.repeat(np.arange(len(strings)), self.length)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        self.codes = np.zeros((len(strings), width), dtype=np.uint16 if self.letters < 1 << 16 else np.int32)
+        self.codes[row, at] = code + 1
+        some = self.short[row]
+        self.places = np.zeros((len(strings), self.letters + 1), dtype=np.uint64) if self.short.any() else None
+        if self.places is not None:
+            np.bitwise_or.at(self.places.reshape(-1), row[some] * (self.letters + 1) + code[some] + 1, np.uint64(1) << at[some].astype(np.uint64))
+            self.flat = self.places.reshape(-1)
+        if not self.short.all():
+            order = np.argsort(row * np.int64(self.letters) + code, kind="stable")
+            self.at = at[order].astype(np.int32)
+            count = np.bincount(row * np.int64(self.letters) + code, minlength=len(strings) * self.letters)
+            self.stop = np.cumsum(count).reshape(len(strings), self.letters)
+            self.count = count.reshape(len(strings), self.letters)
+
+    def compare(self, a: np.ndarray, b: np.ndarray, whole: bool = True, least: float = 0.0) -> np.ndarray:
+        """Jaro similarity of the strings numbered a and b, pair by pair. Pairs that cannot reach `least`, by their lengths or by the letters that
+        both have, may get 0 instead."""
         out = np.zeros(len(a))
-        for start in range(0, len(a), 1 << 15):
-            part = slice(start, start + (1 << 15))
-            out[part] = self._compare(a[part], b[part], whole)
-        long = np.flatnonzero(~(self.short[a] & self.short[b]))
-        for i in long.tolist():
-            out[i] = jaro_value(self.strings[a[i]], self.strings[b[i]], whole)
+        both = self.short[a] & self.short[b]
+        for wanted, step, size in ((both, self._compare, 1 << 15), (~both, self._long, max(1, CELLS // max(self.letters, self.codes.shape[1])))):
+            at = np.flatnonzero(wanted)
+            if least > 0 and len(at):
+                at = at[self._bound(a[at], b[at]) >= least - 1e-12]
+            for start in range(0, len(at), size):
+                part = at[start : start + size]
+                out[part] = step(a[part], b[part], whole)
         return out
 
+    def _bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """No similarity is above this: as many matches as the shorter string has characters, all in order."""
+        n, m = self.length[a], self.length[b]
+        k = np.minimum(n, m)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, (k / n + k / m + 1) / 3, np.where(n == m, 1.0, 0.0))
+
+    def _long(self, a: np.ndarray, b: np.ndarray, whole: bool) -> np.ndarray:
+        n, m = self.length[a], self.length[b]
+        reach = np.maximum(np.maximum(n, m) // 2 - 1, 0).astype(np.int32)
+        ca, cb = self.count[a], self.count[b]
+        pair, letter = np.nonzero((ca > 0) & (cb > 0))
+        je, ie = self.stop[b[pair], letter], self.stop[a[pair], letter]
+        i, j = ie - ca[pair, letter], je - cb[pair, letter]
+        # how many places are left rather than where they end; all fits 32 bits, as a step holds CELLS
+        ie, je = (ie - i).astype(np.int32), (je - j).astype(np.int32)
+        width = self.codes.shape[1]
+        mine, used = np.zeros((len(a), width), dtype=bool), np.zeros((len(a), width), dtype=bool)
+        fm, fu = mine.reshape(-1), used.reshape(-1)
+        base, r = (pair * width).astype(np.int32), reach[pair]
+        order = np.argsort(-np.minimum(ie, je), kind="stable")  # those of the fewest steps stand last
+        i, j, ie, je, base, r = (v[order] for v in (i, j, ie, je, base, r))
+        # places of one letter in both strings, from the left: one that is too far left for the other is passed by
+        while len(i):
+            x, y = self.at[i], self.at[j]
+            d = y - x
+            left, right = d >= -r, d <= r
+            met = np.flatnonzero(left & right)
+            at = base[met]
+            fm[at + x[met]] = True
+            fu[at + y[met]] = True
+            i += left
+            j += right
+            ie -= left
+            je -= right
+            live = np.flatnonzero(np.minimum(ie, je) > 0)
+            if len(live) < len(i):
+                i, j, ie, je, base, r = (v.take(live) for v in (i, j, ie, je, base, r))
+        k = np.count_nonzero(mine, axis=1)
+        row, at = np.nonzero(mine)
+        row2, at2 = np.nonzero(used)
+        moved = np.bincount(row, weights=self.codes[a[row], at] != self.codes[b[row2], at2], minlength=len(a)).astype(np.int64)
+        return self._value(a, b, n, m, k, moved, whole)
+
+    @staticmethod
+    def _value(a, b, n, m, k, moved, whole: bool) -> np.ndarray:
+        half = moved // 2 if whole else moved / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = (k / n + k / m + (k - half) / k) / 3
+        return np.where(a == b, 1.0, np.where(k > 0, v, 0.0))
+
     def _compare(self, a: np.ndarray, b: np.ndarray, whole: bool) -> np.ndarray:
-        n, m = np.where(self.short[a], self.length[a], 0), np.where(self.short[b], self.length[b], 0)
+        n, m = self.length[a], self.length[b]
         one = np.uint64(1)
         reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
         used, mine = np.zeros(len(a), dtype=np.uint64), np.zeros(len(a), dtype=np.uint64)
         row = b * self.places.shape[1]
-        codes = np.ascontiguousarray(self.codes[a].T)
+        codes = np.ascontiguousarray(self.codes[a, : max(int(n.max(initial=0)), 1)].T)
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         # the places within reach of place i: bits up to i + reach, without those below i - reach
         top = reach.astype(np.uint64)
         for i in range(int(n.max(initial=0))):
             hi = np.minimum(top + np.uint64(i + 1), np.uint64(64))
             window = np.where(hi >= 64, full, (one << np.minimum(hi, np.uint64(63))) - one)
-            low = np.maximum(i - reach, 0).astype(np.uint64)
+            low = np.minimum(np.maximum(i - reach, 0), 63).astype(np.uint64)
             x = self.flat[row + codes[i]] & window & (full << low) & ~used
             x &= ~x + one  # the lowest place
             used |= x
@@ -262,16 +318,63 @@ class JaroTable:
             s, t = s ^ ls, t ^ lt
             left = s != 0
             at, s, t = at[left], s[left], t[left]
-        half = moved // 2 if whole else moved / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            v = (k / n + k / m + (k - half) / k) / 3
-        return np.where(a == b, 1.0, np.where(k > 0, v, 0.0))
+        return self._value(a, b, n, m, k, moved, whole)
+
+    def winkler(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Jaro with a boost for up to 4 common first characters; 0.2 if the lengths differ by more than 1."""
+        out = np.full(len(a), 0.2)
+        near = np.flatnonzero(np.abs(self.length[a] - self.length[b]) <= 1)
+        a, b = a[near], b[near]
+        j = self.compare(a, b)
+        head = self.codes[:, :4]
+        same = (head[a] == head[b]) & (head[a] > 0)
+        out[near] = j + 0.1 * np.logical_and.accumulate(same, axis=1).sum(axis=1) * (1 - j)
+        return out
+
+    def osa(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Edit distance in which two neighbours may change places, each part of the string being edited once: a row of the table at a time, for
+        many pairs. Within a row the best way from the left is a running minimum."""
+        out = np.zeros(len(a), dtype=np.int64)
+        order = np.lexsort((self.length[b], self.length[a]))  # pairs of about the same lengths go together
+        size = max(1, CELLS // (self.codes.shape[1] + 1))
+        for start in range(0, len(order), size):
+            part = order[start : start + size]
+            out[part] = self._osa(a[part], b[part])
+        return out
+
+    def _osa(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, m = self.length[a], self.length[b]
+        wide = int(m.max(initial=0))
+        s, t = self.codes[a], self.codes[b, : max(wide, 1)]
+        step = np.arange(wide + 1, dtype=np.int32)
+        before, row = None, np.broadcast_to(step, (len(a), wide + 1)).copy()
+        out = np.where(n == 0, m, 0)
+        for i in range(1, int(n.max(initial=0)) + 1):
+            new = np.empty_like(row)
+            new[:, 0] = i
+            if wide:
+                np.minimum(row[:, 1:] + 1, row[:, :-1] + (t != s[:, i - 1 : i]), out=new[:, 1:])
+                if i > 1 and wide > 1:
+                    swap = (t[:, :-1] == s[:, i - 1 : i]) & (t[:, 1:] == s[:, i - 2 : i - 1])
+                    np.minimum(new[:, 2:], np.where(swap, before[:, :-2] + 1, new[:, 2:]), out=new[:, 2:])
+                new -= step
+                np.minimum.accumulate(new, axis=1, out=new)
+                new += step
+            done = np.flatnonzero(n == i)
+            out[done] = new[done, m[done]]
+            before, row = row, new
+        return out
 
 
-def _jaro_series(a: pd.Series, b: pd.Series, whole: bool) -> pd.Series:
+def _table(a: pd.Series, b: pd.Series) -> tuple[JaroTable, np.ndarray, np.ndarray]:
     codes, strings = pd.factorize(pd.concat([a, b], ignore_index=True).fillna(""))
     codes = codes.astype(np.int64)
-    return pd.Series(JaroTable(list(strings)).compare(codes[: len(a)], codes[len(a) :], whole))
+    return JaroTable(list(strings)), codes[: len(a)], codes[len(a) :]
+
+
+def _jaro_series(a: pd.Series, b: pd.Series, whole: bool, least: float = 0.0) -> pd.Series:
+    table, a, b = _table(a, b)
+    return pd.Series(table.compare(a, b, whole, least))
 
 
 @F.pandas_udf(DoubleType())
@@ -286,12 +389,14 @@ def _jaro_fraction(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _over_distinct(winkler_value, a, b).astype("float64")
+    table, a, b = _table(a, b)
+    return pd.Series(table.winkler(a, b))
 
 
 @F.pandas_udf(LongType())
 def _osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _over_distinct(osa_value, a, b).astype("int64")
+    table, a, b = _table(a, b)
+    return pd.Series(table.osa(a, b))
 
 
 def jaro(a, b, whole: bool = True) -> Column:
@@ -302,36 +407,41 @@ def jaro_winkler(a, b) -> Column:
     return _winkler(_col(a), _col(b))
 
 
-#: Different strings that `all_pairs_jaro` takes at most, as they go to every task.
-MOST_STRINGS = 200_000
+#: Strings of a block of `all_pairs_jaro`.
+BLOCK = 2000
 
 
-def all_pairs_jaro(df: DataFrame, col: str, least: float, key: str = "id", whole: bool = True) -> DataFrame:
-    """Rows (l, r, jaro) of all pairs with l < r whose similarity is at least `least`: every string against all, in blocks.
+def all_pairs_jaro(df: DataFrame, col: str, least: float, key: str = "id", whole: bool = True, block: int = BLOCK) -> DataFrame:
+    """Rows (l, r, jaro) of all pairs with l < r whose similarity is at least `least`, for any number of strings.
 
-    The work is that of all pairs, which this metric cannot avoid; so it is for sets of strings that a check finds to be small. Larger ones are blocked first."""
-    rows = df.select(F.col(key).cast("long").alias("id"), text(col).alias("s")).orderBy("id")
-    n = df.count()
-    if n > MOST_STRINGS:
-        raise ValueError(f"{n} strings are too many to compare all with all; use blocks")
-    got = rows.toArrow()
-    ids, strings = np.array(got["id"].to_pylist(), dtype=np.int64), got["s"].to_pylist()
-    sent = df.sparkSession.sparkContext.broadcast((ids, strings))
-    tasks = max(1, min(4 * df.sparkSession.sparkContext.defaultParallelism, n))
+    The strings are dealt to blocks by a hash, and every two blocks meet in a cell of their own: a string travels once for each block, and a
+    cell holds two blocks, whatever their number. The work is that of all pairs, which this metric cannot avoid; block first where a rule allows it."""
+    rows = df.select(F.col(key).cast("long").alias("id"), text(col).alias("s"))
+    blocks = max(1, -(-rows.count() // block))
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, mine).alias("x"), F.greatest(i, mine).alias("y")))
+    dealt = rows.select("id", "s", mine.alias("mine"), F.explode(cells).alias("cell"))
 
-    def run(parts):
-        ids, strings = sent.value
-        table = JaroTable(strings)
-        for part in parts:
-            for p in part["id"].tolist():
-                for i in range(p, len(ids), tasks):
-                    j = np.arange(i + 1, len(ids))
-                    v = table.compare(np.full(len(j), i), j, whole)
-                    hit = v >= least
-                    if hit.any():
-                        yield pd.DataFrame({"l": ids[i], "r": ids[j[hit]], "jaro": v[hit]})
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ids, table = part["id"].to_numpy(), JaroTable(part["s"].tolist())
+        one = np.flatnonzero(part["mine"].to_numpy() == part["cell"].iloc[0]["x"])
+        two = np.flatnonzero(part["mine"].to_numpy() == part["cell"].iloc[0]["y"])
+        same = part["cell"].iloc[0]["x"] == part["cell"].iloc[0]["y"]
+        out = []
+        for start in range(0, len(one), max(1, (1 << 18) // max(len(two), 1))):
+            rows = one[start : start + max(1, (1 << 18) // max(len(two), 1))]
+            a, b = np.repeat(rows, len(two)), np.tile(two, len(rows))
+            if same:
+                a, b = a[ids[a] < ids[b]], b[ids[a] < ids[b]]
+            else:
+                a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+            v = table.compare(a, b, whole, least)
+            # equal strings have different numbers here
+            hit = v >= least
+            out.append(pd.DataFrame({"l": ids[a[hit]], "r": ids[b[hit]], "jaro": v[hit]}))
+        return pd.concat(out) if out else pd.DataFrame({"l": [], "r": [], "jaro": []})
 
-    return df.sparkSession.range(tasks).repartition(tasks, "id").mapInPandas(run, "l long, r long, jaro double")
+    return dealt.groupBy("cell").applyInPandas(run, "l long, r long, jaro double")
 
 
 def scaled(similarity: Column, factor: int = 1000) -> Column:
@@ -351,8 +461,13 @@ def jaro_bound(a, b) -> Column:
 
 
 def jaro_at_least(a, b, least: float) -> Column:
-    """Jaro similarity where the bound allows `least`, else 0; below `least` also 0."""
-    j = F.when(jaro_bound(a, b) >= least, jaro(a, b)).otherwise(0.0)
+    """Jaro similarity where the bounds allow `least`, else 0; below `least` also 0."""
+
+    @F.pandas_udf(DoubleType())
+    def bounded(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _jaro_series(x, y, True, least)
+
+    j = F.when(jaro_bound(a, b) >= least, bounded(_col(a), _col(b))).otherwise(0.0)
     return F.when(j >= least, j).otherwise(0.0)
 
 

@@ -11,18 +11,12 @@ def contingency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster", "entity").agg(F.count("*").alias("n"))
 
 
-def _pairs(c: str):
-    return F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0)).cast("long")
-
-
 def links(rows: DataFrame) -> DataFrame:
-    """One row: tp, fp, fn, tn links."""
-    c = contingency(rows)
-    together = c.agg(_pairs("n").alias("tp"))
-    found = rows.groupBy("cluster").agg(F.count("*").alias("n")).agg(_pairs("n").alias("found"))
-    true = rows.groupBy("entity").agg(F.count("*").alias("n")).agg(_pairs("n").alias("true"))
-    every = rows.agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("every"))
-    return together.crossJoin(found).crossJoin(true).crossJoin(every).select("tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"), (F.col("every") - F.col("found") - F.col("true") + F.col("tp")).alias("tn"))
+    """One row: tp, fp, fn, tn links. The counts by cluster and entity, by each alone and of all come from one pass."""
+    n = rows.groupingSets([["cluster", "entity"], ["cluster"], ["entity"], []], "cluster", "entity").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    of = lambda level: F.coalesce(F.sum(F.when(F.col("level") == level, F.col("n") * (F.col("n") - 1) / 2)), F.lit(0)).cast("long")
+    one = n.agg(of(0).alias("tp"), of(1).alias("found"), of(2).alias("true"), of(3).alias("every"))
+    return one.select("tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("true") - F.col("tp")).alias("fn"), (F.col("every") - F.col("found") - F.col("true") + F.col("tp")).alias("tn"))
 
 
 def scores(rows: DataFrame) -> DataFrame:

@@ -3,9 +3,6 @@ that runs again makes the same rows."""
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,53 +37,55 @@ def copies(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def edit_string(s: str, d: int, seed: int) -> str:
-    """d random insertions, deletions and substitutions of letters."""
-    rng = random.Random(f"{seed}:{s}:{d}")
-    out = list(s)
-    for _ in range(d):
-        kind = rng.choice("ids") if out else "i"
-        i = rng.randrange(len(out) + (kind == "i"))
-        if kind == "i":
-            out.insert(i, rng.choice(LETTERS))
-        elif kind == "d":
-            del out[i]
-        else:
-            out[i] = rng.choice([c for c in LETTERS if c != out[i]])
-    return "".join(out)
-
-
-def edit_digits(s: str, d: int, seed: int) -> str:
-    """d different places take another digit."""
-    rng = random.Random(f"{seed}:{s}:{d}:date")
-    out = list(s)
-    for i in rng.sample(range(len(out)), min(d, len(out))):
-        out[i] = rng.choice([c for c in "0123456789" if c != out[i]])
-    return "".join(out)
-
-
-def insert_digits(s: str, share: float, seed: int) -> str:
-    rng = random.Random(f"{seed}:{s}:mix")
-    out = list(s)
-    for _ in range(int(len(s) * share)):
-        out.insert(rng.randrange(len(out) + 1), rng.choice("0123456789"))
-    return "".join(out)
+def _drawn(key: Column, what: str, below: Column | int) -> Column:
+    """A number from 0 to below - 1: the first 60 bits of md5 of '<key>:<what>', modulo below."""
+    h = F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{what}")).cast("binary")), 1, 15), 16, 10).cast("long")
+    return (h % (F.lit(below) if isinstance(below, int) else below)).cast("int")
 
 
-def _udf(f, *args):
-    return F.pandas_udf(lambda s: pd.Series([f(x or "", *args) for x in s]), "string")
+def _other(c: Column, letters: str, n: Column) -> Column:
+    """A letter besides c, the n-th after it; any one if c is none of them."""
+    return F.lit(letters).substr((F.greatest(F.position(c, F.lit(letters)), F.lit(1)) + n) % F.lit(len(letters)) + 1, F.lit(1))
 
 
 def with_edits(df: DataFrame, col: str, d: int, seed: int = 0) -> DataFrame:
-    return df.withColumn(col, _udf(edit_string, d, seed)(col))
+    """d drawn insertions, deletions and substitutions of letters, one after the other; an empty string takes insertions. Null is empty."""
+    key = "_edited"
+    out = df.withColumn(key, F.concat(F.coalesce(F.col(col), F.lit("")), F.lit(f":{seed}"))).withColumn(col, F.coalesce(F.col(col), F.lit("")))
+    for k in range(d):
+        s, n = F.col(col), F.length(col)
+        kind = F.when(n == 0, 0).otherwise(_drawn(F.col(key), f"{k}:kind", 3))
+        out = out.withColumn("_kind", kind)
+        kind = F.col("_kind")
+        out = out.withColumn("_place", _drawn(F.col(key), f"{k}:place", n + F.when(kind == 0, 1).otherwise(0)))
+        at = F.col("_place")
+        head, tail = s.substr(F.lit(1), at), s.substr(at + 2, n)
+        new = F.lit(LETTERS).substr(_drawn(F.col(key), f"{k}:letter", 26) + 1, F.lit(1))
+        other = _other(s.substr(at + 1, F.lit(1)), LETTERS, _drawn(F.col(key), f"{k}:other", 25))
+        out = out.withColumn(col, F.when(kind == 0, F.concat(head, new, s.substr(at + 1, n))).when(kind == 1, F.concat(head, tail)).otherwise(F.concat(head, other, tail)))
+    return out.drop(key, "_kind", "_place")
 
 
 def with_digit_edits(df: DataFrame, col: str, d: int, seed: int = 0) -> DataFrame:
-    return df.withColumn(col, _udf(edit_digits, d, seed)(col))
+    """d drawn places, different ones, take another digit; all places if there are fewer. Null is empty."""
+    s = F.coalesce(F.col(col), F.lit(""))
+    key = F.concat(s, F.lit(f":{seed}"))
+    places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    drawn = F.transform(places, lambda i: F.struct(F.md5(F.concat(key, F.lit(":"), i.cast("string")).cast("binary")).alias("h"), i.alias("i")))
+    chosen = F.transform(F.slice(F.sort_array(drawn), 1, d), lambda x: x["i"]) if d else F.array().cast("array<int>")
+    digit = "0123456789"
+    by = lambda i: (F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), i.cast("string"), F.lit(":by")).cast("binary")), 1, 15), 16, 10).cast("long") % 9).cast("int")
+    letters = F.transform(places, lambda i: F.when(F.array_contains(chosen, i), _other(s.substr(i, F.lit(1)), digit, by(i))).otherwise(s.substr(i, F.lit(1))))
+    return df.withColumn(col, F.array_join(letters, ""))
 
 
 def with_digits(df: DataFrame, col: str, share: float = 0.3, seed: int = 0) -> DataFrame:
-    return df.withColumn(col, _udf(insert_digits, share, seed)(col))
+    """Digits before drawn characters, about `share` of them. Null is empty."""
+    s = F.coalesce(F.col(col), F.lit(""))
+    key = F.concat(s, F.lit(f":{seed}"))
+    number = lambda i, what: F.conv(F.substring(F.md5(F.concat(key, F.lit(":"), i.cast("string"), F.lit(what)).cast("binary")), 1, 15), 16, 10).cast("long")
+    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.when(number(i, ":in") % 1000 < int(share * 1000), (number(i, ":digit") % 10).cast("string")).otherwise(""), s.substr(i, F.lit(1))))
+    return df.withColumn(col, F.when(s == "", s).otherwise(F.array_join(letters, "")))
 
 
 def fixed_width(c: str | Column, width: int) -> Column:
@@ -96,8 +95,11 @@ def fixed_width(c: str | Column, width: int) -> Column:
 
 
 def random_strings(spark: SparkSession, n: int, length: int, alphabet: int, seed: int = 0) -> DataFrame:
-    """Rows (id, value): letters from the hash of the row's number and place, so built-in functions suffice."""
-    chars = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.lit(LETTERS[:alphabet]).substr(F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(alphabet)).cast("int") + 1, F.lit(1)))
+    """Rows (id, value): letter i of a string is the one that md5 of '<id>:<seed>:<i>' draws, so built-in functions suffice."""
+    chars = F.transform(
+        F.sequence(F.lit(1), F.lit(length)),
+        lambda i: F.lit(LETTERS[:alphabet]).substr((F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:"), i.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long") % alphabet).cast("int") + 1, F.lit(1)),
+    )
     return spark.range(n).select("id", F.array_join(chars, "").alias("value"))
 
 

@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 #: A block of more records is cut into parts of this size that are joined part by part.
 PART = 512
 
 
-def within_blocks(blocks: DataFrame, part: int = PART) -> DataFrame:
-    """Pairs of records that share a block.
+def candidate_pairs(blocks: DataFrame, records: DataFrame | None = None, cols: list[str] | None = None, rec: str = "rec_idx", part: int = PART, single: bool = False) -> DataFrame:
+    """Pairs (l, r) of records that share a block, each once, with attributes l_* and r_* of `cols`.
+
+    A record travels with its attributes and the list of its blocks, which is short, and a pair is made in its smallest
+    common block alone. So pairs are neither shuffled to make them unique nor joined with attributes: a rule in a filter behind this sees them where
+    they are made. `single`: no record is in two blocks, so the lists are left out.
 
     A block of n records makes about n * n / 2 comparisons, whatever the plan. A large one is dealt out: its records fall
     into parts by a hash of the record, each record is sent to one cell for every part, and a cell joins two
     parts. So no task meets a whole large block, and blocks of up to `part` records travel once."""
+    cols = cols or []
     n = blocks.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    if single:
+        b = blocks.select("rec", "block")
+    else:
+        b = blocks.groupBy("rec").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("rec", "blocks", F.explode("blocks").alias("block"))
+    if cols:
+        attributes = records.select(F.col(rec).alias("rec"), F.struct(*cols).alias("of"))
+        b = (b if single else b.drop("block").distinct()).join(attributes, "rec")
+        b = b if single else b.withColumn("block", F.explode("blocks"))
     # the sizes of large blocks alone are joined back: all others are joined to nothing and have one part
-    b = blocks.join(n, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    b = b.join(n, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     b = b.withColumn("mine", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("mine")).alias("x"), F.greatest(i, F.col("mine")).alias("y")))
-    b = b.withColumn("cell", F.explode(cells)).select("block", "cell", "rec", "mine")
+    b = b.withColumn("cell", F.explode(cells)).drop("parts")
     l, r = b.alias("l"), b.alias("r")
-    met = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rec") < F.col("r.rec")) & ((F.col("l.cell.x") == F.col("l.cell.y")) | (F.col("l.mine") != F.col("r.mine"))))
-    return met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r")).distinct()
+    once = F.lit(True) if single else F.element_at(F.array_intersect("l.blocks", "r.blocks"), 1) == F.col("l.block")
+    met = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rec") < F.col("r.rec")) & ((F.col("l.cell.x") == F.col("l.cell.y")) | (F.col("l.mine") != F.col("r.mine"))) & once)
+    return met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r"), *[F.col(f"{side}.of.{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in cols])
+
+
+def within_blocks(blocks: DataFrame, part: int = PART) -> DataFrame:
+    """Pairs of records that share a block, without attributes."""
+    return candidate_pairs(blocks, part=part)
 
 
 def attach(pairs: DataFrame, records: DataFrame, cols: list[str], rec: str = "rec_idx") -> DataFrame:
-    """The attributes of both records, as l_* and r_*; they are fetched after pairs are made unique."""
+    """The attributes of both records of given pairs, as l_* and r_*."""
     left = records.select(F.col(rec).alias("l"), *[F.col(c).alias(f"l_{c}") for c in cols])
     right = records.select(F.col(rec).alias("r"), *[F.col(c).alias(f"r_{c}") for c in cols])
     return pairs.join(left, "l").join(right, "r")
@@ -70,28 +91,36 @@ def headless_edges(records: DataFrame, key: str, rec: str = "rec_idx") -> DataFr
     return star_edges(full.unionAll(cut).where("length(_k) > 0").distinct(), "_k", rec)
 
 
+def headless_index(records: DataFrame, cols: list[str], rec: str = "rec_idx") -> DataFrame:
+    """A block index by the attributes with a mark after each, and the same without the first character: two records share a block if their keys
+    agree once the first character of one or both is dropped. All members of a block are compared, so a rule behind it loses no pair."""
+    key = F.concat(*[F.concat(F.coalesce(c, F.lit("")), F.lit("#")) for c in cols])
+    return records.select(F.col(rec).alias("rec"), F.explode(F.array_distinct(F.array(key, F.substring(key, 2, 1 << 30)))).alias("block"))
+
+
 def random_pairs(records: DataFrame, share: float, seed: int = 0, rec: str = "rec_idx") -> DataFrame:
-    """About `share` of all ordered pairs, drawn with replacement: numbers are drawn and joined twice, so no product is made."""
-    numbered = number_rows(records.select(rec), rec)
-    n = records.count()
-    k = int(share * n * n)
-    draw = records.sparkSession.range(k).select(F.floor(F.rand(seed) * n).cast("long").alias("i"), F.floor(F.rand(seed + 1) * n).cast("long").alias("j"))
+    """Rows (draw, x, y): about `share` of all ordered pairs, drawn with replacement. Draw i takes the records whose places in the order of ids
+    are the first 60 bits of md5 of '<i>:<seed>:x' and '<i>:<seed>:y' modulo their number, so no product is made and a repeated task draws the same."""
+    numbered = materialize(number_rows(records.select(rec), rec), "numbered")
+    n = numbered.count()
+    drawn = lambda side: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}:{side}")).cast("binary")), 1, 15), 16, 10).cast("long") % F.lit(max(n, 1))
+    draw = records.sparkSession.range(int(share * n * n)).select(F.col("id").alias("draw"), drawn("x").alias("i"), drawn("y").alias("j"))
     a = numbered.select(F.col("row").alias("i"), F.col(rec).alias("x"))
     b = numbered.select(F.col("row").alias("j"), F.col(rec).alias("y"))
-    return draw.join(a, "i").join(b, "j").select("x", "y")
+    return draw.join(a, "i").join(b, "j").select("draw", "x", "y")
 
 
-def number_rows(df: DataFrame, order: str) -> DataFrame:
-    """Dense numbers from 0 in the order of a column, without one task sorting all: partitions are counted first."""
-    spread = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in spread.groupBy("_part").count().collect()}  # one row for each partition
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    shift = F.create_map(*[F.lit(x) for p in sorted(before) for x in (p, before[p])]) if before else None
-    local = F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
-    out = spread.withColumn("row", local + F.element_at(shift, F.col("_part"))) if before else spread.withColumn("row", local)
-    return out.drop("_part", "_mono")
+def number_rows(df: DataFrame, *order: str) -> DataFrame:
+    """Dense numbers `row` from 0 in the order of the columns, without one task sorting all.
+
+    The ranges of a range shuffle are drawn anew each time it runs. So the sorted ranges are written once, with the number of
+    their partition; what is counted and what is numbered is that table. Rows that tie in all columns are numbered in any order."""
+    part, place, row = "_part", "_place", "row"
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    spread = materialize(spread.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    counts = spread.groupBy(part).agg(F.count("*").alias("_n"))  # one row for each partition, so the window is small and so is what is sent
+    before = counts.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))
+    return spread.join(F.broadcast(before), part).withColumn(row, F.col(place) + F.col("_before")).drop(part, place, "_before")
 
 
 def within_entity(records: DataFrame, entity: str = "entity_id", rec: str = "rec_idx", cols: list[str] | None = None) -> DataFrame:
@@ -108,6 +137,28 @@ def shared_attributes(a: DataFrame, b: DataFrame, shared: list[str], rec: str =
     return a.select(F.col(rec).alias("l"), *key).join(b.select(F.col(rec).alias("r"), *key), shared).select("l", "r")
 
 
+def contained(a: DataFrame, b: DataFrame, names_a: list[str], names_b: list[str], rec: str = "rec_idx") -> DataFrame:
+    """Exact matches (l in a, r in b) of two data sets where the attributes of one are all attributes of the other; no rows where neither contains the other."""
+    shared = [c for c in names_a if c in names_b]
+    if not shared or len(shared) < min(len(set(names_a)), len(set(names_b))):
+        return a.select(F.col(rec).alias("l"), F.col(rec).alias("r")).where("false")
+    return shared_attributes(a, b, shared, rec)
+
+
+def appended(sets: list[tuple[DataFrame, list[str]]], rec: str = "rec_idx") -> DataFrame:
+    """Edges (l, r) of exact matches between all data sets of which one's attributes contain the other's: their components append what matches by way
+    of a third set. Numbers of records are unique over all sets."""
+    out = None
+    for i, (a, na) in enumerate(sets):
+        for b, nb in sets[i + 1 :]:
+            if set(na) <= set(nb) or set(nb) <= set(na):
+                part = contained(a, b, na, nb, rec)
+                out = part if out is None else out.unionAll(part)
+    if out is None:
+        raise ValueError("no data set contains the attributes of another")
+    return out
+
+
 def lookup(ids: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Records of the ids; ids without a record stay, with nulls."""
     return ids.join(records, key, "left")

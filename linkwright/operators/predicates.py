@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import edit_within, jaro, jaro_bound
+from ..functions.metrics import edit_within, jaro, jaro_at_least, jaro_bound, scaled
 
 
 def distances(cols: list[str], limits: list[int]) -> list[Column]:
@@ -63,6 +63,24 @@ def with_jaro(pairs: DataFrame, cols: list[str], least: float, mean: float | Non
     return pairs if mean is None else pairs.where(F.col("similarity") >= mean)
 
 
+def similarity_or_zero(similarities: list[Column], least: list[float], mean: float | None = None) -> Column:
+    """The mean of similarities, 0 if one is below its bound or the mean is below `mean`; a whole number where the similarities are (hundredths, thousandths)."""
+    value = sum(similarities[1:], similarities[0]) / len(similarities)
+    ok = _all([s >= t for s, t in zip(similarities, least, strict=True)])
+    return F.when(ok & (value >= mean) if mean is not None else ok, value).otherwise(0.0)
+
+
+def scaled_similarity(similarities: list[Column], least: list[int], mean: int, factor: int = 1000) -> Column:
+    """`similarity_or_zero` of similarities as whole numbers of 1 / factor, cut to a whole number itself."""
+    return F.floor(similarity_or_zero([scaled(s, factor) for s in similarities], least, mean)).cast("long")
+
+
+def thresholded_jaro(cols: list[str], least: float, mean: float) -> Column:
+    """Every attribute reaches a Jaro similarity of `least`, and their mean is at least `mean`; the metric stops where its bounds rule it out."""
+    parts = [jaro_at_least(f"l_{c}", f"r_{c}", least) for c in cols]
+    return _all([x > 0 for x in parts]) & (sum(parts[1:], parts[0]) / len(parts) >= mean)
+
+
 def configured(value: Column, threshold: float) -> Column:
     """A threshold of 1 or more bounds a distance from above, one below 1 a similarity from below."""
     return value <= threshold if threshold >= 1 else value >= threshold

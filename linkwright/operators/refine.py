@@ -11,10 +11,10 @@ import random
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairs import attach, within_blocks
+from .pairs import candidate_pairs
 
 Edges = dict[tuple[int, int], float]
 
@@ -22,8 +22,16 @@ Edges = dict[tuple[int, int], float]
 def component_pairs(records: DataFrame, components: DataFrame, cols: list[str], match: Column, weight: Column, rec: str = "rec_idx") -> DataFrame:
     """Rows (component, l, r, w) of all matching pairs of records in the same component. `components`: (node, component)."""
     blocks = components.select(F.col("node").alias("rec"), F.col("component").alias("block"))
-    met = attach(within_blocks(blocks), records, cols, rec).where(match).select("l", "r", weight.cast("double").alias("w"))
-    return met.join(components.select(F.col("node").alias("l"), "component"), "l").select("component", "l", "r", "w")
+    travels = records.join(components.select(F.col("node").alias(rec), F.col("component").alias("_component")), rec)
+    met = candidate_pairs(blocks, travels, [*cols, "_component"], rec, single=True).where(match)
+    return met.select(F.col("l__component").alias("component"), "l", "r", weight.cast("double").alias("w"))
+
+
+def nearest_edges(pairs: DataFrame, k: int, similar: bool = False) -> DataFrame:
+    """The rows of (component, l, r, w) that are among the k nearest of one of their records, by distance or, with `similar`, by similarity; ties go by (l, r)."""
+    both = pairs.select("component", "l", "r", "w", F.explode(F.array("l", "r")).alias("node"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w") if similar else F.asc("w"), "l", "r"))
+    return both.withColumn("place", place).where(F.col("place") <= k).select("component", "l", "r", "w").distinct()
 
 
 def _edges(rows: Iterable[tuple[int, int, float]]) -> tuple[list[int], Edges]:
@@ -105,16 +113,23 @@ def complete(nodes: list[int], edges: Edges, limit: float = 5, **_) -> list[list
     return _merge(nodes, [(w, a, b) for (a, b), w in edges.items()], cross, lambda d: d <= limit)
 
 
-def source_consistent(nodes: list[int], edges: Edges, source: dict[int, int], limit: float = 5, **_) -> list[list[int]]:
+def _held(source: dict) -> dict[int, frozenset]:
+    """The sources of each node, which may be one or, of a group of copies, several."""
+    return {n: frozenset(x if isinstance(x, (list, tuple, set, frozenset)) or hasattr(x, "tolist") else [x]) for n, x in source.items()}
+
+
+def source_consistent(nodes: list[int], edges: Edges, source: dict, limit: float = 5, **_) -> list[list[int]]:
     """Pairs of different sources by rising distance, joined if the two clusters have no source in common."""
-    root, have = {n: n for n in nodes}, {n: {source[n]} for n in nodes}
+    held = _held(source)
+    root, have = {n: n for n in nodes}, {n: set(held[n]) for n in nodes}
 
     def find(x: int) -> int:
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items() if w <= limit and source[a] != source[b]):
+    for w, a, b in sorted((w, a, b) for (a, b), w in edges.items() if w <= limit and not held[a] & held[b]):
         x, y = find(a), find(b)
         if x != y and not have[x] & have[y]:
             low, high = min(x, y), max(x, y)
@@ -126,35 +141,73 @@ def source_consistent(nodes: list[int], edges: Edges, source: dict[int, int], li
     return [out[k] for k in sorted(out)]
 
 
-def source_complete(nodes: list[int], edges: Edges, source: dict[int, int], limit: float = 5, nearest: int = 20, repeats: int = 1, seed: int = 0, most: bool = True, **_) -> list[list[int]]:
-    """Complete linkage without two records of one source in a cluster, over each record's `nearest` pairs.
-
-    Ties are broken at random, `repeats` times; the run with the most clusters (or the fewest) is kept."""
+def _complete_runs(nodes: list[int], edges: Edges, source: dict, fits: Callable[[float], bool], worse: Callable, sign: int, nearest: int | None, refill: bool, repeats: int, seed: int, most: bool | None, shuffle: bool) -> list[list[int]]:
+    """Complete linkage without two records of one source in a cluster, `repeats` times. `sign` is 1 for distances and -1 for similarities, `worse` the
+    value of two clusters from those of their pairs. Of each record the `nearest` pairs are queued (all if None); with `refill` a record
+    whose pairs are used up queues its next ones. Ties are broken at random with `shuffle`."""
+    held = _held(source)
     near: dict[int, list[tuple[float, int, int]]] = {}
     for (a, b), w in edges.items():
-        if source[a] != source[b] and w <= limit:
-            near.setdefault(a, []).append((w, a, b))
-            near.setdefault(b, []).append((w, a, b))
-    start = sorted({e for es in near.values() for e in sorted(es)[:nearest]})
+        if fits(w) and not held[a] & held[b]:
+            near.setdefault(a, []).append((sign * w, a, b))
+            near.setdefault(b, []).append((sign * w, a, b))
+    near = {n: sorted(es) for n, es in near.items()}
+    width = nearest or max((len(es) for es in near.values()), default=0)
 
     def cross(x: list[int], y: list[int]) -> float | None:
-        if {source[a] for a in x} & {source[b] for b in y}:
+        if frozenset().union(*(held[a] for a in x)) & frozenset().union(*(held[b] for b in y)):
             return None
         got = [edges.get((min(a, b), max(a, b))) for a in x for b in y]
-        return None if None in got else max(got)
+        return None if None in got or not all(map(fits, got)) else sign * worse(got)
 
     best = None
     rng = random.Random(seed)
-    for _i in range(max(1, repeats)):
-        noise = {e: rng.random() * 1e-9 for e in start} if repeats > 1 else dict.fromkeys(start, 0.0)
-        got = _merge(nodes, [(e[0] - noise[e], e[1], e[2]) for e in start], lambda x, y: None if (d := cross(x, y)) is None else d, lambda d: d <= limit)
-        if best is None or (len(got) > len(best) if most else len(got) < len(best)):
+    for _ in range(max(1, repeats)):
+        member = [[n] for n in nodes]
+        at = 0
+        while True:
+            start = sorted({e for es in near.values() for e in es[at : at + width]})
+            noise = {e: rng.random() * 1e-9 for e in start} if shuffle else dict.fromkeys(start, 0.0)
+            of = {x: c[0] for c in member for x in c}
+            queue = [(e[0] - noise[e], min(of[e[1]], of[e[2]]), max(of[e[1]], of[e[2]])) for e in start if of[e[1]] != of[e[2]]]
+            member = _merge_from(member, queue, cross)
+            at += width
+            if not refill or not width or at >= max((len(es) for es in near.values()), default=0):
+                break
+        got = [member[i] for i in sorted(range(len(member)), key=lambda i: member[i][0])]
+        if best is None or (most is not None and (len(got) > len(best) if most else len(got) < len(best))):
             best = got
-    return best
+    return best or []
 
 
-def bottleneck(nodes: list[int], edges: Edges) -> float | None:
-    """The largest edge of the minimum spanning tree: the threshold that single linkage needs. None if it takes more than these edges."""
+def _merge_from(member: list[list[int]], queue: list, cross: Callable) -> list[list[int]]:
+    """`_merge` from clusters that exist already; a cluster goes by its lowest record."""
+    cluster = {c[0]: c for c in member}
+    by_head = lambda f: lambda x, y: f([r for h in x for r in cluster[h]], [r for h in y for r in cluster[h]])
+    return [sorted(r for h in heads for r in cluster[h]) for heads in _merge(sorted(cluster), queue, by_head(cross), lambda d: True)]
+
+
+def source_complete(nodes: list[int], edges: Edges, source: dict, limit: float = 5, nearest: int | None = 20, repeats: int = 1, seed: int = 0, most: bool = True, refill: bool = False, **_) -> list[list[int]]:
+    """Complete linkage by distance without two records of one source in a cluster, over each record's `nearest` pairs.
+
+    Ties are broken at random, `repeats` times; the run with the most clusters (or the fewest) is kept."""
+    return _complete_runs(nodes, edges, source, lambda w: w <= limit, max, 1, nearest, refill, repeats, seed, most, repeats > 1)
+
+
+def random_complete(nodes: list[int], edges: Edges, source: dict, limit: float = 5, seed: int = 0, **_) -> list[list[int]]:
+    """As `source_complete` over all pairs, each time taking one of the least at random."""
+    return _complete_runs(nodes, edges, source, lambda w: w <= limit, max, 1, None, False, 1, seed, None, True)
+
+
+def similar_complete(nodes: list[int], edges: Edges, source: dict, least: float = 0, nearest: int | None = None, repeats: int = 1, seed: int = 0, most: bool = True, **_) -> list[list[int]]:
+    """Complete linkage by whole-number similarity without two records of one source in a cluster: a pair of the highest value goes first, one of
+    equal ones at random; two clusters are as similar as their least similar pair, and every pair has to be above `least`."""
+    return _complete_runs(nodes, edges, source, lambda w: w > least, min, -1, nearest, False, repeats, seed, most, True)
+
+
+def spanning_edge(nodes: list[int], edges: Edges) -> tuple[float, int, int] | None:
+    """The last edge (w, l, r) of the minimum spanning tree, edges being taken in this order; its weight is the threshold that single
+    linkage needs. None if these edges do not join all."""
     root = {n: n for n in nodes}
 
     def find(x: int) -> int:
@@ -163,16 +216,34 @@ def bottleneck(nodes: list[int], edges: Edges) -> float | None:
             x = root[x]
         return x
 
-    left, top = len(nodes) - 1, 0.0
+    left, last = len(nodes) - 1, None
     for w, a, b in sorted((w, a, b) for (a, b), w in edges.items()):
         x, y = find(a), find(b)
         if x != y:
             root[x] = y
-            top, left = w, left - 1
-    return top if not left else None
+            last, left = (w, a, b), left - 1
+    return last if not left else None
+
+
+def bottleneck(nodes: list[int], edges: Edges) -> float | None:
+    """The largest edge of the minimum spanning tree. None if it takes more than these edges."""
+    last = spanning_edge(nodes, edges)
+    return last and last[0]
+
+
+def bottleneck_edges(pairs: DataFrame) -> DataFrame:
+    """The rows of `pairs`, (entity, l, r, w, ...), that are the last edge of the spanning tree of their entity."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names, edges = _edges(zip(rows["l"].tolist(), rows["r"].tolist(), rows["w"].tolist(), strict=True))
+        last = spanning_edge(names, edges)
+        return pd.DataFrame([(rows["entity"].iloc[0], last[1], last[2])] if last else [], columns=["entity", "l", "r"])
+
+    found = pairs.select("entity", "l", "r", "w").groupBy("entity").applyInPandas(run, "entity long, l long, r long")
+    return pairs.join(found, ["entity", "l", "r"])
 
 
-METHODS = {"star": star, "clique": clique, "agglomerative": agglomerative, "complete": complete, "source_consistent": source_consistent, "source_complete": source_complete}
+METHODS = {"star": star, "clique": clique, "agglomerative": agglomerative, "complete": complete, "source_consistent": source_consistent, "source_complete": source_complete, "random_complete": random_complete, "similar_complete": similar_complete}
 
 
 def refine(pairs: DataFrame, nodes: DataFrame, method: str, sources: DataFrame | None = None, **options) -> DataFrame:
@@ -181,7 +252,7 @@ def refine(pairs: DataFrame, nodes: DataFrame, method: str, sources: DataFrame |
     Records without a matching pair are clusters of their own and never leave the JVM."""
     f = METHODS[method]
     if sources is not None:
-        s = sources.select("rec", F.col("source").cast("int").alias("source"))
+        s = sources.select("rec", "source")
         pairs = pairs.join(s.select(F.col("rec").alias("l"), F.col("source").alias("sl")), "l").join(s.select(F.col("rec").alias("r"), F.col("source").alias("sr")), "r").select("component", "l", "r", "w", "sl", "sr")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

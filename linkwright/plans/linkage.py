@@ -21,7 +21,7 @@ KINDS = {
 
 def unique_records(records: DataFrame, spec: LinkageSpec) -> DataFrame:
     """The first record of each exact group, with its columns to compare."""
-    return records.groupBy(*spec.compare).agg(F.min(spec.rec).alias(spec.rec))
+    return records.groupBy(*[F.coalesce(c, F.lit("")).alias(c) for c in spec.compare]).agg(F.min(spec.rec).alias(spec.rec))
 
 
 def edges(records: DataFrame, spec: LinkageSpec, match: Column | None = None) -> DataFrame:
@@ -29,12 +29,11 @@ def edges(records: DataFrame, spec: LinkageSpec, match: Column | None = None) ->
     unique = unique_records(records, spec)
     index = blocking.index(unique, KINDS[spec.block_kind](spec.block, spec.k), spec.rec)
     match = match if match is not None else predicates.sum_within(spec.compare, spec.total, spec.limits or None)
-    found = pairs.attach(pairs.within_blocks(index), unique, spec.compare, spec.rec).where(match).select("l", "r")
     if spec.headless:
-        keyed = unique.withColumn("_key", F.concat(spec.block, *[c for c in spec.compare if c != spec.block]))
-        again = pairs.attach(pairs.headless_edges(keyed, "_key", spec.rec), unique, spec.compare, spec.rec).where(match).select("l", "r")
-        found = found.unionAll(again).distinct()
-    return found
+        # the headless keys are blocks like the others, marked so that none is taken for one of them
+        again = pairs.headless_index(unique, [spec.block, *[c for c in spec.compare if c != spec.block]], spec.rec)
+        index = index.select("rec", F.concat(F.lit("k:"), "block").alias("block")).unionAll(again.select("rec", F.concat(F.lit("h:"), "block").alias("block")))
+    return pairs.candidate_pairs(index, unique, spec.compare, spec.rec).where(match).select("l", "r")
 
 
 def link(records: DataFrame, spec: LinkageSpec, match: Column | None = None) -> DataFrame:
@@ -57,7 +56,7 @@ def link_and_refine(records: DataFrame, spec: LinkageSpec, match: Column | None
 def configured_edges(records: DataFrame, spec: LinkageSpec, names: list[str]) -> DataFrame:
     """Edges of a configured linkage: typed blocks over several fields, a weighted sum of configured metrics, and its threshold."""
     keys = blocking.typed([(names[i], kind, k) for i, kind, k in spec.block_fields])
-    met = pairs.attach(pairs.within_blocks(blocking.index(records, keys, spec.rec)), records, names, spec.rec)
+    met = pairs.candidate_pairs(blocking.index(records, keys, spec.rec), records, names, spec.rec)
     total = F.lit(0.0)
     for c in spec.comparisons:
         a, b = names[c.attributes[0]], names[c.attributes[0]]
@@ -76,10 +75,32 @@ def generalised(records: DataFrame, clusters: DataFrame, spec: LinkageSpec, most
     small = blocking.residual(records, clusters, most, KINDS[spec.block_kind](spec.block, spec.k), True, spec.rec).withColumn("small", F.lit(True))
     large = blocking.residual(records, clusters, most, KINDS[spec.block_kind](spec.block, spec.k), False, spec.rec).withColumn("small", F.lit(False))
     few = small.select(F.col("rec").alias("s")).distinct()
-    met = pairs.within_blocks(small.unionAll(large).select("block", "rec"))
-    touching = met.join(few, met.l == few.s, "left_semi").unionAll(met.join(few, met.r == few.s, "left_semi")).distinct()
-    more = pairs.attach(touching, records, spec.compare, spec.rec).where(loose).select("l", "r")
+    # which records are of small clusters travels with them, so pairs of two large ones are dropped where they are made
+    marked = records.join(few.withColumnRenamed("s", spec.rec).withColumn("_few", F.lit(True)), spec.rec, "left").withColumn("_few", F.coalesce("_few", F.lit(False)))
+    met = pairs.candidate_pairs(small.unionAll(large).select("rec", "block"), marked, [*spec.compare, "_few"], spec.rec)
+    more = met.where(F.col("l__few") | F.col("r__few")).where(loose).select("l", "r")
     first = clusters.groupBy("cluster").agg(F.min("rec").alias("l"))
     held = clusters.join(first, "cluster").select("l", F.col("rec").alias("r"))
     label = connected_components(held.unionAll(more), "l", "r")
     return label.select(F.col("node").alias("rec"), "component")
+
+
+def complete_clusters(records: DataFrame, components: DataFrame, spec: LinkageSpec, sources: int, match: Column, weight: Column, method: str = "source_complete", **options) -> DataFrame:
+    """Rows (rec, cluster): clusters without two records of one source, in which all records match, inside components (node, component).
+
+    Records that agree with another of their own source in all attributes are clusters of their own. Of the others, exact groups with one record
+    of each of the `sources` are final. What is left is refined with an exact group as one unit, which has the sources of all its records."""
+    rows = records.join(components.select(F.col("node").alias(spec.rec), "component"), spec.rec)
+    key = ["component", *spec.compare]
+    rows = rows.select(F.col(spec.rec).alias("rec"), F.col(spec.source).alias("source"), "component", *[F.coalesce(c, F.lit("")).alias(c) for c in spec.compare])
+    twice = rows.groupBy(*key, "source").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    alone = rows.join(twice, [*key, "source"], "left_semi").select("rec", F.col("rec").alias("cluster"))
+    free = rows.join(twice, [*key, "source"], "left_anti")
+    units = free.groupBy(*key).agg(F.min("rec").alias(spec.rec), F.count("*").alias("n"), F.sort_array(F.collect_set("source")).alias("held"))
+    left = units.where(F.col("n") < sources)
+    nodes = left.select(F.col(spec.rec).alias("node"), "component")
+    met = refine.component_pairs(left, nodes, spec.compare, match, weight, spec.rec)
+    found = refine.refine(met, nodes, method, left.select(F.col(spec.rec).alias("rec"), F.col("held").alias("source")), **options)
+    of = free.join(units.select(*key, F.col(spec.rec).alias("unit")), key).select("rec", "unit")
+    member = of.join(found.select(F.col("rec").alias("unit"), "cluster"), "unit", "left").select("rec", F.coalesce("cluster", "unit").alias("cluster"))
+    return alone.unionAll(member)

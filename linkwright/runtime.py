@@ -18,11 +18,13 @@ def session(app: str = "linkwright", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in
-    tests on one machine, a temporary folder is set once per application."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset on a local master, as in
+    tests, a temporary folder is set once per application; on a cluster that is an error, as executors could not read it."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="linkwright-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.normalize import strip_digits_punct, strip_punct, text
+from ..operators.pairs import number_rows
 from ..spec import LinkageSpec
 
 
@@ -41,9 +42,15 @@ def merged(a: DataFrame, b: DataFrame, first: str, last: str, name: str = "name"
     return both.withColumn(name, F.lower(F.concat(text(first), text(last)))).drop(first, last)
 
 
+def _placed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines with where they stand: file, start of the split in it, and the place in the split. Spark deals splits by size, so their numbers do not follow the files."""
+    lines = spark.read.text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+
+
 def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (line_no, value) in file order. Text files are read in splits, whose numbers follow the order of files and offsets."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    """Rows (line_no, value): lines numbered from 0 in the order of files and of lines in them."""
+    return number_rows(_placed(spark, path), "file", "start", "place").select(F.col("row").alias("line_no"), "value")
 
 
 def clusters_by_line(spark: SparkSession, path: str, member: str = "member") -> DataFrame:
@@ -53,13 +60,20 @@ def clusters_by_line(spark: SparkSession, path: str, member: str = "member") ->
     return lines.select(F.col("line_no").alias("cluster"), F.explode(F.transform(parts, F.trim)).alias(member))
 
 
-def clusters_by_headers(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Rows (cluster, fields) from blocks of lines, each under a line 'cluster n:' or behind an empty line."""
-    lines = number_lines(spark, path)
+def clusters_by_headers(spark: SparkSession, path: str | list[str], sep: str = "\t") -> DataFrame:
+    """Rows (file, cluster, fields) from blocks of lines, each under a line 'cluster n:' or behind an empty line; clusters count from 0 or 1 in each file."""
+    lines = _placed(spark, path)
     head = F.lower("value").rlike(r"^\s*cluster\s*\d+\s*:?\s*$") | (F.trim("value") == "")
-    w = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a cluster file, not a corpus
+    w = Window.partitionBy("file").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # cluster files, not a corpus
     marked = lines.withColumn("cluster", F.sum(head.cast("long")).over(w)).where(~head)
-    return marked.select("cluster", F.split("value", sep).alias("fields"))
+    return marked.select("file", "cluster", F.split("value", sep).alias("fields"))
+
+
+def clusters_by_id(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+    """Rows (cluster, fields) from a table with a header whose first column is the cluster's id, as linkage libraries write predictions."""
+    rows = spark.read.csv(path, sep=sep, header=True)
+    first, rest = rows.columns[0], rows.columns[1:]
+    return rows.select(F.col(first).alias("cluster"), F.array(*[F.coalesce(c, F.lit("")) for c in rest]).alias("fields"))
 
 
 def whitespace(spark: SparkSession, path: str | list[str], names: list[str], min_length: int = 10, row_cap: int | None = None) -> DataFrame:
@@ -104,7 +118,9 @@ def genome_windows(spark: SparkSession, path: str, size: int = 900) -> DataFrame
     whole = spark.read.text(path, wholetext=True)
     seq = F.regexp_replace(F.regexp_replace("value", r"(?m)^>.*$", ""), r"\s", "")
     n = F.floor(F.length("seq") / size).cast("int")
-    return whole.select(seq.alias("seq")).where(n > 0).select("seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("window")).select("window", F.lower(F.col("seq").substr(F.col("window") * size + 1, F.lit(size))).alias("value"))
+    # cut within the row, so that no window carries the whole sequence
+    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lower(F.col("seq").substr(i * size + 1, F.lit(size))))
+    return whole.select(seq.alias("seq")).where(n > 0).select(F.posexplode(cut).alias("window", "value"))
 
 
 def gene_locations(spark: SparkSession, path: str) -> DataFrame:

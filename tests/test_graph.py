@@ -46,6 +46,13 @@ def test_pairs_within_blocks(spark, part):
     assert sorted((r.l, r.r) for r in got) == sorted(want)
 
 
+def test_pairs_carry_attributes(spark):
+    blocks = spark.createDataFrame([("x", 1), ("x", 2), ("y", 1), ("y", 2), ("y", 3)], "block string, rec long")
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "rec_idx long, v string")
+    got = pairs.candidate_pairs(blocks, records, ["v"]).collect()
+    assert sorted((r.l, r.r, r.l_v, r.r_v or "") for r in got) == [(1, 2, "a", "b"), (1, 3, "a", ""), (2, 3, "b", "")]
+
+
 @pytest.mark.parametrize("t", [0, 1, 2])
 def test_all_pairs_within(spark, t):
     rng = random.Random(t)
@@ -71,6 +78,30 @@ def test_number_rows(spark):
     assert [r.row for r in sorted(rows, key=lambda r: r.rec_idx)] == list(range(1000))
 
 
+def test_number_a_million_rows(spark):
+    df = spark.range(1_000_000).selectExpr("(id * 7919) % 1000003 AS rec_idx", "xxhash64(id) AS h").repartition(8, "h").select("rec_idx")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = pairs.number_rows(df, "rec_idx").toPandas().sort_values("rec_idx")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert rows["row"].tolist() == list(range(1_000_000))
+
+
+@pytest.mark.parametrize("small", [1, 64])
+def test_threshold_coverage_asks_for_connection(spark, small, monkeypatch):
+    from linkwright.operators import diagnostics as d
+
+    monkeypatch.setattr(d, "SMALL_ENTITY", small)
+    # a chain whose ends are far apart is joined by its short links; entity 3 has one record, entity 4 two that are far apart
+    rows = [(1, 1, "aaaa"), (2, 1, "aaab"), (3, 1, "aabb"), (4, 2, "x"), (5, 2, "y"), (6, 3, "solo"), (7, 4, "far"), (8, 4, "away!")]
+    r = spark.createDataFrame(rows, "rec_idx long, entity_id long, v string")
+    got = d.grid_coverage(d.entity_distances(r, ["v"]), ["v"], [([0], 0), ([1], 1), ([5], 5)], r).orderBy("point").collect()
+    assert [(x.pairs, x.entities, x.records, x.entity_share, x.record_share) for x in got] == [(0, 1, 1, 0.25, 0.125), (3, 3, 6, 0.75, 0.75), (5, 4, 8, 1.0, 1.0)]
+    assert [x.point for x in d.first_covering(d.grid_coverage(d.entity_distances(r, ["v"]), ["v"], [([0], 0), ([5], 5)], r), 0.999).collect()] == [1]
+
+
 def test_refinements():
     path = {(1, 2): 1.0, (2, 3): 1.0, (3, 4): 1.0}
     nodes = [1, 2, 3, 4]

@@ -100,9 +100,28 @@ def test_jaro_of_many_pairs(whole):
         assert abs(v - m.jaro_value(strings[a], strings[b], whole)) < 1e-12
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_long_strings(whole):
+    rng = random.Random(8)
+    strings = ["", "a", "é" * 200, "ab" * 100, "日本" * 40]
+    strings += ["".join(rng.choice("abcdeéß日"[: rng.randint(1, 8)]) for _ in range(rng.choice([0, 3, 63, 64, 65, 100, 150, 200]))) for _ in range(120)]
+    strings = list(dict.fromkeys(strings))
+    t = m.JaroTable(strings)
+    a, b = (np.array([rng.randrange(len(strings)) for _ in range(1500)]) for _ in range(2))
+    for i, j, v, w, d in zip(a, b, t.compare(a, b, whole), t.winkler(a, b), t.osa(a, b), strict=True):
+        assert abs(v - m.jaro_value(strings[i], strings[j], whole)) < 1e-12
+        assert abs(w - m.winkler_value(strings[i], strings[j])) < 1e-12
+        if i % 4 == 0:
+            assert d == m.osa_value(strings[i], strings[j])
+    got = t.compare(a, b, whole, 0.6)
+    assert all(v == (w if w >= 0.6 else v) for v, w in zip(got, t.compare(a, b, whole), strict=True))
+
+
 def test_all_pairs_jaro(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abc") for _ in range(8)) for _ in range(80)] + [None]
     df = spark.createDataFrame(list(enumerate(words)), "id long, v string")
     want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if i < j and m.jaro_value(a or "", b or "") >= 0.8}
-    assert {(r.l, r.r) for r in m.all_pairs_jaro(df, "v", 0.8).collect()} == want
+    for block in (7, 2000):
+        got = [(r.l, r.r) for r in m.all_pairs_jaro(df, "v", 0.8, block=block).collect()]
+        assert set(got) == want and len(got) == len(want)
