@@ -19,6 +19,7 @@ from .operators import predicates as pr
 from .operators import refine as rf
 from .operators.graph import connected_components
 from .plans import linkage
+from .runtime import materialize
 from .sources import writers
 from .spec import LinkageSpec
 
@@ -434,9 +435,9 @@ def _long_sql(length: int, alphabet: int, n: int = 1500) -> str:
 SELECT a.id AS l, b.id AS r, round(jaro_similarity(a.v, b.v), 6) AS jaro FROM s a JOIN s b ON a.id < b.id WHERE jaro_similarity(a.v, b.v) >= 0.7000001"""
 
 
-for _n in (75, 150, 500):
-    QUERIES[f"jaro_length_{_n}"] = lambda spark, sf_dir, _n=_n: _long_pairs(spark, _n, 5 if _n < 500 else 4)
-    SQL[f"jaro_length_{_n}"] = _long_sql(_n, 5 if _n < 500 else 4)
+for _n, _letters, _many in ((75, 5, 1500), (150, 5, 1500), (500, 4, 700)):
+    QUERIES[f"jaro_length_{_n}"] = lambda spark, sf_dir, _n=_n, _letters=_letters, _many=_many: _long_pairs(spark, _n, _letters, _many)
+    SQL[f"jaro_length_{_n}"] = _long_sql(_n, _letters, _many)
 
 
 # a row of the table at a time; within a row the best way from the left is a minimum over all places before
@@ -597,7 +598,7 @@ def component_sizes(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir) -> DataFrame:
-    return linkage.link(planted(spark, sf_dir), SPEC).select(F.col("rec").alias("node"), "component")
+    return materialize(linkage.link(planted(spark, sf_dir), SPEC).select(F.col("rec").alias("node"), "component"), "nodes")
 
 
 def _refined(spark, sf_dir, method: str, rule, weight, cols=COLS, with_source: bool = False, **options) -> DataFrame:

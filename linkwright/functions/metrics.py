@@ -408,7 +408,7 @@ def jaro_winkler(a, b) -> Column:
 
 
 #: Strings of a block of `all_pairs_jaro`.
-BLOCK = 2000
+BLOCK = 500
 
 
 def all_pairs_jaro(df: DataFrame, col: str, least: float, key: str = "id", whole: bool = True, block: int = BLOCK) -> DataFrame:
@@ -441,7 +441,10 @@ def all_pairs_jaro(df: DataFrame, col: str, least: float, key: str = "id", whole
             out.append(pd.DataFrame({"l": ids[a[hit]], "r": ids[b[hit]], "jaro": v[hit]}))
         return pd.concat(out) if out else pd.DataFrame({"l": [], "r": [], "jaro": []})
 
-    return dealt.groupBy("cell").applyInPandas(run, "l long, r long, jaro double")
+    # few bytes and much work: adaptive execution would put all cells into a few tasks, unless their number is given
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks * (blocks + 1) // 2, 4 * spark.sparkContext.defaultParallelism))
+    return dealt.repartition(tasks, "cell").groupBy("cell").applyInPandas(run, "l long, r long, jaro double")
 
 
 def scaled(similarity: Column, factor: int = 1000) -> Column:

@@ -53,8 +53,8 @@ def maxima(distances: DataFrame, cols: list[str]) -> DataFrame:
     return distances.groupBy("entity").agg(*[F.max(f"d_{c}").alias(f"max_{c}") for c in cols])
 
 
-#: Entities of more records are looked at by rounds over a table of edges instead of within one row.
-SMALL_ENTITY = 64
+#: Entities of more records are looked at by rounds over a table of edges instead of within one row; conditions that fit one number.
+SMALL_ENTITY, BITS = 16, 62
 
 
 def connected_points(pairs: DataFrame, records: DataFrame, tests: list[Column], entity: str = "entity_id", rec: str = "rec_idx") -> DataFrame:
@@ -62,27 +62,35 @@ def connected_points(pairs: DataFrame, records: DataFrame, tests: list[Column],
     these pairs join into one component, their records, and the shares of both in all. `pairs`: (entity, l, r) and what the
     conditions read. An entity of one record is joined whatever the condition.
 
-    Records of an entity are numbered, and a fold over its pairs keeps the label of each; all conditions are looked at in one pass. Entities of
-    more than SMALL_ENTITY records go through `connected_components` instead, on nodes (record, condition)."""
+    For all conditions at once, as the bits of a number, a record knows those under which the first of its entity reaches it; each pair
+    passes on what it meets, as often as there are records. Entities of more than SMALL_ENTITY records go through `connected_components`
+    instead, on nodes (record, condition)."""
     points = len(tests)
+    words = [tests[i : i + BITS] for i in range(0, points, BITS)]
     sizes = records.groupBy(F.col(entity).alias("entity")).agg(F.count("*").alias("n"))
-    fits = pairs.select("entity", "l", "r", F.filter(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]), lambda x: x.isNotNull()).alias("fit"))
+    bits = F.array(*[reduce(lambda a, b: a.bitwiseOR(b), [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(w)]) for w in words])
+    fits = pairs.select("entity", "l", "r", bits.alias("fit"))
+    met_points = lambda c: F.filter(F.array(*[F.when(F.element_at(c, i // BITS + 1).bitwiseAND(F.lit(1 << i % BITS)) != 0, F.lit(i)) for i in range(points)]), lambda x: x.isNotNull())
     small = sizes.where((F.col("n") > 1) & (F.col("n") <= SMALL_ENTITY))
     members = records.select(F.col(entity).alias("entity"), F.col(rec).alias("rec")).join(small, "entity").groupBy("entity").agg(F.sort_array(F.collect_list("rec")).alias("recs"))
-    edges = fits.join(small.select("entity"), "entity").groupBy("entity").agg(F.collect_list(F.struct("l", "r", "fit")).alias("edges"))
-    row = members.join(edges, "entity", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<l:bigint,r:bigint,fit:array<int>>>")))
+    row = members.join(fits.join(small.select("entity"), "entity").groupBy("entity").agg(F.collect_list(F.struct("l", "r", "fit")).alias("edges")), "entity")
+    place = lambda c: (F.array_position("recs", c) - 1).cast("int")
+    row = row.withColumn("edges", F.transform("edges", lambda e: F.struct(place(e["l"]).alias("i"), place(e["r"]).alias("j"), e["fit"].alias("fit"))))
+    row = row.withColumn("edges", F.flatten(F.array_repeat("edges", F.size("recs") - 1)))
 
-    def joined(i):
-        def step(label, e):
-            a, b = F.element_at(label, F.array_position("recs", e["l"]).cast("int")), F.element_at(label, F.array_position("recs", e["r"]).cast("int"))
-            return F.when(F.array_contains(e["fit"], i) & (a != b), F.transform(label, lambda x: F.when(x == F.greatest(a, b), F.least(a, b)).otherwise(x))).otherwise(label)
+    def reached(k):
+        start = F.transform("recs", lambda _, i: F.when(i == 0, F.lit(-1)).otherwise(F.lit(0)).cast("long"))
 
-        return F.size(F.array_distinct(F.aggregate("edges", F.col("recs"), step))) == 1
+        def step(acc, e):
+            passed = lambda at: F.get(acc, at).bitwiseAND(F.element_at(e["fit"], k + 1))
+            return F.transform(acc, lambda x, i: F.when(i == e["i"], x.bitwiseOR(passed(e["j"]))).when(i == e["j"], x.bitwiseOR(passed(e["i"]))).otherwise(x))
 
-    whole = row.select("entity", F.size("recs").cast("long").alias("n"), F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.when(joined(i), i)), lambda x: x.isNotNull())).alias("point"))
+        return F.aggregate(F.aggregate("edges", start, step), F.lit(-1).cast("long"), lambda a, x: a.bitwiseAND(x))
+
+    whole = row.select("entity", F.size("recs").cast("long").alias("n"), F.array(*[reached(k) for k in range(len(words))]).alias("all")).select("entity", "n", F.explode(met_points("all")).alias("point"))
     large = sizes.where(F.col("n") > SMALL_ENTITY)
     if large.limit(1).count():
-        rest = fits.join(large, "entity").select("entity", "n", F.explode("fit").alias("point"), "l", "r")
+        rest = fits.join(large, "entity").select("entity", "n", F.explode(met_points("fit")).alias("point"), "l", "r")
         label = connected_components(rest.select((F.col("l") * points + F.col("point")).alias("a"), (F.col("r") * points + F.col("point")).alias("b")), "a", "b")
         at = records.select(F.col(entity).alias("entity"), F.col(rec).alias("rec")).join(large, "entity")
         met = label.select(F.floor(F.col("node") / points).cast("long").alias("rec"), (F.col("node") % points).cast("int").alias("point"), "component").join(at, "rec")
@@ -91,7 +99,7 @@ def connected_points(pairs: DataFrame, records: DataFrame, tests: list[Column],
     one = sizes.where("n = 1").agg(F.count("*").alias("single"))
     every = sizes.agg(F.count("*").alias("all_entities"), F.sum("n").alias("all_records"))
     grid = records.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
-    met = fits.select(F.explode("fit").alias("point")).groupBy("point").agg(F.count("*").alias("pairs"))
+    met = fits.select(F.explode(met_points("fit")).alias("point")).groupBy("point").agg(F.count("*").alias("pairs"))
     per = whole.groupBy("point").agg(F.count("*").alias("entities"), F.sum("n").alias("records"))
     # tables of one row for each point, or of one row
     out = grid.join(met, "point", "left").join(per, "point", "left").crossJoin(one).crossJoin(every)

@@ -10,6 +10,7 @@ import heapq
 import random
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,15 +232,46 @@ def bottleneck(nodes: list[int], edges: Edges) -> float | None:
     return last and last[0]
 
 
+def by_key(pairs: DataFrame, key: str, f: Callable[[dict[str, list]], list[tuple]], names: list[str], schema: str) -> DataFrame:
+    """f of the columns of all rows of each key. Rows of a key stand together in their partition, so a task takes its keys from whole
+    Arrow batches, without a frame for each; only the key at the end of a batch is carried on."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            column = {c: rows[c].tolist() for c in rows}
+            k = rows[key].to_numpy()
+            edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            out = [x for a, b in zip(edge, edge[1:], strict=False) for x in f({c: v[a:b] for c, v in column.items()})]
+            return pd.DataFrame(out, columns=names)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[key].to_numpy()
+            if held and held[-1][key].iloc[-1] != k[0]:
+                yield done(pd.concat(held))
+                held = []
+            last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
+            if last:
+                yield done(pd.concat([*held, batch.iloc[:last]]))
+                held = []
+            held.append(batch.iloc[last:])
+        if held:
+            yield done(pd.concat(held))
+
+    return pairs.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
+
+
 def bottleneck_edges(pairs: DataFrame) -> DataFrame:
     """The rows of `pairs`, (entity, l, r, w, ...), that are the last edge of the spanning tree of their entity."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, edges = _edges(zip(rows["l"].tolist(), rows["r"].tolist(), rows["w"].tolist(), strict=True))
-        last = spanning_edge(names, edges)
-        return pd.DataFrame([(rows["entity"].iloc[0], last[1], last[2])] if last else [], columns=["entity", "l", "r"])
+    def last(rows: dict[str, list]) -> list[tuple]:
+        e = spanning_edge(*_edges(zip(rows["l"], rows["r"], rows["w"], strict=True)))
+        return [(rows["entity"][0], e[1], e[2])] if e else []
 
-    found = pairs.select("entity", "l", "r", "w").groupBy("entity").applyInPandas(run, "entity long, l long, r long")
+    found = by_key(pairs.select("entity", "l", "r", "w"), "entity", last, ["entity", "l", "r"], "entity long, l long, r long")
     return pairs.join(found, ["entity", "l", "r"])
 
 
@@ -255,26 +287,25 @@ def refine(pairs: DataFrame, nodes: DataFrame, method: str, sources: DataFrame |
         s = sources.select("rec", "source")
         pairs = pairs.join(s.select(F.col("rec").alias("l"), F.col("source").alias("sl")), "l").join(s.select(F.col("rec").alias("r"), F.col("source").alias("sr")), "r").select("component", "l", "r", "w", "sl", "sr")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, edges = _edges(zip(rows["l"].tolist(), rows["r"].tolist(), rows["w"].tolist(), strict=True))
+    def clusters(rows: dict[str, list]) -> list[tuple]:
+        names, edges = _edges(zip(rows["l"], rows["r"], rows["w"], strict=True))
         more = {}
         if "sl" in rows:
-            more["source"] = dict(zip(rows["l"].tolist(), rows["sl"].tolist(), strict=True)) | dict(zip(rows["r"].tolist(), rows["sr"].tolist(), strict=True))
-        found = f(names, edges, **more, **options)
-        return pd.DataFrame([(x, min(c)) for c in found for x in c], columns=["rec", "cluster"])
+            more["source"] = dict(zip(rows["l"], rows["sl"], strict=True)) | dict(zip(rows["r"], rows["sr"], strict=True))
+        return [(x, min(c)) for c in f(names, edges, **more, **options) for x in c]
 
-    got = pairs.groupBy("component").applyInPandas(run, "rec long, cluster long")
+    got = by_key(pairs, "component", clusters, ["rec", "cluster"], "rec long, cluster long")
     return nodes.select(F.col("node").alias("rec")).join(got, "rec", "left").select("rec", F.coalesce("cluster", "rec").alias("cluster"))
 
 
 def mst_bottlenecks(pairs: DataFrame) -> DataFrame:
     """Rows (component, records, bottleneck) over pairs (component, l, r, w)."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        names, edges = _edges(zip(rows["l"].tolist(), rows["r"].tolist(), rows["w"].tolist(), strict=True))
-        return pd.DataFrame([(rows["component"].iloc[0], len(names), bottleneck(names, edges))], columns=["component", "records", "bottleneck"])
+    def top(rows: dict[str, list]) -> list[tuple]:
+        names, edges = _edges(zip(rows["l"], rows["r"], rows["w"], strict=True))
+        return [(rows["component"][0], len(names), bottleneck(names, edges))]
 
-    return pairs.groupBy("component").applyInPandas(run, "component long, records long, bottleneck double")
+    return by_key(pairs, "component", top, ["component", "records", "bottleneck"], "component long, records long, bottleneck double")
 
 
 def move_by_votes(records: DataFrame, clusters: DataFrame, priority: list[str], rec: str = "rec_idx") -> DataFrame:

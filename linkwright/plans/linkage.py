@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import by_number
 from ..operators import blocking, grouping, pairs, predicates, refine
 from ..operators.graph import connected_components
+from ..runtime import materialize
 from ..spec import LinkageSpec
 
 KINDS = {
@@ -46,7 +47,7 @@ def link_and_refine(records: DataFrame, spec: LinkageSpec, match: Column | None
     """Rows (rec, cluster). Refinement works on all records, with exact copies, inside the components."""
     match = match if match is not None else predicates.sum_within(spec.compare, spec.total, spec.limits or None)
     weight = weight if weight is not None else predicates.total_distance(spec.compare)
-    nodes = link(records, spec, match).select(F.col("rec").alias("node"), "component")
+    nodes = materialize(link(records, spec, match).select(F.col("rec").alias("node"), "component"), "nodes")
     cols = [*spec.compare, *([spec.source] if spec.source else [])]
     met = refine.component_pairs(records, nodes, cols, match & predicates.other_source(spec.source) if spec.source else match, weight, spec.rec)
     sources = records.select(F.col(spec.rec).alias("rec"), F.col(spec.source).alias("source")) if spec.source else None
