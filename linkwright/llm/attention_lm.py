@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .common import LOWER, chunks, held_out, held_out_of, one_blas_thread, record_batch, texts
-from .token_files import _coder
+from .token_files import WordTable, _coder
 
 #: Ids that a window holds, ids that it scores, size of a vector.
 WINDOW, STEP, SIZE = 24, 16, 16
@@ -431,68 +431,40 @@ class Encoder:
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, types: int, ends: int, tokenizer: str):
         self.words, self.counts = {w: i for i, w in enumerate(words)}, counts
         self.total, self.types, self.ends, self.tokenizer = total, types, ends, tokenizer
-        self.index: dict[bytes, int] | None = None
+        self.table: WordTable | None = None
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.total + ADD * (self.types + 1)))
 
     def _open(self) -> None:
-        self.unit = _speller(self.tokenizer).dtype
-        self._base = self.base(self.counts)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.pieces, self.start, self.n, self.top = np.array([], dtype=self.unit), np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        speller = _speller(self.tokenizer)
+        self._base = np.r_[self.base(self.counts), 0.0]
+        self.table = WordTable(speller.spell, speller.dtype, REMEMBERED)
+        self.top = np.array([], dtype=np.int64)
 
     def close(self) -> None:
-        self.index = None
-        self.pieces = self.start = self.n = self.top = None
-
-    def _add(self, words: list[bytes]) -> None:
-        """Number new words; keep their sequences in a row, and which of the top words they are."""
-        got = _speller(self.tokenizer).spell(words)
-        n = np.fromiter(map(len, got), np.int64, len(got)) // self.unit.itemsize
-        self.index.update(zip(words, range(len(self.n), len(self.n) + len(words)), strict=True))
-        self.start = np.r_[self.start, len(self.pieces) + np.cumsum(n) - n]
-        self.n = np.r_[self.n, n]
-        self.pieces = np.r_[self.pieces, np.frombuffer(b"".join(got), dtype=self.unit)]
-        common = len(self.words)
-        self.top = np.r_[self.top, np.fromiter((self.words.get(w, common) for w in words), np.int64, len(words))]
+        self.table = self.top = None
 
     def encode(self, raw: list[bytes]) -> tuple[list[int], list[int], list[float], pa.Array, list[bytes]]:
         """For each text: tokens, known top words, their base score and the end's, the other words, and the sequence."""
-        if self.index is None:
+        if self.table is None:
             self._open()
-        if len(self.index) > REMEMBERED:
-            self._forget()
         docs = [lower(t).split() for t in raw]
-        n_words = np.fromiter(map(len, docs), np.int64, len(docs))
-        total = int(n_words.sum())
-        idx = np.fromiter(map(self.index.get, chain.from_iterable(docs), repeat(-1)), np.int64, total)
-        unknown = np.flatnonzero(idx < 0)
-        if len(unknown):
-            every = list(chain.from_iterable(docs))
-            words = [every[i] for i in unknown.tolist()]
-            self._add(list(dict.fromkeys(words)))
-            idx[unknown] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        idx, n_words, fresh = self.table.look_up(docs)
+        common = len(self.words)
+        kept = len(self.table.n) - len(fresh)  # none, if the table has just forgotten all
+        self.top = np.r_[self.top[:kept], np.fromiter((self.words.get(w, common) for w in fresh), np.int64, len(fresh))]
         doc = np.repeat(np.arange(len(docs)), n_words)
         top = self.top[idx]
-        rare = np.flatnonzero(top == len(self.words))
+        rare = np.flatnonzero(top == common)
         known = np.bincount(doc, minlength=len(docs)) - np.bincount(doc[rare], minlength=len(docs)) + (self.ends > 0)
-        base = np.bincount(doc, weights=np.r_[self._base, 0.0][top], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
+        base = np.bincount(doc, weights=self._base[top], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
         others = pa.array([], pa.binary())
         if len(rare):
             every = list(chain.from_iterable(docs))
             others = pa.array([every[i] for i in rare.tolist()], pa.binary())
         others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=len(docs)))], pa.int32()), others)
-        # sequences of all words in a row
-        n = self.n[idx]
-        stop = np.cumsum(n)
-        at = np.arange(stop[-1] if total else 0) + np.repeat(self.start[idx] - (stop - n), n)
-        data = self.pieces[at].tobytes()
-        edge = (np.r_[0, stop][np.r_[0, np.cumsum(n_words)]] * self.unit.itemsize).tolist()
-        return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+        return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, self.table.sequences(idx, n_words)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -638,3 +610,14 @@ def score(docs: DataFrame, tokenizer: str, most_words: int = TOP_WORDS, rounds:
     rest = encoded.select("key", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("key").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(floor))).alias("rest"), F.count("c").alias("more"))
     known_words = (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known")
     return found.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", known_words, F.lit(encoder.total).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+
+
+#: The columns that SQL can express; the log10 probability of words by their counts is rounded to 4 places.
+BASE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w, fold FROM documents JOIN fold USING (doc_id)),
+word AS (SELECT k, fold, unnest(w) AS word FROM t), c AS (SELECT word, count(*) AS c FROM word WHERE fold <> 0 GROUP BY word),
+e AS (SELECT count(*) FILTER (fold <> 0) AS ends FROM t), n AS (SELECT (SELECT sum(c) FROM c) + ends AS total, (SELECT count(*) FROM c) + CAST(ends > 0 AS BIGINT) AS types, ends FROM e),
+s AS (SELECT k, sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (total + 0.1::DOUBLE * (types + 1)))) AS base, count(c) AS known FROM word LEFT JOIN c USING (word), n GROUP BY k)
+SELECT doc_id, fold = 0 AS held_out, CAST(len(w) + 1 AS BIGINT) AS n_tokens, CAST(coalesce(known, 0) + CAST(ends > 0 AS BIGINT) AS BIGINT) AS n_known, CAST(total AS BIGINT) AS train_tokens,
+  round(coalesce(base, 0) + log10((ends + 0.1::DOUBLE) / (total + 0.1::DOUBLE * (types + 1))), 4) AS base_score FROM t LEFT JOIN s USING (k), n
+"""

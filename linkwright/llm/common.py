@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds at once; a longer text comes alone.
@@ -67,6 +67,16 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
+def bounded(rows: DataFrame, by: str, most: int, most_bytes: int) -> DataFrame:
+    """At most `most` rows (doc_id, text, ...) of each value of `by`, and at most `most_bytes` of their texts, always the same ones: in the order of a hash of
+    the id, then of the text. A text of more than a sixteenth of the bytes is passed over. The rows are few already: this makes the bound hold where ids repeat or texts are long."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    w = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text")
+    n, total = free_name("_n", rows.columns), free_name("_total", rows.columns)
+    kept = rows.where(size * 16 <= most_bytes).withColumn(n, F.row_number().over(w)).withColumn(total, F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return kept.where((F.col(n) <= most) & (F.col(total) <= most_bytes)).drop(n, total)
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5):
     """True where crc32 of the id as text leaves no remainder."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0

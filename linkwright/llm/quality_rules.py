@@ -10,8 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import chunks, record_batch, texts
+from ..runtime import materialize
+from .common import chunks, free_name, record_batch, texts
 
 GOOD, BAD, ABSTAIN = 2, 1, 0
 #: A document is kept from this posterior probability of good quality on.
@@ -138,19 +141,12 @@ def _judged(batches: Iterator[pa.RecordBatch]):
         yield batch, found
 
 
-def posteriors(docs: DataFrame) -> dict[int, float]:
-    """Count the vote patterns of all documents and fit. There are at most 3 ** RULES patterns, each task
-    sends each at most once, and that bounded table is all that reaches the driver."""
-
-    def run(batches):
-        total: dict[int, int] = {}
-        for _, found in _judged(batches):
-            for x in found:
-                total[x[5]] = total.get(x[5], 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["code", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").sum("n").orderBy("code").collect()
-    return fit(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float))
+def posteriors(judged: DataFrame, code: str = "code") -> DataFrame:
+    """Rows (code, posterior): the vote patterns of all documents, fitted. There are at most 3 ** RULES of them, and their counts are all that
+    reaches the driver and all that is sent back."""
+    rows = judged.groupBy(F.col(code).alias("code")).count().orderBy("code").collect()
+    known = fit(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=float))
+    return judged.sparkSession.createDataFrame(sorted(known.items()), "code long, posterior double")
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:
@@ -158,27 +154,48 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 def judge(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, posterior,
-    kept), one for each row of `docs`. A null or empty text has no words and fails the base rule. Null
-    and repeated ids keep their own rows; other columns are not read."""
-    known = posteriors(docs)
-    schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("posterior", pa.float64()), ("kept", pa.bool_())])
+    """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior), one for each row of `docs`.
+    A null or empty text has no words and fails the base rule. Null and repeated ids keep their own rows; other columns
+    are not read. Texts are read once: their counts and vote patterns are written, and meet the fitted posteriors there."""
+    counted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", *counted, "code")] + [("base_failed", pa.bool_())])
 
     def run(batches):
         for batch, found in _judged(batches):
-            failed = [base_failed(x[0], x[4]) for x in found]
-            p = [known[x[5]] for x in found]
-            yield record_batch(schema, batch.column("doc_id").cast(pa.int64()), *[[x[k] for x in found] for k in range(5)], failed, p, [not f and q >= keep_from for f, q in zip(failed, p, strict=True)])
+            yield record_batch(schema, batch.column("doc_id").cast(pa.int64()), *[[x[k] for x in found] for k in range(6)], [base_failed(x[0], x[4]) for x in found])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, posterior double, kept boolean")
+    found = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*counted, "code")) + ", base_failed boolean"), "judged")
+    known = found.join(F.broadcast(posteriors(found)), "code", "left")  # a row for each vote pattern
+    return known.select("doc_id", *counted, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= keep_from)).alias("kept"), "posterior")
 
 
 def keep(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns."""
-    known = posteriors(docs)
+    code, failed = free_name("_code", docs.columns), free_name("_failed", docs.columns)
 
     def run(batches):
         for batch, found in _judged(batches):
-            yield batch.filter(pa.array([not base_failed(x[0], x[4]) and known[x[5]] >= keep_from for x in found], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            more = [pa.array([x[5] for x in found], pa.int64()), pa.array([base_failed(x[0], x[4]) for x in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, code, failed])
+
+    types = StructType([*docs.schema.fields, StructField(code, LongType()), StructField(failed, BooleanType())])
+    found = materialize(docs.mapInArrow(run, types), "judged")
+    known = F.broadcast(posteriors(found, code).select(F.col("code").alias(free_name("_pattern", docs.columns)), F.col("posterior").alias(free_name("_posterior", docs.columns))))
+    pattern_of, posterior = known.columns
+    return found.join(known, found[code] == known[pattern_of]).where(~F.col(failed) & (F.col(posterior) >= keep_from)).select(*[found[c] for c in docs.columns])
+
+
+#: The columns that SQL can express, rule by rule of their definition.
+BASE_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+grams AS (SELECT k, i, array_to_string(w[i : i + 2], ' ') AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
+twice AS (SELECT k, i FROM grams QUALIFY count(*) OVER (PARTITION BY k, g) > 1),
+again AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY k),
+lines AS (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (SELECT k, sum(n - 1) AS n FROM (SELECT k, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k, line) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN dup USING (k) LEFT JOIN again USING (k)
+"""

@@ -79,9 +79,32 @@ FROM doc d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
 
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_quality_rules that SQL can express."""
+    return quality_rules.judge(documents(spark, sf_dir)).drop("kept", "posterior")
+
+
+def base_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3_attention_lm that SQL can express; the model is not trained for them."""
+    found = attention_lm.score(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), rounds=0)
+    return found.drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+def _fold_sql(folds: int) -> str:
+    """The remainder of crc32 of the id as text, which DuckDB has no function for: a table of the checksum's 256 steps and a fold over the bytes."""
+    return f"""WITH RECURSIVE bits(b, c, k) AS (SELECT b, b, 0 FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+steps AS MATERIALIZED (SELECT b, c AS step FROM bits WHERE k = 8), ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),
+crc(doc_id, s, i, c) AS (SELECT doc_id, s, 1, 4294967295::BIGINT FROM ids UNION ALL SELECT doc_id, s, i + 1, xor(step, c // 256) FROM crc JOIN steps ON b = xor(c % 256, ascii(substr(s, i, 1))) WHERE i <= length(s)),
+fold AS (SELECT doc_id, xor(c, 4294967295::BIGINT) % {folds} AS fold FROM crc WHERE i = length(s) + 1),
+"""
+
+
+BASE_LM_SQL = _fold_sql(10) + attention_lm.BASE_SQL.strip().removeprefix("WITH ")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_compact_windows, op3_attention_lm, op4_token_files, op5_simhash, op6_decontamination, op7_factorisation_machine, op8_language_crf, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_compact_windows, op3_attention_lm, op4_token_files, op5_simhash, op6_decontamination, op7_factorisation_machine, op8_language_crf, op9_toxicity, op10_bpe, base_quality_rules, base_attention_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op6_decontamination": OP6_SQL, "base_quality_rules": quality_rules.BASE_SQL, "base_attention_lm": BASE_LM_SQL}

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import materialize
-from .common import chunks, record_batch, texts
+from .common import chunks, free_name, record_batch, texts
 
 BITS, RADIUS, SHINGLE, SEED, PARTS = 64, 4, 4, 42, 2
 #: A bucket of more fingerprints is split further, by exact blocks of the fingerprint.
 LARGE_BUCKET = 4096
+#: Tasks that the label of a component is sent to.
+SALTS = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -187,9 +189,12 @@ def components(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Dat
     distinct = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     pairs = near_pairs(distinct.select("fp"), radius, parts)
     label = connected_components(pairs, "a", "b")
-    joined = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("label"))
-    least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = joined.join(least, "label").select("fp", "component_id")
+    joined = materialize(distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", "component"), "labelled")
+    linked = joined.where("component is not null")
+    # a large component is one key: its label is sent to SALTS tasks, and each fingerprint goes to one of them. Only fingerprints with a link get here
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_label = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["component", "salt"]).select("fp", "component_id")
+    by_fp = by_label.unionAll(joined.where("component is null").select("fp", F.col("least").alias("component_id")))
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -203,5 +208,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> Da
     if not twice.limit(1).count():
         return kept
     again = kept.join(twice, "doc_id", "left_semi")
-    first = again.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"]))).where("_row = 1").drop("_row")
+    # rows of one id go by their JSON, which every type of column has, also those that cannot be sorted
+    row = free_name("_row", docs.columns)
+    first = again.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*docs.columns))))).where(F.col(row) == 1).drop(row)
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))

@@ -1,9 +1,9 @@
 """Operator 4: token ids in Arrow IPC files of equal-length sequences.
 
 All documents, in ascending doc_id order, make one stream of ids that is cut into shards. A shard
-is one Arrow IPC file whose batches hold fixed-size lists, `tokens` of LENGTH ids and `mask` of LENGTH bits (1: an id,
-0: padding after the shard's last id), so sequence i of a shard lies at a known place and a memory map
-hands it out without a copy. A second file beside it, named *.docs.arrow, has (doc_id, first, n_tokens) of the
+is one Arrow IPC file whose batches hold fixed-size lists, `tokens` of LENGTH ids and `mask` of LENGTH bytes (1: an id,
+0: padding after the shard's last id). All batches but the last hold BATCH sequences, so sequence i of a shard is row i % BATCH of batch i // BATCH
+and a memory map hands it and its mask out without a copy. A second file beside it, named *.docs.arrow, has (doc_id, first, n_tokens) of the
 shard's documents. The manifest, a Parquet table, names the shards that count: files carry the task
 attempt in their name, so what a lost or repeated task wrote is never read."""
 
@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class WordEncoder:
 
     The vocabulary must drop white space between words, as those of the kind of word_bpe_49k.json do; then no
     word depends on another. ASCII letters are lower-cased first if the vocabulary does so itself and
-    no special string can arise from it. The bytes of a word's ids are remembered, so a document is one join."""
+    no special string can arise from it. The ids of words are remembered, and a document's are gathered from them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,7 +58,7 @@ class WordEncoder:
         for token, i in vocab.items():
             self.ends_word[i] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.table = WordTable(self.encode_words, self.dtype, REMEMBERED)
 
     def _joined(self, tok, words: list[bytes], odd: list[bytes]) -> None:
         """Encode words that are one piece each as one text; their last ids mark where each ends."""
@@ -73,7 +74,7 @@ class WordEncoder:
                 self.known[w] = data[at:stop]
                 at = stop
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         pieces, letters, odd, cut = set(), [], [], []
         for w in new:
             if w.isalpha():
@@ -101,30 +102,59 @@ class WordEncoder:
             self.known[w] = b"".join(map(get, parts))
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The bytes of the ids of different lower-cased words; nothing is remembered."""
-        kept, self.known = self.known, {}
-        self._learn(set(words))
+        """The bytes of the ids of different words; nothing is remembered."""
+        self.known = {}
+        self._learn(words)
         out = list(map(self.known.__getitem__, words))
-        self.known = kept
+        self.known = {}
         return out
 
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
         cut = [(t.lower() if self.lower and b"<|" not in t else t) for t in raw]
-        cut = [t.split() for t in cut]  # ASCII white space only, as these are bytes
-        new: set[bytes] = set()
-        for words in cut:
-            new.update(words)
-        new = new.difference(self.known)
-        if self.older:
-            for w in [w for w in new if w in self.older]:
-                self.known[w] = self.older[w]
-            new = new.difference(self.older)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        return self.table.sequences(*self.table.look_up([t.split() for t in cut])[:2])  # ASCII white space only, as these are bytes
+
+
+class WordTable:
+    """Numbers of words, and the sequences of all of them in a row, as `spell` gives them; no more than `most` words are remembered from one call to the next."""
+
+    def __init__(self, spell, unit: np.dtype, most: int):
+        self.spell, self.unit, self.most = spell, unit, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.pieces, self.start, self.n = np.array([], dtype=self.unit), np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+
+    def look_up(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Numbers of all words of the documents in a row, how many words each has, and the words that are new: they have the highest numbers, in this order."""
+        if len(self.index) > self.most:
+            self.forget()
+        n_words = np.fromiter(map(len, docs), np.int64, len(docs))
+        idx = np.fromiter(map(self.index.get, chain.from_iterable(docs), repeat(-1)), np.int64, int(n_words.sum()))
+        unknown = np.flatnonzero(idx < 0)
+        fresh: list[bytes] = []
+        if len(unknown):
+            every = list(chain.from_iterable(docs))
+            words = [every[i] for i in unknown.tolist()]
+            fresh = list(dict.fromkeys(words))
+            got = self.spell(fresh)
+            n = np.fromiter(map(len, got), np.int64, len(got)) // self.unit.itemsize
+            self.index.update(zip(fresh, range(len(self.n), len(self.n) + len(fresh)), strict=True))
+            self.start = np.r_[self.start, len(self.pieces) + np.cumsum(n) - n]
+            self.n = np.r_[self.n, n]
+            self.pieces = np.r_[self.pieces, np.frombuffer(b"".join(got), dtype=self.unit)]
+            idx[unknown] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        return idx, n_words, fresh
+
+    def sequences(self, idx: np.ndarray, n_words: np.ndarray) -> list[bytes]:
+        """The bytes of the sequence of each document."""
+        n = self.n[idx]
+        stop = np.cumsum(n)
+        at = np.arange(stop[-1] if len(idx) else 0) + np.repeat(self.start[idx] - (stop - n), n)
+        data = self.pieces[at].tobytes()
+        edge = (np.r_[0, stop][np.r_[0, np.cumsum(n_words)]] * self.unit.itemsize).tolist()
+        return [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +178,7 @@ class ShardWriter:
     def __init__(self, uri: str, dtype: np.dtype, length: int):
         self.fs, self.path = _filesystem(uri)
         self.type, self.dtype, self.length = token_type(dtype), dtype, length
-        self.schema = pa.schema([("tokens", pa.list_(self.type, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(self.type, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = self.fs.open_output_stream(self.path)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[bytes] = []
@@ -169,19 +199,20 @@ class ShardWriter:
         row = self.length * self.dtype.itemsize
         whole = len(data) // row
         at = 0
-        while at < whole:
-            n = min(BATCH, whole - at)
-            self._batch(np.frombuffer(data, self.dtype, n * self.length, at * row), n * self.length)
-            at += n
-        rest = data[whole * row :]
+        while at + BATCH <= whole:
+            self._batch(np.frombuffer(data, self.dtype, BATCH * self.length, at * row), BATCH * self.length)
+            at += BATCH
+        rest = data[at * row :]
         if last and rest:
-            self._batch(np.frombuffer(rest + b"\0" * (row - len(rest)), self.dtype), len(rest) // self.dtype.itemsize)
+            padded = rest + b"\0" * (-len(rest) % row)
+            self._batch(np.frombuffer(padded, self.dtype), len(rest) // self.dtype.itemsize)
             rest = b""
         self.held, self.held_bytes = [rest], len(rest)
 
     def _batch(self, values: np.ndarray, used: int) -> None:
-        mask = pa.array(np.arange(len(values)) < used)
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(values, self.type), mask)]
+        mask = np.ones(len(values), dtype=np.uint8)
+        mask[used:] = 0
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(values, self.type), pa.array(mask))]
         self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -204,29 +235,25 @@ class Shard:
         self.reader = pa.ipc.open_file(self.open(path))
         self._at: tuple[int, pa.RecordBatch] | None = None
         self.length = self.reader.schema.field("tokens").type.list_size
-        self.per_batch = self.reader.get_batch(0).num_rows if self.reader.num_record_batches else BATCH
-        self.counts = None
 
     def _batch(self, k: int) -> pa.RecordBatch:
         if self._at is None or self._at[0] != k:
             self._at = (k, self.reader.get_batch(k))
         return self._at[1]
 
-    def _row(self, i: int, column: str) -> pa.Array:
-        b = self._batch(self._find(i)[0])
-        return b.column(column).values.slice(self._find(i)[1] * self.length, self.length)
+    def __len__(self) -> int:
+        """Sequences of the shard."""
+        k = self.reader.num_record_batches
+        return (k - 1) * BATCH + self._batch(k - 1).num_rows if k else 0
 
-    def _find(self, i: int) -> tuple[int, int]:
-        if self.counts is None:
-            self.counts = np.cumsum([0] + [self.reader.get_batch(k).num_rows for k in range(self.reader.num_record_batches)])
-        k = int(np.searchsorted(self.counts, i, side="right")) - 1
-        return k, i - int(self.counts[k])
+    def _row(self, i: int, column: str) -> np.ndarray:
+        return self._batch(i // BATCH).column(column).values.slice(i % BATCH * self.length, self.length).to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._row(i, "tokens").to_numpy(zero_copy_only=True)
+        return self._row(i, "tokens")
 
     def mask(self, i: int) -> np.ndarray:
-        return self._row(i, "mask").to_numpy(zero_copy_only=False)
+        return self._row(i, "mask")
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, first, ids) of each document, read from the file in one pass."""
@@ -240,7 +267,7 @@ class Shard:
                     batch = self.reader.get_batch(k)
                     tokens, mask = (batch.column(c).values for c in ("tokens", "mask"))
                     got = tokens.to_numpy(zero_copy_only=True)
-                    used = mask.true_count
+                    used = int(np.count_nonzero(mask.to_numpy(zero_copy_only=True)))
                     got = got[:used]  # padding stands at the end only
                     parts.append(got)
                     have += len(got)

@@ -255,6 +255,48 @@ def test_language_edge_cases(spark):
     assert crf.identify(docs.limit(0)).count() == 0
 
 
+def test_words_of_code_switched_text(spark):
+    """Documents of held-out texts in stretches of 12 words of one language after the other."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = crf.train(docs)
+    assert field.lexicon and np.abs(field.start).max() > 0
+    held = [r for r in docs.where(~docs.lang.isNull()).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and len(r.text or "") > 400]
+    by = {lang: [r.text.split() for r in held if r.lang == lang] for lang in field.langs}
+    rng, texts_, want = np.random.default_rng(4), [], []
+    for _ in range(40):
+        words, langs = [], []
+        for lang in rng.permutation([x for x in field.langs if by[x]]).tolist():
+            d = by[lang][int(rng.integers(len(by[lang])))]
+            a = int(rng.integers(max(1, len(d) - 12)))
+            part = [w for w in d[a : a + 12] if crf.letters(w.lower())]
+            words += part
+            langs += [lang] * len(part)
+        texts_.append(" ".join(words))
+        want.append(langs)
+    got = {(r.doc_id, r.place): r.lang for r in crf.label_words(make_docs(spark, texts_), field).collect()}
+    right = [got[(i, j)] == lang for i, langs in enumerate(want) for j, lang in enumerate(langs)]
+    assert len(got) == len(right) and sum(right) >= 0.93 * len(right)
+
+
+def test_distances_as_brute_force():
+    """Gains of windows against compressing each with a dictionary of the same bytes, one by one."""
+    import zstandard
+
+    toxic = [f"you are a {w} and what a {w} it is to say so {i}".encode() for i in range(60) for w in ("grumbler", "snorkel")]
+    ordinary = [f"the day was warm and number {i} went out to see the garden again".encode() for i in range(120)]
+    d = tox.fit(toxic, ordinary, 0.5)
+    text = b"They say what a Grumbler he is but the day was warm and we went out to see it again, and again"
+    words = text.lower().split()
+    parts = [b" " + b" ".join(words[i : i + tox.WINDOW]) + b" " for i in range(0, max(1, len(words) - tox.WINDOW + tox.STEP), tox.STEP)]
+
+    def length(part, tail):
+        c = zstandard.ZstdCompressor(level=tox.LEVEL, dict_data=zstandard.ZstdCompressionDict(d.parts[0] + tail, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(c.compress(part))
+
+    assert d.gains(text).tolist() == [length(p, d.parts[2]) - length(p, d.parts[1]) for p in parts]
+    assert d.gains(text).max() > 0 and d.score([toxic[0], ordinary[0]])[0] > 0.5 > d.score([toxic[0], ordinary[0]])[1]
+
+
 def test_marginals_as_brute_force():
     rng = np.random.default_rng(0)
     length = np.array([1, 64, 65, 200, 3, 128])

@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -57,8 +58,34 @@ def test_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_columns_in_order_and_the_verdict_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = q.judge(docs).collect()
+    assert list(rows[0].asDict()) == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
+    texts_ = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    code = {i: q.pattern(q.votes(t, q.counts(t))) for i, t in texts_.items()}
+    codes, n = np.unique(list(code.values()), return_counts=True)
+    # expectation-maximisation one document at a time
+    p = {i: 0.05 if (q.unpack(np.array([c])) == q.BAD).any() else 0.95 for i, c in code.items()}
+    votes = {i: q.unpack(np.array([c]))[0] for i, c in code.items()}
+    for _ in range(60):
+        chance, prior = {}, {}
+        for side in (0, 1):
+            w = {i: x if side else 1 - x for i, x in p.items()}
+            prior[side] = math.log(sum(w.values()) + 1)
+            table = np.full((q.RULES, 3), 0.5)
+            for i, v in votes.items():
+                table[np.arange(q.RULES), v] += w[i]
+            chance[side] = np.log(table / table.sum(axis=1, keepdims=True))
+        for i, v in votes.items():
+            up, down = (prior[side] + chance[side][np.arange(q.RULES), v].sum() for side in (1, 0))
+            p[i] = 1 / (1 + math.exp(min(max(down - up, -500), 500)))
+    for r in rows:
+        assert abs(r.posterior - p[r.doc_id]) < 1e-6 and r.kept == (not r.base_failed and r.posterior >= q.KEEP_FROM)
+
+
 def test_keep_has_the_columns_of_documents(spark):
-    docs = make_docs(spark, [PROSE, "junk", (None, PROSE), (0, PROSE)]).selectExpr("*", "1 AS n_words", "true AS kept")
+    docs = make_docs(spark, [PROSE, "junk", (None, PROSE), (0, PROSE)]).selectExpr("*", "1 AS n_words", "true AS kept", "7 AS _code", "map(1, 2) AS _failed", "'p' AS _posterior")
     kept = q.keep(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "0", "None"]
