@@ -44,8 +44,23 @@ def free_name(wanted: str, columns: list[str]) -> str:
     return wanted
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed: workers live on, and the next stage's ones count beside the memory that they keep."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches that hold at most `most` bytes of text, or one row."""
+    """Slices of the batches that hold at most `most` bytes of text, or one row. What a task before has freed is given back first."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
