@@ -33,6 +33,24 @@ def edit_or_far(a, b, t: int, far: int = FAR) -> Column:
     return F.when(d < 0, far).otherwise(d)
 
 
+def signature(*cols: str | Column) -> Column:
+    """The characters of the attributes as bits of one number, 64 / n of them for each of n attributes; a character counts as its code modulo that."""
+    width = 64 // len(cols)
+    bit = lambda s, i, k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(s.substr(i, F.lit(1))), F.lit(width)) + F.lit(k * width))
+    held = lambda s, k: F.when(F.length(s) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(bit(s, i, k))))
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(cols):
+        out = out.bitwiseOR(held(text(c), k))
+    return F.coalesce(out, F.lit(0).cast("long"))  # never null, so no filter for that takes it a second time
+
+
+def near_signatures(a, b, t: int) -> Column:
+    """False only if the edit distances of the signed attributes add up to more than t: an edit takes at most one character away from each side, so
+    it changes at most one bit that one side has alone."""
+    a, b = _col(a), _col(b)
+    return (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= t) & (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) <= t)
+
+
 def weighted_edit(pairs: list[tuple[str, str, float]], total: float) -> Column:
     """Weighted sum of edit distances, null once it is over `total`; an attribute that is empty on one side is skipped."""
     left, parts = F.lit(float(total)), F.lit(0.0)
@@ -463,6 +481,15 @@ def jaro_bound(a, b) -> Column:
     return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise((k / n + k / m + 1) / 3)
 
 
+def jaro_cap(a, b, x, y, k: int, n: int) -> Column:
+    """No Jaro similarity of attribute k of n signed ones is above this; x and y are the signatures. A character whose bit the other side lacks has no match."""
+    p, q = F.length(text(a)), F.length(text(b))
+    mask = F.lit(((1 << 64 // n) - 1 << k * (64 // n)) - (1 << 64 if k == n - 1 else 0))
+    alone = lambda u, v: F.bit_count(_col(u).bitwiseAND(F.bitwise_not(_col(v))).bitwiseAND(mask))
+    m = F.least(p - alone(x, y), q - alone(y, x)).cast("double")
+    return F.when((p == 0) & (q == 0), 1.0).when(m <= 0, 0.0).otherwise((m / p + m / q + 1) / 3)
+
+
 def jaro_at_least(a, b, least: float) -> Column:
     """Jaro similarity where the bounds allow `least`, else 0; below `least` also 0."""
 

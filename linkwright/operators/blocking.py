@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import interlaced, text
+from ..runtime import apart
 
 #: Kinds of characters that a typed blocking field may keep.
 KINDS = {"alpha": "[^a-z]", "digit": "[^0-9]", "alnum": "[^a-z0-9]", "any": ""}
@@ -109,5 +110,5 @@ def members(blocks: DataFrame) -> DataFrame:
 def residual(df: DataFrame, clusters: DataFrame, most: int, keys: Column, small: bool, rec: str = "rec_idx") -> DataFrame:
     """Block index of the records in clusters of at most `most` records (or, with small=False, of more). `clusters`: (rec, cluster)."""
     n = clusters.groupBy("cluster").count()
-    wanted = clusters.join(n.where(F.col("count") <= most if small else F.col("count") > most), "cluster").select(F.col("rec").alias(rec))
-    return index(df.join(wanted, rec, "left_semi"), keys, rec)
+    wanted = clusters.join(apart(n.where(F.col("count") <= most if small else F.col("count") > most)), "cluster").select(F.col("rec").alias(rec))
+    return index(df.join(apart(wanted), rec, "left_semi"), keys, rec)

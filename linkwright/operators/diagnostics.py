@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import jaro
+from ..runtime import apart
 from .graph import connected_components
 from .pairs import within_entity
 from .refine import bottleneck_edges
@@ -23,9 +24,9 @@ def reduction(blocks: DataFrame, records: int) -> DataFrame:
 def coverage(edges: DataFrame, records: DataFrame, entity: str = "entity_id", rec: str = "rec_idx") -> DataFrame:
     """One row: entities, those whose records the edges (l, r) join within the entity, and their records."""
     own = records.select(F.col(rec).alias("rec"), F.col(entity).alias("entity"))
-    inside = edges.join(own.select(F.col("rec").alias("l"), F.col("entity").alias("a")), "l").join(own.select(F.col("rec").alias("r"), F.col("entity").alias("b")), "r").where("a = b")
+    inside = edges.join(apart(own.select(F.col("rec").alias("l"), F.col("entity").alias("a"))), "l").join(apart(own.select(F.col("rec").alias("r"), F.col("entity").alias("b"))), "r").where("a = b")
     label = connected_components(inside, "l", "r")
-    per = own.join(label, own.rec == label.node, "left").select("entity", "rec", F.coalesce("component", "rec").alias("component")).groupBy("entity").agg(F.count("*").alias("n"), (F.min("component") == F.max("component")).alias("joined"))
+    per = own.join(apart(label), own.rec == label.node, "left").select("entity", "rec", F.coalesce("component", "rec").alias("component")).groupBy("entity").agg(F.count("*").alias("n"), (F.min("component") == F.max("component")).alias("joined"))
     return per.agg(F.count("*").alias("entities"), F.count_if("joined").alias("joined_entities"), F.sum("n").alias("records"), F.coalesce(F.sum(F.when(F.col("joined"), F.col("n"))), F.lit(0)).alias("joined_records"))
 
 

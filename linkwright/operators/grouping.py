@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import apart
+
 
 def exact_groups(df: DataFrame, cols: list[str], rec: str = "rec_idx") -> DataFrame:
     """Rows (rep, n) of groups that agree in all columns; rep is the first record. Sizes are aggregated before the shuffle."""
@@ -21,12 +23,12 @@ def representatives(df: DataFrame, cols: list[str], rec: str = "rec_idx") -> Dat
 def membership(df: DataFrame, cols: list[str], rec: str = "rec_idx") -> DataFrame:
     """Rows (rec, rep). Keys are compared as null-safe strings; a hot key is split by the skew join."""
     key = [F.coalesce(c, F.lit("")).alias(c) for c in cols]
-    return df.select(F.col(rec).alias("rec"), *key).join(exact_groups(df, cols, rec), cols).select("rec", "rep")
+    return df.select(F.col(rec).alias("rec"), *key).join(apart(exact_groups(df, cols, rec)), cols).select("rec", "rep")
 
 
 def expand(labels: DataFrame, members: DataFrame) -> DataFrame:
     """Components of representatives, given to all their records: (rec, component)."""
-    return members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rec", F.coalesce("component", "rep").alias("component"))
+    return members.join(apart(labels.select(F.col("node").alias("rep"), "component")), "rep", "left").select("rec", F.coalesce("component", "rep").alias("component"))
 
 
 def conflicts(df: DataFrame, cols: list[str], source: str = "source", rec: str = "rec_idx") -> DataFrame:
@@ -65,9 +67,10 @@ def kmer_count(df: DataFrame, col: str, k: int = 3) -> DataFrame:
     return df.agg(F.coalesce(F.sum(F.greatest(F.length(col) - k + 1, F.lit(0))), F.lit(0)).cast("long").alias("kmers"))
 
 
-def partners(pairs: DataFrame) -> DataFrame:
-    """Rows (rec, partners): for each record how many smaller ones it is compared with."""
-    return pairs.groupBy(F.col("r").alias("rec")).agg(F.countDistinct("l").alias("partners"))
+def partners(pairs: DataFrame, once: bool = False) -> DataFrame:
+    """Rows (rec, partners): for each record how many smaller ones it is compared with. `once`: each pair is there once, as candidate pairs are; then
+    they are counted where they are made and only counts are shuffled."""
+    return pairs.groupBy(F.col("r").alias("rec")).agg((F.count("*") if once else F.countDistinct("l")).alias("partners"))
 
 
 def block_shares(sizes: DataFrame, top: int = 100) -> DataFrame:

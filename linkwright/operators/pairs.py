@@ -2,44 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..functions.metrics import near_signatures, signature
+from ..runtime import apart, materialize
 
 #: A block of more records is cut into parts of this size that are joined part by part.
 PART = 512
 
 
-def candidate_pairs(blocks: DataFrame, records: DataFrame | None = None, cols: list[str] | None = None, rec: str = "rec_idx", part: int = PART, single: bool = False) -> DataFrame:
+def candidate_pairs(blocks: DataFrame, records: DataFrame | None = None, cols: list[str] | None = None, rec: str = "rec_idx", part: int = PART, single: bool = False, match: Column | None = None) -> DataFrame:
     """Pairs (l, r) of records that share a block, each once, with attributes l_* and r_* of `cols`.
 
-    A record travels with its attributes and the list of its blocks, which is short, and a pair is made in its smallest
-    common block alone. So pairs are neither shuffled to make them unique nor joined with attributes: a rule in a filter behind this sees them where
-    they are made. `single`: no record is in two blocks, so the lists are left out.
+    A record travels with its attributes and the list of its blocks, which is short, and a pair is made in its first
+    common block alone. So pairs are neither shuffled to make them unique nor joined with attributes: a rule, as `match` or in a filter behind this,
+    sees them where they are made; as `match` it goes before the look at the lists. `single`: no record is in two blocks, or the caller drops equal pairs, so the lists are left out.
 
     A block of n records makes about n * n / 2 comparisons, whatever the plan. A large one is dealt out: its records fall
     into parts by a hash of the record, each record is sent to one cell for every part, and a cell joins two
     parts. So no task meets a whole large block, and blocks of up to `part` records travel once."""
     cols = cols or []
-    n = blocks.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")
+    blocks = blocks.where("block is not null")
+    n = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    # blocks of one record make no pair and go; no attributes travel yet. In the lists large blocks stand first, so that their rows, which are
+    # the most, have the fewest blocks before them
+    b = blocks.select("rec", "block").join(apart(n), "block").select("rec", F.struct((-F.col("parts")).alias("parts"), F.length("block").alias("size"), "block").alias("at"))
+    if not single:
+        b = b.groupBy("rec").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    if cols:
+        b = b.join(apart(records.select(F.col(rec).alias("rec"), F.struct(*cols).alias("of"))), "rec")
     if single:
-        b = blocks.select("rec", "block")
+        b = b.withColumn("seen", F.lit(0).cast("long")).withColumn("before", F.array().cast("array<string>"))
     else:
-        b = blocks.groupBy("rec").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("rec", "blocks", F.explode("blocks").alias("block"))
-    if cols:
-        attributes = records.select(F.col(rec).alias("rec"), F.struct(*cols).alias("of"))
-        b = (b if single else b.drop("block").distinct()).join(attributes, "rec")
-        b = b if single else b.withColumn("block", F.explode("blocks"))
-    # the sizes of large blocks alone are joined back: all others are joined to nothing and have one part
-    b = b.join(n, "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        # of the blocks before this one a bit each: two records without a common bit have no common one, and the lists are not looked at
+        b = b.select("*", F.posexplode("at").alias("place", "_at")).withColumn("before", F.slice(F.col("at.block"), F.lit(1), F.col("place")))
+        b = b.withColumn("at", F.col("_at")).withColumn("seen", F.aggregate("before", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(_bit(F.xxhash64(x)))))
+    b = b.select("rec", "seen", "before", F.col("at.block").alias("block"), (-F.col("at.parts")).alias("parts"), *(["of"] if cols else []))
     b = b.withColumn("mine", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("mine")).alias("x"), F.greatest(i, F.col("mine")).alias("y")))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.least(i, F.col("mine")).cast("long") * (1 << 31) + F.greatest(i, F.col("mine")))
     b = b.withColumn("cell", F.explode(cells)).drop("parts")
-    l, r = b.alias("l"), b.alias("r")
-    once = F.lit(True) if single else F.element_at(F.array_intersect("l.blocks", "r.blocks"), 1) == F.col("l.block")
-    met = l.join(r, (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.rec") < F.col("r.rec")) & ((F.col("l.cell.x") == F.col("l.cell.y")) | (F.col("l.mine") != F.col("r.mine"))) & once)
-    return met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r"), *[F.col(f"{side}.of.{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in cols])
+    # both sides are the same table, shuffled once: names are given behind the join
+    met = apart(b).alias("l").join(b.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")))
+    met = met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r"), F.col("l.cell").alias("_cell"), *[F.col(f"{side}.{c}").alias(f"_{side}_{c}") for side in ("l", "r") for c in ("mine", "seen", "before")], *[F.col(f"{side}.of.{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in cols])
+    # one filter, cheapest parts first: tests of numbers, the rule, the lists
+    rule = (F.col("l") < F.col("r")) & ((F.col("_l_mine") != F.col("_r_mine")) | (F.shiftright("_cell", 31) == F.col("_cell").bitwiseAND((1 << 31) - 1)))
+    rule = rule if match is None else rule & match
+    rule = rule if single else rule & ((F.col("_l_seen").bitwiseAND(F.col("_r_seen")) == 0) | ~F.arrays_overlap("_l_before", "_r_before"))
+    met = met.where(rule)
+    return met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in cols])
+
+
+def near_pairs(blocks: DataFrame, records: DataFrame, cols: list[str], limits: list[tuple[list[str], int]], match: Column, rec: str = "rec_idx", many: bool = False) -> DataFrame:
+    """The candidate pairs (l, r) that meet `match`, a rule that bounds edit distances: each of `limits` has attributes and what their distances add up to
+    at most. A signature for each of them rules most pairs out by a few operations on numbers, before any distance is taken. What is left is
+    few, so records travel without the lists of their blocks and equal pairs are dropped at the end; with `many`, the lists travel instead."""
+    signed = records.select("*", *[signature(*c[:16]).alias(f"_s{i}") for i, (c, _) in enumerate(limits)])
+    rule = reduce(lambda a, b: a & b, [near_signatures(f"l__s{i}", f"r__s{i}", t) for i, (_, t) in enumerate(limits)] + [match])
+    met = candidate_pairs(blocks, signed, [*cols, *[f"_s{i}" for i in range(len(limits))]], rec, single=not many, match=rule).select("l", "r")
+    return met if many else met.distinct()
+
+
+def _bit(number: Column) -> Column:
+    """One of 64 bits."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(64)).cast("int"))
 
 
 def within_blocks(blocks: DataFrame, part: int = PART) -> DataFrame:
@@ -54,27 +82,46 @@ def attach(pairs: DataFrame, records: DataFrame, cols: list[str], rec: str = "re
     return pairs.join(left, "l").join(right, "r")
 
 
+#: Values of up to so many characters meet on what is left of them after t deletions, longer ones on pieces.
+CUT = {1: 32, 2: 12}
+
+
+def _cut(s: Column) -> Column:
+    """A value without each of its characters in turn."""
+    return F.when(F.length(s) == 0, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s)))))
+
+
 def all_pairs_within(records: DataFrame, col: str, t: int, rec: str = "rec_idx") -> DataFrame:
     """All pairs whose values are within edit distance t, without comparing all with all.
 
-    A value cut into t + 1 pieces keeps one of them through t edits, moved by t places at most. So values meet
-    on (length, piece number, piece), where the longer one offers every moved piece, and what meets is verified. Equal values
-    are one row while they are compared; the values of records come back at the end."""
-    v = records.select(F.coalesce(col, F.lit("")).alias("v")).distinct().withColumn("n", F.length("v"))
+    Two values within t edits become the same by t deletions at most from each, so short values meet on what is left of them. Of long ones that is too
+    much: a value cut into t + 1 pieces keeps one of them through t edits, moved by t places at most. So long values meet
+    on (length, piece number, piece), where the longer one offers every moved piece. A short and a long value meet as two short ones. What meets is verified.
+    Equal values are one row while they are compared; the values of records come back at the end."""
+    every = records.select(F.coalesce(col, F.lit("")).alias("v")).distinct().withColumn("n", F.length("v"))
+    short = CUT.get(t, -1)
+    v = every.where(F.col("n") > short)
     piece = lambda s, n, i: s.substr((n * i / (t + 1)).cast("int") + 1, (n * (i + 1) / (t + 1)).cast("int") - (n * i / (t + 1)).cast("int"))
-    own = v.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i")).withColumn("start", (F.col("n") * F.col("i") / (t + 1)).cast("int")).withColumn("size", (F.col("n") * (F.col("i") + 1) / (t + 1)).cast("int") - F.col("start"))
+    own = v.select("v", "n", F.explode(F.sequence(F.lit(0), F.lit(t))).alias("i"))
     own = own.withColumn("piece", piece(F.col("v"), F.col("n"), F.col("i"))).select(F.col("v").alias("a"), "n", "i", "piece")
     probe = v.select("v", F.explode(F.sequence(F.greatest(F.col("n") - t, F.lit(0)), F.col("n"))).alias("n"), F.col("n").alias("m"))
     probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(t)))).withColumn("move", F.explode(F.sequence(F.lit(-t), F.lit(t))))
     start = (F.col("n") * F.col("i") / (t + 1)).cast("int")
     size = (F.col("n") * (F.col("i") + 1) / (t + 1)).cast("int") - start
     probe = probe.where(start + F.col("move") >= 0).withColumn("piece", F.col("v").substr(start + F.col("move") + 1, size)).select(F.col("v").alias("b"), "n", "i", "piece").distinct()
-    met = own.join(probe, ["n", "i", "piece"]).where("a <> b").select("a", "b").distinct().where(F.levenshtein("a", "b", t) >= 0)
+    met = own.join(apart(probe), ["n", "i", "piece"]).where("a <> b").select("a", "b").distinct().where(F.levenshtein("a", "b", t) >= 0)
+    if short >= 0:
+        left = F.array(F.col("v"))
+        for _ in range(t):
+            left = F.array_distinct(F.concat(left, F.flatten(F.transform(left, _cut))))
+        cut = every.where(F.col("n") <= short + t).select("v", "n", F.explode(left).alias("left"))
+        x, y = cut.select("left", F.col("v").alias("a"), F.col("n").alias("na")), cut.select("left", F.col("v").alias("b"), F.col("n").alias("nb"))
+        met = met.unionAll(x.join(apart(y), "left").where((F.col("a") < F.col("b")) & (F.least("na", "nb") <= short) & (F.levenshtein("a", "b", t) >= 0)).select("a", "b"))
     near = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rows = records.select(F.col(rec).alias("rec"), F.coalesce(col, F.lit("")).alias("v"))
     x, y = rows.select(F.col("rec").alias("x"), F.col("v").alias("a")), rows.select(F.col("rec").alias("y"), F.col("v").alias("b"))
-    different = near.join(x, "a").join(y, "b").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"))
-    equal = rows.alias("p").join(rows.alias("q"), (F.col("p.v") == F.col("q.v")) & (F.col("p.rec") < F.col("q.rec"))).select(F.col("p.rec").alias("l"), F.col("q.rec").alias("r"))
+    different = near.join(apart(x), "a").join(apart(y), "b").select(F.least("x", "y").alias("l"), F.greatest("x", "y").alias("r"))
+    equal = x.join(apart(y), (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select(F.col("x").alias("l"), F.col("y").alias("r"))
     return different.unionAll(equal).distinct()
 
 

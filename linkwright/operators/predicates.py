@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import edit_within, jaro, jaro_at_least, jaro_bound, scaled
+from ..functions.metrics import edit_within, jaro, jaro_at_least, jaro_bound, jaro_cap, scaled
 
 
 def distances(cols: list[str], limits: list[int]) -> list[Column]:
@@ -63,6 +63,13 @@ def with_jaro(pairs: DataFrame, cols: list[str], least: float, mean: float | Non
     return pairs if mean is None else pairs.where(F.col("similarity") >= mean)
 
 
+def jaro_possible(cols: list[str], least: float, mean: float | None = None, sign: str = "sign") -> Column:
+    """False only if an attribute's Jaro similarity is below `least`, or their mean below `mean`, by lengths and the signature of `cols` alone."""
+    caps = [jaro_cap(f"l_{c}", f"r_{c}", f"l_{sign}", f"r_{sign}", k, len(cols)) for k, c in enumerate(cols)]
+    ok = _all([x >= least - 1e-9 for x in caps])
+    return ok if mean is None else ok & (sum(caps[1:], caps[0]) / len(cols) >= mean - 1e-9)
+
+
 def similarity_or_zero(similarities: list[Column], least: list[float], mean: float | None = None) -> Column:
     """The mean of similarities, 0 if one is below its bound or the mean is below `mean`; a whole number where the similarities are (hundredths, thousandths)."""
     value = sum(similarities[1:], similarities[0]) / len(similarities)

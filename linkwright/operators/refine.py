@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import apart
 from .pairs import candidate_pairs
 
 Edges = dict[tuple[int, int], float]
@@ -23,7 +24,7 @@ Edges = dict[tuple[int, int], float]
 def component_pairs(records: DataFrame, components: DataFrame, cols: list[str], match: Column, weight: Column, rec: str = "rec_idx") -> DataFrame:
     """Rows (component, l, r, w) of all matching pairs of records in the same component. `components`: (node, component)."""
     blocks = components.select(F.col("node").alias("rec"), F.col("component").alias("block"))
-    travels = records.join(components.select(F.col("node").alias(rec), F.col("component").alias("_component")), rec)
+    travels = records.join(apart(components.select(F.col("node").alias(rec), F.col("component").alias("_component"))), rec)
     met = candidate_pairs(blocks, travels, [*cols, "_component"], rec, single=True).where(match)
     return met.select(F.col("l__component").alias("component"), "l", "r", weight.cast("double").alias("w"))
 
@@ -313,15 +314,15 @@ def move_by_votes(records: DataFrame, clusters: DataFrame, priority: list[str],
 
     An attribute is worth more the earlier it stands; a cluster's votes for a value are the records that have it. `clusters`: (rec, component, cluster).
     Ties leave the record where it is, then the smaller cluster. Values and votes meet in joins, no pairs of records are made."""
-    rows = clusters.join(records.select(F.col(rec).alias("rec"), *[F.coalesce(c, F.lit("")).alias(c) for c in priority]), "rec")
+    rows = clusters.join(apart(records.select(F.col(rec).alias("rec"), *[F.coalesce(c, F.lit("")).alias(c) for c in priority])), "rec")
     votes = None
     for i, c in enumerate(priority):
         weight = (len(priority) - i) * 100
         have = rows.where(F.col(c) != "").groupBy("component", "cluster", c).agg(F.count("*").alias("n"))
-        part = rows.where(F.col(c) != "").select("rec", "component", c).join(have, ["component", c]).select("rec", "cluster", (F.col("n") * weight).alias("vote"))
+        part = rows.where(F.col(c) != "").select("rec", "component", c).join(apart(have), ["component", c]).select("rec", "cluster", (F.col("n") * weight).alias("vote"))
         votes = part if votes is None else votes.unionAll(part)
-    best = votes.groupBy("rec", "cluster").agg(F.sum("vote").alias("vote")).join(clusters.select("rec", F.col("cluster").alias("now")), "rec")
+    best = votes.groupBy("rec", "cluster").agg(F.sum("vote").alias("vote")).join(apart(clusters.select("rec", F.col("cluster").alias("now"))), "rec")
     best = best.groupBy("rec").agg(F.max_by("cluster", F.struct("vote", (F.col("cluster") == F.col("now")).alias("stay"), (-F.col("cluster")).alias("low"))).alias("to"))
-    moved = clusters.join(best, "rec", "left").select("rec", "component", F.coalesce("to", "cluster").alias("cluster"))
+    moved = clusters.join(apart(best), "rec", "left").select("rec", "component", F.coalesce("to", "cluster").alias("cluster"))
     lacking = rows.where(" AND ".join(f"`{c}` = ''" for c in priority)).select("rec").withColumn("_alone", F.lit(True))
-    return moved.join(lacking, "rec", "left").select("rec", "component", F.when(F.col("_alone"), F.col("rec")).otherwise(F.col("cluster")).alias("cluster"))
+    return moved.join(apart(lacking), "rec", "left").select("rec", "component", F.when(F.col("_alone"), F.col("rec")).otherwise(F.col("cluster")).alias("cluster"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import by_number
 from ..operators import blocking, grouping, pairs, predicates, refine
 from ..operators.graph import connected_components
-from ..runtime import materialize
+from ..runtime import apart, materialize
 from ..spec import LinkageSpec
 
 KINDS = {
@@ -29,12 +29,13 @@ def edges(records: DataFrame, spec: LinkageSpec, match: Column | None = None) ->
     """Edges (l, r) between unique records: pairs of the blocks that match, and headless ones if asked for."""
     unique = unique_records(records, spec)
     index = blocking.index(unique, KINDS[spec.block_kind](spec.block, spec.k), spec.rec)
+    limits = [(spec.compare, spec.total)] if match is None else []
     match = match if match is not None else predicates.sum_within(spec.compare, spec.total, spec.limits or None)
     if spec.headless:
         # the headless keys are blocks like the others, marked so that none is taken for one of them
         again = pairs.headless_index(unique, [spec.block, *[c for c in spec.compare if c != spec.block]], spec.rec)
         index = index.select("rec", F.concat(F.lit("k:"), "block").alias("block")).unionAll(again.select("rec", F.concat(F.lit("h:"), "block").alias("block")))
-    return pairs.candidate_pairs(index, unique, spec.compare, spec.rec).where(match).select("l", "r")
+    return pairs.near_pairs(index, unique, spec.compare, limits, match, spec.rec)
 
 
 def link(records: DataFrame, spec: LinkageSpec, match: Column | None = None) -> DataFrame:
@@ -70,18 +71,18 @@ def configured_edges(records: DataFrame, spec: LinkageSpec, names: list[str]) ->
     return met.where(predicates.configured(total, spec.threshold)).select("l", "r")
 
 
-def generalised(records: DataFrame, clusters: DataFrame, spec: LinkageSpec, most: int, loose: Column) -> DataFrame:
+def generalised(records: DataFrame, clusters: DataFrame, spec: LinkageSpec, most: int, loose: Column, total: int | None = None) -> DataFrame:
     """A second pass: records of small clusters are compared with each other and with those of large ones under a looser rule.
-    Rows (rec, component). `clusters`: (rec, cluster)."""
+    Rows (rec, component). `clusters`: (rec, cluster). `total`: what the edit distances add up to at most under that rule, if it bounds them."""
     small = blocking.residual(records, clusters, most, KINDS[spec.block_kind](spec.block, spec.k), True, spec.rec).withColumn("small", F.lit(True))
     large = blocking.residual(records, clusters, most, KINDS[spec.block_kind](spec.block, spec.k), False, spec.rec).withColumn("small", F.lit(False))
     few = small.select(F.col("rec").alias("s")).distinct()
     # which records are of small clusters travels with them, so pairs of two large ones are dropped where they are made
-    marked = records.join(few.withColumnRenamed("s", spec.rec).withColumn("_few", F.lit(True)), spec.rec, "left").withColumn("_few", F.coalesce("_few", F.lit(False)))
-    met = pairs.candidate_pairs(small.unionAll(large).select("rec", "block"), marked, [*spec.compare, "_few"], spec.rec)
-    more = met.where(F.col("l__few") | F.col("r__few")).where(loose).select("l", "r")
+    marked = records.join(apart(few.withColumnRenamed("s", spec.rec).withColumn("_few", F.lit(True))), spec.rec, "left").withColumn("_few", F.coalesce("_few", F.lit(False)))
+    limits = [] if total is None else [(spec.compare, total)]
+    more = pairs.near_pairs(small.unionAll(large).select("rec", "block"), marked, [*spec.compare, "_few"], limits, (F.col("l__few") | F.col("r__few")) & loose, spec.rec)
     first = clusters.groupBy("cluster").agg(F.min("rec").alias("l"))
-    held = clusters.join(first, "cluster").select("l", F.col("rec").alias("r"))
+    held = clusters.join(apart(first), "cluster").select("l", F.col("rec").alias("r"))
     label = connected_components(held.unionAll(more), "l", "r")
     return label.select(F.col("node").alias("rec"), "component")
 
