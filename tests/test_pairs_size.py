@@ -5,21 +5,31 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkwright import catalog
+from linkwright import catalog, runtime
 from linkwright.functions import metrics as m
 from linkwright.operators import grouping, pairs
 from linkwright.operators import predicates as pr
+from linkwright.plans import linkage
 
 SF = "/root/testdata/sf0.001"
-SORTED = ["blocking_coverage"]
+#: The plan that makes a query's pairs.
+PLANS = {
+    "blocking_coverage": lambda spark: linkage.edges(catalog.planted(spark, SF), catalog.SPEC),
+}
 
 
-@pytest.mark.parametrize("name", SORTED)
+@pytest.mark.parametrize("name", PLANS)
 def test_no_table_of_records_is_broadcast(spark, name):
-    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = PLANS[name](spark)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_a_written_table_is_read_after_its_shuffles_are_gone(spark):
+    kept = spark.conf.get(runtime.CLEANUP, "false")
+    rows = runtime.materialize(spark.range(100).groupBy(F.col("id") % 7).count(), "sevens")
+    assert rows.count() == 7 and spark.conf.get(runtime.CLEANUP, "false") == kept
+
+
 def _words(seed, n, letters="abcé\U0001f600", low=0, high=7):
     rng = random.Random(seed)
     return ["".join(rng.choice(letters) for _ in range(rng.randint(low, high))) for _ in range(n)]
