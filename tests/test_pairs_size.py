@@ -15,6 +15,7 @@ SF = "/root/testdata/sf0.001"
 #: The plan that makes a query's pairs.
 PLANS = {
     "blocking_coverage": lambda spark: linkage.edges(catalog.planted(spark, SF), catalog.SPEC),
+    "ed_all_pairs": lambda spark: catalog.queries()["ed_all_pairs"](spark, SF),
 }
 
 
