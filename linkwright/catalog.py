@@ -93,10 +93,12 @@ def candidates(spark, sf_dir) -> DataFrame:
     return p.candidate_pairs(super_index(u), u, COLS)
 
 
-def alike(spark, sf_dir, rule) -> DataFrame:
-    """The candidates that meet a rule on lengths and signatures."""
+def alike(spark, sf_dir, rule, many=True) -> DataFrame:
+    """The candidates that meet a rule on lengths and signatures; with many=False, one that leaves few, so records travel without the lists of their blocks."""
     u = unique(spark, sf_dir)
-    return p.candidate_pairs(super_index(u), u.withColumn("sign", m.signature(*COLS)), [*COLS, "sign"], match=rule)
+    signed = u.select("*", m.signature(*COLS).alias("sign"), *[F.length(c).alias(f"size_{c}") for c in COLS])
+    met = p.candidate_pairs(super_index(u), signed, [*COLS, "sign", *[f"size_{c}" for c in COLS]], single=not many, match=rule)
+    return met if many else met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in COLS]).distinct()
 
 
 # normalisation -------------------------------------------------------------------------------------------------------
@@ -503,7 +505,7 @@ _J = [f"jaro_similarity(l_{c}, r_{c})" for c in COLS]
 
 @query(BLOCKS + f"SELECT l, r, round(({' + '.join(_J)}) / 4, 6) AS similarity FROM att WHERE {' AND '.join(x + ' >= 0.8' for x in _J)} AND ({' + '.join(_J)}) / 4 >= 0.9")
 def match_mean_jaro(spark, sf_dir):
-    return pr.with_jaro(alike(spark, sf_dir, pr.jaro_possible(COLS, 0.8, 0.9)), COLS, 0.8, 0.9).select("l", "r", F.round("similarity", 6).alias("similarity"))
+    return pr.with_jaro(alike(spark, sf_dir, pr.jaro_near(COLS, 0.8), many=False), COLS, 0.8, 0.9, bounded=True).select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 
 _JS = [f"CAST(floor(jaro_similarity(l_{c}, r_{c}) * 1000 + 1e-9) AS BIGINT)" for c in COLS]
@@ -514,19 +516,19 @@ _JS = [f"CAST(floor(jaro_similarity(l_{c}, r_{c}) * 1000 + 1e-9) AS BIGINT)" for
 def pair_similarity(spark, sf_dir):
     j = [m.jaro(f"l_{c}", f"r_{c}") for c in COLS]
     # most pairs are 0 by their signatures and never meet the UDF; both parts read one shuffle
-    far = alike(spark, sf_dir, ~pr.jaro_possible(COLS, 0.8)).select("l", "r", F.lit(0.0).alias("mean_or_zero"), F.lit(0).cast("long").alias("thousandths"))
-    near = alike(spark, sf_dir, pr.jaro_possible(COLS, 0.8))
+    far = alike(spark, sf_dir, ~pr.jaro_near(COLS, 0.8)).select("l", "r", F.lit(0.0).alias("mean_or_zero"), F.lit(0).cast("long").alias("thousandths"))
+    near = alike(spark, sf_dir, pr.jaro_near(COLS, 0.8))
     return near.select("l", "r", F.round(pr.similarity_or_zero(j, [0.8] * 4), 6).alias("mean_or_zero"), pr.scaled_similarity(j, [800] * 4, 900).alias("thousandths")).unionAll(far)
 
 
 @query(BLOCKS + f"SELECT l, r FROM att WHERE {' AND '.join(x + ' >= 0.8' for x in _J)} AND ({' + '.join(_J)}) / 4 >= 0.85")
 def match_thresholded_jaro(spark, sf_dir):
-    return alike(spark, sf_dir, pr.jaro_possible(COLS, 0.8, 0.85)).where(pr.thresholded_jaro(COLS, 0.8, 0.85)).select("l", "r")
+    return alike(spark, sf_dir, pr.jaro_near(COLS, 0.8), many=False).where(pr.thresholded_jaro(COLS, 0.8, 0.85)).select("l", "r")
 
 
 @query(BLOCKS + f"SELECT l, r FROM att WHERE {' AND '.join(x + ' >= 0.9' for x in _J)}")
 def match_each_jaro(spark, sf_dir):
-    return pr.with_jaro(alike(spark, sf_dir, pr.jaro_possible(COLS, 0.9)), COLS, 0.9).select("l", "r")
+    return pr.with_jaro(alike(spark, sf_dir, pr.jaro_near(COLS, 0.9), many=False), COLS, 0.9, bounded=True).select("l", "r")
 
 
 @query(BLOCKS + f"SELECT l, r, {_SUM} AS total, CASE WHEN {_SUM} > 5 THEN 99 ELSE {_SUM} END AS capped FROM att")

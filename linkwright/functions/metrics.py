@@ -490,6 +490,14 @@ def jaro_cap(a, b, x, y, k: int, n: int) -> Column:
     return F.when((p == 0) & (q == 0), 1.0).when(m <= 0, 0.0).otherwise((m / p + m / q + 1) / 3)
 
 
+def jaro_reaches(x, y, p, q, k: int, n: int, least: float) -> Column:
+    """Whether `jaro_cap` of attribute k of n signed ones is at least `least`, from the lengths p and q, which are there; true where one is empty."""
+    mask = F.lit(((1 << 64 // n) - 1 << k * (64 // n)) - (1 << 64 if k == n - 1 else 0))
+    alone = lambda u, v: F.bit_count(_col(u).bitwiseAND(F.bitwise_not(_col(v))).bitwiseAND(mask))
+    p, q = _col(p), _col(q)
+    return F.least(p - alone(x, y), q - alone(y, x)) * (p + q) >= (3 * least - 1 - 1e-9) * (p * q)
+
+
 def jaro_at_least(a, b, least: float) -> Column:
     """Jaro similarity where the bounds allow `least`, else 0; below `least` also 0."""
 

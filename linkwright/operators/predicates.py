@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import edit_within, jaro, jaro_at_least, jaro_bound, jaro_cap, scaled
+from ..functions.metrics import edit_within, jaro, jaro_at_least, jaro_bound, jaro_cap, jaro_reaches, scaled
 
 
 def distances(cols: list[str], limits: list[int]) -> list[Column]:
@@ -52,11 +52,13 @@ def total_distance(cols: list[str], cap: int | None = None, far: int = 99) -> Co
     return d if cap is None else F.when(d > cap, far).otherwise(d)
 
 
-def with_jaro(pairs: DataFrame, cols: list[str], least: float, mean: float | None = None) -> DataFrame:
+def with_jaro(pairs: DataFrame, cols: list[str], least: float, mean: float | None = None, bounded: bool = False) -> DataFrame:
     """Pairs whose attributes all have a Jaro similarity of at least `least`, and on average `mean`, with column similarity.
 
-    A bound from the lengths goes first, in a filter of its own, so the UDF sees few pairs."""
-    pairs = pairs.where(_all([jaro_bound(f"l_{c}", f"r_{c}") >= least for c in cols]))
+    A bound from the lengths goes first, in a filter of its own, so the UDF sees few pairs. `bounded`: the pairs meet `jaro_near` already, which
+    holds that bound; Spark would move the filter into the join that makes them, before the cheap tests that stand there."""
+    if not bounded:
+        pairs = pairs.where(_all([jaro_bound(f"l_{c}", f"r_{c}") >= least for c in cols]))
     for c in cols:
         pairs = pairs.withColumn(f"_j_{c}", jaro(f"l_{c}", f"r_{c}")).where(F.col(f"_j_{c}") >= least)
     pairs = pairs.withColumn("similarity", sum((F.col(f"_j_{c}") for c in cols), F.lit(0.0)) / len(cols)).drop(*[f"_j_{c}" for c in cols])
@@ -70,6 +72,12 @@ def jaro_possible(cols: list[str], least: float, mean: float | None = None, sign
     return ok if mean is None else ok & (sum(caps[1:], caps[0]) / len(cols) >= mean - 1e-9)
 
 
+def jaro_near(cols: list[str], least: float, sign: str = "sign", size: str = "size") -> Column:
+    """As `jaro_possible` without a mean, but true where one side is empty, from the signature and the lengths size_* of `cols`. It stands in a join, of which Java
+    compiles nothing if it comes to over 8000 bytes: `jaro_possible` does."""
+    return _all([jaro_reaches(f"l_{sign}", f"r_{sign}", f"l_{size}_{c}", f"r_{size}_{c}", k, len(cols), least) for k, c in enumerate(cols)])
+
+
 def similarity_or_zero(similarities: list[Column], least: list[float], mean: float | None = None) -> Column:
     """The mean of similarities, 0 if one is below its bound or the mean is below `mean`; a whole number where the similarities are (hundredths, thousandths)."""
     value = sum(similarities[1:], similarities[0]) / len(similarities)

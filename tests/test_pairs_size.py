@@ -1,6 +1,7 @@
 """Pairs of tables that grow: nothing that grows is broadcast, and what goes before a rule never takes a pair away."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +82,28 @@ def test_short_and_long_values_within_a_distance(spark, t, low, high):
 def test_partners_are_counted_where_pairs_are_made(spark):
     made = pairs.within_blocks(spark.createDataFrame([("x", i) for i in range(9)] + [("y", i) for i in range(4, 12)], "block string, rec long"), 3)
     assert sorted(grouping.partners(made, once=True).collect()) == sorted(grouping.partners(made).collect())
+
+
+def test_what_stands_in_a_join_never_takes_a_similar_pair_away(spark):
+    rows = list(zip(_words(1, 400), _words(2, 400), _words(3, 400), _words(4, 400), strict=True))
+    df = spark.createDataFrame(rows, "l_a string, l_b string, r_a string, r_b string").withColumn("l_sign", m.signature("l_a", "l_b")).withColumn("r_sign", m.signature("r_a", "r_b"))
+    df = df.select("*", *[F.length(f"{side}_{c}").alias(f"{side}_size_{c}") for side in ("l", "r") for c in ("a", "b")])
+    got = df.select("*", m.jaro("l_a", "r_a").alias("a"), m.jaro("l_b", "r_b").alias("b"), *[pr.jaro_near(["a", "b"], t / 10).alias(f"t{t}") for t in range(10)]).collect()
+    assert all(r[f"t{t}"] for r in got for t in range(10) if min(r.a, r.b) >= t / 10)
+    assert not all(r.t8 for r in got)
+
+
+#: Java interprets a method of more bytes, many times slower; the loop over the pairs of a block is one method.
+HUGE = 8000
+
+
+@pytest.mark.parametrize("name", ["match_mean_jaro"])
+def test_the_loop_over_pairs_is_compiled(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.queries()[name](spark, SF)._jdf.queryExecution()
+        code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) <= HUGE
