@@ -98,7 +98,8 @@ def alike(spark, sf_dir, rule, many=True) -> DataFrame:
     u = unique(spark, sf_dir)
     signed = u.select("*", m.signature(*COLS).alias("sign"), *[F.length(c).alias(f"size_{c}") for c in COLS])
     met = p.candidate_pairs(super_index(u), signed, [*COLS, "sign", *[f"size_{c}" for c in COLS]], single=not many, match=rule)
-    return met if many else met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in COLS]).distinct()
+    # not distinct(): Spark would move a metric behind it into the join's tasks, which hold blocks, and take it of equal pairs again
+    return met if many else met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in COLS]).dropDuplicates(["l", "r"])
 
 
 # normalisation -------------------------------------------------------------------------------------------------------

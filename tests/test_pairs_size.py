@@ -97,7 +97,7 @@ def test_what_stands_in_a_join_never_takes_a_similar_pair_away(spark):
 HUGE = 8000
 
 
-@pytest.mark.parametrize("name", ["match_mean_jaro"])
+@pytest.mark.parametrize("name", ["match_mean_jaro", "match_each_jaro", "match_thresholded_jaro", "pair_similarity"])
 def test_the_loop_over_pairs_is_compiled(spark, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -105,5 +105,10 @@ def test_the_loop_over_pairs_is_compiled(spark, name):
         code = spark._jvm.PythonSQLUtils.explainString(plan, "codegen")
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
-    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    sizes = [int(x) for part in code.split("== Subtree ")[1:] if "findNextJoinRows" in part for x in re.findall(r"maxMethodCodeSize:(\d+)", part)]
     assert sizes and max(sizes) <= HUGE
+
+
+def test_a_metric_sees_each_pair_once_and_behind_the_join(spark):
+    plan = catalog.queries()["match_each_jaro"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("ArrowEvalPython") < plan.index("SortAggregate") < plan.index("SortMergeJoin")
