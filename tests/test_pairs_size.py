@@ -118,3 +118,9 @@ def test_a_metric_sees_each_pair_once_and_behind_the_join(spark):
 def test_no_table_of_records_is_broadcast_by_a_rule(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["match_f1", "pair_similarity", "weighted_ed", "pair_distance", "reversal_truncation"])
+def test_no_table_of_records_is_broadcast_for_all_candidates(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
