@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .common import LOWER, chunks, held_out, held_out_of, one_blas_thread, record_batch, texts
-from .token_files import WordTable, _coder
+from .token_files import WordTable, _coder, split
 
 #: Ids that a window holds, ids that it scores, size of a vector.
 WINDOW, STEP, SIZE = 24, 16, 16
@@ -449,21 +448,18 @@ class Encoder:
         """For each text: tokens, known top words, their base score and the end's, the other words, and the sequence."""
         if self.table is None:
             self._open()
-        docs = [lower(t).split() for t in raw]
-        idx, n_words, fresh = self.table.look_up(docs)
+        words, n_words = split([lower(t) for t in raw])
+        idx, fresh, old = self.table.look_up(words)
         common = len(self.words)
-        kept = len(self.table.n) - len(fresh)  # none, if the table has just forgotten all
-        self.top = np.r_[self.top[:kept], np.fromiter((self.words.get(w, common) for w in fresh), np.int64, len(fresh))]
-        doc = np.repeat(np.arange(len(docs)), n_words)
+        self.top = np.r_[self.top[old], np.fromiter((self.words.get(w, common) for w in fresh), np.int64, len(fresh))]
+        n = len(n_words)
+        doc = np.repeat(np.arange(n), n_words)
         top = self.top[idx]
         rare = np.flatnonzero(top == common)
-        known = np.bincount(doc, minlength=len(docs)) - np.bincount(doc[rare], minlength=len(docs)) + (self.ends > 0)
-        base = np.bincount(doc, weights=self._base[top], minlength=len(docs)) + self.base(np.array([self.ends]))[0]
-        others = pa.array([], pa.binary())
-        if len(rare):
-            every = list(chain.from_iterable(docs))
-            others = pa.array([every[i] for i in rare.tolist()], pa.binary())
-        others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=len(docs)))], pa.int32()), others)
+        known = np.bincount(doc, minlength=n) - np.bincount(doc[rare], minlength=n) + (self.ends > 0)
+        base = np.bincount(doc, weights=self._base[top], minlength=n) + self.base(np.array([self.ends]))[0]
+        others = words.take(pa.array(rare)).cast(pa.large_binary()).cast(pa.binary())
+        others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(doc[rare], minlength=n))], pa.int32()), others)
         return (n_words + 1).tolist(), known.tolist(), base.tolist(), others, self.table.sequences(idx, n_words)
 
 

@@ -14,10 +14,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -28,14 +29,21 @@ from .common import chunks, record_batch, texts
 
 #: Ids of a sequence, sequences of a batch, ids from which on a new shard begins, the id that ends a document.
 LENGTH, BATCH, SHARD, END = 1024, 256, 16 << 20, 2
-#: Words whose ids a worker remembers.
-REMEMBERED = 450_000
+#: Words whose ids a worker remembers, words that the library gets as one text: for more, its time grows faster than they do.
+REMEMBERED, JOINED = 450_000, 256
 
 #: Lower-case printable ASCII, and its pieces as the vocabulary cuts them. Fixed values of that vocabulary.
 _PLAIN = re.compile(rb"[!-@\[-~]+").fullmatch
+#: Signs that may stand behind a word: no rule of that vocabulary takes them together with a letter.
+_MARKS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 
+def _letters(t: str) -> bool:
+    """True for letters alone that stay as many letters in lower case."""
+    return t.isalpha() and (t.islower() or len(low := t.lower()) == len(t) and low.isalpha())
+
+
 class WordEncoder:
     """Ids as the tokenizers library gives them, remembered by word.
 
@@ -62,8 +70,8 @@ class WordEncoder:
 
     def _joined(self, tok, words: list[bytes], odd: list[bytes]) -> None:
         """Encode words that are one piece each as one text; their last ids mark where each ends."""
-        for start in range(0, len(words), 2048):
-            part = words[start : start + 2048]
+        for start in range(0, len(words), JOINED):
+            part = words[start : start + JOINED]
             ids = np.array(tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
             stops = np.flatnonzero(self.ends_word[ids]) + 1
             if len(stops) != len(part):
@@ -75,7 +83,7 @@ class WordEncoder:
                 at = stop
 
     def _learn(self, new: list[bytes]) -> None:
-        pieces, letters, odd, cut = set(), [], [], []
+        pieces, letters, odd, cut = set(), set(), [], []
         for w in new:
             if w.isalpha():
                 # a text with '<|' keeps its capitals, which `bare` does not lower-case
@@ -83,16 +91,22 @@ class WordEncoder:
                     pieces.add(w)
                 else:
                     odd.append(w)
-            elif _PLAIN(w) and b"<|" not in w:
-                parts = _PIECE(w)
-                pieces.update(parts)
-                cut.append((w, parts))
-            elif (t := w.decode()).isalpha() and t.lower() == t:
-                letters.append(w)
+            elif w.isascii():
+                if _PLAIN(w) and b"<|" not in w:
+                    parts = _PIECE(w)
+                    pieces.update(parts)
+                    cut.append((w, parts))
+                else:
+                    odd.append(w)
+            elif _letters((body := w.rstrip(_MARKS)).decode()):
+                letters.add(body)
+                if len(body) < len(w):
+                    pieces.add(tail := w[len(body) :])
+                    cut.append((w, (body, tail)))
             else:
                 odd.append(w)
         self._joined(self.bare, list(pieces.difference(self.known)), odd)
-        self._joined(self.tok, letters, odd)
+        self._joined(self.tok, list(letters), odd)
         for start in range(0, len(odd), 4096):
             part = odd[start : start + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
@@ -112,11 +126,24 @@ class WordEncoder:
     def encode(self, raw: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids."""
         cut = [(t.lower() if self.lower and b"<|" not in t else t) for t in raw]
-        return self.table.sequences(*self.table.look_up([t.split() for t in cut])[:2])  # ASCII white space only, as these are bytes
+        words, n_words = split(cut)
+        return self.table.sequences(self.table.look_up(words)[0], n_words)
+
+
+def split(raw: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of UTF-8 texts in a row, cut at ASCII white space alone, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pa.array(raw, pa.large_string()))
+    words, edge = lists.flatten(), lists.offsets.to_numpy()
+    some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty one
+    if not some.all():
+        words, edge = words.filter(pa.array(some)), np.r_[0, np.cumsum(some)][edge]
+    return words, np.diff(edge)
 
 
 class WordTable:
-    """Numbers of words, and the sequences of all of them in a row, as `spell` gives them; no more than `most` words are remembered from one call to the next."""
+    """Numbers of words, and the sequences of all of them in a row, as `spell` gives them; no more than `most` words are remembered from one call to the next.
+
+    Over that, the words that stood in the texts once alone are forgotten, which are most, and of the others those met least: what is common is spelled once."""
 
     def __init__(self, spell, unit: np.dtype, most: int):
         self.spell, self.unit, self.most = spell, unit, most
@@ -124,28 +151,42 @@ class WordTable:
 
     def forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pieces, self.start, self.n = np.array([], dtype=self.unit), np.array([], dtype=np.int64), np.array([], dtype=np.int64)
-
-    def look_up(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Numbers of all words of the documents in a row, how many words each has, and the words that are new: they have the highest numbers, in this order."""
-        if len(self.index) > self.most:
-            self.forget()
-        n_words = np.fromiter(map(len, docs), np.int64, len(docs))
-        idx = np.fromiter(map(self.index.get, chain.from_iterable(docs), repeat(-1)), np.int64, int(n_words.sum()))
-        unknown = np.flatnonzero(idx < 0)
-        fresh: list[bytes] = []
-        if len(unknown):
-            every = list(chain.from_iterable(docs))
-            words = [every[i] for i in unknown.tolist()]
-            fresh = list(dict.fromkeys(words))
+        self.pieces, self.start, self.n, self.met = np.array([], dtype=self.unit), *[np.array([], dtype=np.int64) for _ in range(3)]
+
+    def thin(self) -> np.ndarray:
+        """Forget all but the most common words, half of `most` at most; returns the numbers that these had, in the order of their new ones."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > self.most // 2:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: self.most // 2]])
+        words = list(self.index)  # in the order of their numbers
+        self.index = {words[i]: k for k, i in enumerate(kept.tolist())}
+        n = self.n[kept]
+        stop = np.cumsum(n)
+        self.pieces = self.pieces[np.arange(stop[-1] if len(kept) else 0) + np.repeat(self.start[kept] - (stop - n), n)]
+        self.start, self.n, self.met = stop - n, n, self.met[kept] // 2  # what was common long ago counts less
+        return kept
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray | slice]:
+        """Numbers of the words, those that are new: they have the highest numbers, in this order; and the numbers that the others had in the call before."""
+        old = self.thin() if len(self.index) > self.most else slice(None)
+        # equal words are found by Arrow, so that Python meets each once
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        number = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(number < 0)
+        fresh = [distinct[i] for i in unknown.tolist()]
+        if fresh:
             got = self.spell(fresh)
             n = np.fromiter(map(len, got), np.int64, len(got)) // self.unit.itemsize
-            self.index.update(zip(fresh, range(len(self.n), len(self.n) + len(fresh)), strict=True))
+            number[unknown] = np.arange(len(self.n), len(self.n) + len(fresh))
+            self.index.update(zip(fresh, number[unknown].tolist(), strict=True))
             self.start = np.r_[self.start, len(self.pieces) + np.cumsum(n) - n]
             self.n = np.r_[self.n, n]
             self.pieces = np.r_[self.pieces, np.frombuffer(b"".join(got), dtype=self.unit)]
-            idx[unknown] = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return idx, n_words, fresh
+            self.met = np.r_[self.met, np.zeros(len(fresh), dtype=np.int64)]
+        self.met[number] += np.bincount(code, minlength=len(number))
+        return number[code], fresh, old
 
     def sequences(self, idx: np.ndarray, n_words: np.ndarray) -> list[bytes]:
         """The bytes of the sequence of each document."""

@@ -59,3 +59,28 @@ def test_edge_cases_and_random_access(spark, tmp_path):
         assert all(s.reader.get_batch(k).num_rows == t.BATCH for k in range(s.reader.num_record_batches - 1))
     assert not s.sequence(0).flags.owndata and not s.mask(0).flags.owndata  # views of the file
     assert t.write_and_read(docs.limit(0), PATH).count() == 0
+
+
+def test_common_words_are_spelled_once():
+    spelled = []
+    table = t.WordTable(lambda words: [spelled.append(w) or w for w in words], np.dtype("u1"), 20)
+    for k in range(30):
+        row = [b"the", b"of", *[b"rare%d-%d" % (k, i) for i in range(8)], b"the", b"of", b"once%d" % k]
+        words, n = t.split([b" ".join(row), b"the"])
+        idx, fresh, _ = table.look_up(words)
+        assert table.sequences(idx, n) == [b"".join(row), b"the"] and len(table.index) == len(table.n) <= 20 + len(fresh)
+    assert spelled.count(b"the") == spelled.count(b"of") == 1 and len(spelled) == 2 + 9 * 30
+
+
+def test_words_are_cut_at_ascii_white_space():
+    raw = [x.encode() for x in ["", " ", "a", "  a b\t\n\x0b\x0c\rc ", "\x1c\x1d a\x85b\xa0c　d", "\x00  ", "é  è"]]
+    words, n = t.split(raw)
+    assert [x.encode() for x in words.to_pylist()] == [w for x in raw for w in x.split()] and n.tolist() == [len(x.split()) for x in raw]
+    assert t.split([])[0].to_pylist() == []
+
+
+def test_letters_beyond_ascii_with_marks_as_the_library():
+    texts = [a + b + c for a in ("é", "É", "añb", "ß", "İ", "Σ", "ſ", "漢", "é", "ΑΣ", "é1", "-é", "ǅ", "ŉ") for b in (",", ".!!", "$$$", "'", "',", "'s", "<", "<|", "’", "́", "|>", "")  for c in ("", " x")]
+    coder = t.WordEncoder(PATH)
+    assert [np.frombuffer(x, coder.dtype).tolist() + [2] for x in coder.encode([x.encode() for x in texts])] == ids_of(texts)
+    assert [np.frombuffer(coder.encode([x.encode()])[0], coder.dtype).tolist() + [2] for x in texts] == ids_of(texts)
