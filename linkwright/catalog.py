@@ -355,7 +355,8 @@ def weighted_ed(spark, sf_dir):
 
 @query(BLOCKS + f"SELECT l, r, least({_D['first']} + {_D['last']}, levenshtein(l_first, r_last) + levenshtein(l_last, r_first)) AS reversal, levenshtein(substr(l_last, 1, 4), substr(r_last, 1, 4)) AS truncation, levenshtein(substr(l_last, 1, least(length(l_last), length(r_last))::INTEGER), substr(r_last, 1, least(length(l_last), length(r_last))::INTEGER)) AS truncation_min FROM att")
 def reversal_truncation(spark, sf_dir):
-    return candidates(spark, sf_dir).select("l", "r", m.reversal("l_first", "l_last", "r_first", "r_last").alias("reversal"), m.truncation("l_last", "r_last", 4).alias("truncation"), m.truncation("l_last", "r_last").alias("truncation_min"))
+    u = unique(spark, sf_dir)
+    return p.measured_pairs(super_index(u), u, ["first", "last"], m.reversals_truncations, ["reversal", "truncation", "truncation_min"])
 
 
 _HAM = "len([i FOR i IN range(1, least(length(a), length(b)) + 1) IF substr(a, i, 1) <> substr(b, i, 1)])"

@@ -3,6 +3,8 @@ optimal string alignment, which Spark lacks, are Arrow-batched UDFs on distinct
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -534,3 +536,122 @@ def register(spark: SparkSession) -> None:
     """Names for SQL: jaro_sim, jaro_fraction_sim, jaro_winkler_sim, osa_distance."""
     for name, f in (("jaro_sim", _jaro), ("jaro_fraction_sim", _jaro_fraction), ("jaro_winkler_sim", _winkler), ("osa_distance", _osa)):
         spark.udf.register(name, f)
+
+
+# edit distance of many with many ---------------------------------------------------------------------------------------
+
+
+class Names(NamedTuple):
+    """Different strings: their characters' code points, a row for each with -1 behind its end, the different ones of these and each one's place
+    among them, the strings' lengths, and for each record the place of its string."""
+
+    chars: np.ndarray
+    letters: np.ndarray
+    places: np.ndarray
+    size: np.ndarray
+    of: np.ndarray
+
+
+def names(values: list[str], of: np.ndarray | None = None) -> Names:
+    size = np.array([len(v) for v in values], dtype=np.int64)
+    chars = np.full((len(values), max(int(size.max(initial=0)), 1)), -1, dtype=np.int32)
+    chars[np.arange(chars.shape[1]) < size[:, None]] = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    if chars.max(initial=0) < 256:
+        there = np.bincount(chars.ravel() + 1, minlength=257) > 0
+        letters, places = np.flatnonzero(there) - 1, (np.cumsum(there) - 1)[chars + 1]
+    else:
+        letters, places = np.unique(chars, return_inverse=True)
+    return Names(chars, letters, places.reshape(chars.shape), size, np.arange(len(values)) if of is None else of)
+
+
+def _word(size: int) -> np.dtype:
+    """The smallest numbers with a bit for each of so many places; above 64, Python's."""
+    return next((np.dtype(t) for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if size <= n), np.dtype(object))
+
+
+class EditGrid:
+    """Edit distances of each of many strings (rows) to each of many (columns), by Hyyrö's bit-parallel form of Myers' method: a bit for each place
+    of a column's string, a step for each place of a row's, all rows and columns at once. After step j the bits hold how the distance between
+    the first j places of a row's string and the first i places of a column's grows with i. So the distances of all their prefixes can be read."""
+
+    def __init__(self, rows: Names, columns: Names):
+        self.rows, self.columns = rows, columns
+        most = int(columns.size.max(initial=0))
+        self.word = _word(most)
+        self.count = np.uint8 if max(most, int(rows.size.max(initial=0))) < 128 else np.int64  # two of them are added
+        self.held = np.zeros((len(rows.letters), len(columns.size)), dtype=self.word)
+        for i in range(most):  # what stands behind an end is -1 on both sides, and read by nobody
+            self.held |= (rows.letters[:, None] == columns.chars[None, :, i]).astype(self.word) << (i if self.word == object else self.word.type(i))
+
+    def _below(self, size: np.ndarray) -> np.ndarray:
+        """The first `size` bits of each."""
+        if self.word == object:
+            return np.array([(1 << n) - 1 for n in size.tolist()], dtype=object)
+        return np.array([(1 << i) - 1 for i in range(self.word.itemsize * 8 + 1)], dtype=self.word)[size]
+
+    def _steps(self, last: int):
+        """(j, up, down) after step 0 to `last`; the arrays are used again by the next step."""
+        shape = (len(self.rows.size), len(self.columns.size))
+        one, full = (1, -1) if self.word == object else (self.word.type(1), np.iinfo(self.word).max)
+        up, down = np.full(shape, full, dtype=self.word), np.full(shape, 0, dtype=self.word)
+        same, x, h = (np.empty(shape, dtype=self.word) for _ in range(3))
+        yield 0, up, down
+        for j in range(1, last + 1):
+            np.take(self.held, self.rows.places[:, j - 1], axis=0, out=same, mode="clip")
+            np.bitwise_and(same, up, out=x)
+            np.add(x, up, out=x)
+            np.bitwise_xor(x, up, out=x)
+            np.bitwise_or(x, same, out=x)
+            np.bitwise_or(x, down, out=x)  # where the diagonal does not grow
+            np.bitwise_or(x, up, out=h)
+            np.invert(h, out=h)
+            np.bitwise_or(h, down, out=h)
+            np.bitwise_and(x, up, out=same)
+            np.add(h, h, out=h)  # one place on; numpy shifts bytes many times slower
+            np.bitwise_or(h, one, out=h)
+            np.add(same, same, out=same)
+            np.bitwise_and(h, x, out=down)
+            np.bitwise_or(x, h, out=x)
+            np.invert(x, out=x)
+            np.bitwise_or(x, same, out=up)
+            yield j, up, down
+
+    def _read(self, j: int, up: np.ndarray, down: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Distances of the first j places of rows to the places of columns that `below` has."""
+        grown = np.bitwise_count(up & below).astype(self.count, copy=False) - np.bitwise_count(down & below).astype(self.count, copy=False)
+        return grown + self.count(j)
+
+    def _spread(self, grid: np.ndarray) -> np.ndarray:
+        """Of different strings to all records."""
+        for axis, of in enumerate((self.rows.of, self.columns.of)):
+            if len(of) != grid.shape[axis] or (of != np.arange(len(of))).any():
+                grid = np.take(grid, of, axis=axis, mode="clip")
+        return grid
+
+    def distances(self, head: int | None = None, shorter: bool = False) -> list[np.ndarray]:
+        """The distances; with `head`, those of the first `head` places too; with `shorter`, those of as many places as the shorter string has too."""
+        size, size2 = self.rows.size, self.columns.size
+        whole = np.zeros((len(size), len(size2)), dtype=self.count)
+        start, cut = (whole.copy() if head is not None else None), (whole.copy() if shorter else None)
+        ends, places = set(size.tolist()), set(size.tolist()) | set(size2.tolist())
+        least = np.minimum(size.astype(self.count)[:, None], size2.astype(self.count)[None, :]) if shorter else None
+        for j, up, down in self._steps(max(ends, default=0)):
+            if j in ends:
+                at = size == j
+                whole[at] = self._read(j, up[at], down[at], self._below(size2))
+            if head is not None and (j == head or (j < head and j in ends)):
+                at = size >= j if j == head else size == j
+                start[at] = self._read(j, up[at], down[at], self._below(np.minimum(size2, head)))
+            if shorter and j in places:
+                cut += self._read(j, up, down, self._below(np.minimum(size2, j))) * (least == j)
+        return [self._spread(x) for x in (whole, start, cut) if x is not None]
+
+
+def reversals_truncations(rows: list[Names], columns: list[Names], head: int = 4) -> list[np.ndarray]:
+    """`reversal` of first and last names, and `truncation` of last names to `head` places and to the shorter, of all rows with all columns."""
+    (first, last), (first2, last2) = rows, columns
+    straight, start, shorter = EditGrid(last, last2).distances(head, shorter=True)
+    straight = straight + EditGrid(first, first2).distances()[0]
+    crossed = EditGrid(first, last2).distances()[0]
+    crossed = crossed + (crossed.T if rows is columns else EditGrid(last, first2).distances()[0])
+    return [np.minimum(straight, crossed), start, shorter]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import near_signatures, signature
+from ..functions.metrics import Names, names, near_signatures, signature
 from ..runtime import apart, materialize
 
 #: A block of more records is cut into parts of this size that are joined part by part.
@@ -25,6 +29,20 @@ def candidate_pairs(blocks: DataFrame, records: DataFrame | None = None, cols: l
     into parts by a hash of the record, each record is sent to one cell for every part, and a cell joins two
     parts. So no task meets a whole large block, and blocks of up to `part` records travel once."""
     cols = cols or []
+    b = _dealt(blocks, records, cols, rec, part, single)
+    # both sides are the same table, shuffled once: names are given behind the join
+    met = apart(b).alias("l").join(b.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")))
+    met = met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r"), F.col("l.cell").alias("_cell"), *[F.col(f"{side}.{c}").alias(f"_{side}_{c}") for side in ("l", "r") for c in ("mine", "seen", "before")], *[F.col(f"{side}.of.{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in cols])
+    # one filter, cheapest parts first: tests of numbers, the rule, the lists
+    rule = (F.col("l") < F.col("r")) & ((F.col("_l_mine") != F.col("_r_mine")) | (F.shiftright("_cell", 31) == F.col("_cell").bitwiseAND((1 << 31) - 1)))
+    rule = rule if match is None else rule & match
+    rule = rule if single else rule & ((F.col("_l_seen").bitwiseAND(F.col("_r_seen")) == 0) | ~F.arrays_overlap("_l_before", "_r_before"))
+    met = met.where(rule)
+    return met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in cols])
+
+
+def _dealt(blocks: DataFrame, records: DataFrame | None, cols: list[str], rec: str, part: int, single: bool) -> DataFrame:
+    """Rows (rec, seen, before, block, mine, cell, of): the records of each cell, with the blocks before this one in their lists."""
     blocks = blocks.where("block is not null")
     n = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     # blocks of one record make no pair and go; no attributes travel yet. In the lists large blocks stand first, so that their rows, which are
@@ -43,16 +61,119 @@ def candidate_pairs(blocks: DataFrame, records: DataFrame | None = None, cols: l
     b = b.select("rec", "seen", "before", F.col("at.block").alias("block"), (-F.col("at.parts")).alias("parts"), *(["of"] if cols else []))
     b = b.withColumn("mine", F.pmod(F.xxhash64("rec"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.least(i, F.col("mine")).cast("long") * (1 << 31) + F.greatest(i, F.col("mine")))
-    b = b.withColumn("cell", F.explode(cells)).drop("parts")
-    # both sides are the same table, shuffled once: names are given behind the join
-    met = apart(b).alias("l").join(b.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.cell") == F.col("r.cell")))
-    met = met.select(F.col("l.rec").alias("l"), F.col("r.rec").alias("r"), F.col("l.cell").alias("_cell"), *[F.col(f"{side}.{c}").alias(f"_{side}_{c}") for side in ("l", "r") for c in ("mine", "seen", "before")], *[F.col(f"{side}.of.{c}").alias(f"{side}_{c}") for side in ("l", "r") for c in cols])
-    # one filter, cheapest parts first: tests of numbers, the rule, the lists
-    rule = (F.col("l") < F.col("r")) & ((F.col("_l_mine") != F.col("_r_mine")) | (F.shiftright("_cell", 31) == F.col("_cell").bitwiseAND((1 << 31) - 1)))
-    rule = rule if match is None else rule & match
-    rule = rule if single else rule & ((F.col("_l_seen").bitwiseAND(F.col("_r_seen")) == 0) | ~F.arrays_overlap("_l_before", "_r_before"))
-    met = met.where(rule)
-    return met.select("l", "r", *[f"{side}_{c}" for side in ("l", "r") for c in cols])
+    return b.withColumn("cell", F.explode(cells)).drop("parts")
+
+
+#: Cells of fewer records are compared together until they have so many.
+TOGETHER = 256
+
+
+def measured_pairs(blocks: DataFrame, records: DataFrame, cols: list[str], measure: Callable[[list[Names], list[Names]], list[np.ndarray]], out: list[str], rec: str = "rec_idx", part: int = PART) -> DataFrame:
+    """All candidate pairs (l, r) with numbers (long), where no rule leaves few: `measure` takes the attributes of all rows and all columns of a cell and
+    gives a number `out` for each of both, the same if rows and columns change places. The records of a cell travel once and are
+    not joined, so a pair costs some operations on arrays and its row. Pairs are those of `candidate_pairs`, each in its first common block alone."""
+    given = [f"of_{c}" for c in cols]
+    dealt = _dealt(blocks, records, cols, rec, part, False)
+    dealt = dealt.select("block", "cell", "mine", "rec", "before", *[F.col(f"of.{c}").alias(g) for c, g in zip(cols, given, strict=True)]).repartition("block", "cell").sortWithinPartitions("block", "cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, cells in _units(batches):
+            yield from _measured(unit, cells, given, measure, out)
+
+    # one row for each unit: Spark makes rows of arrays in compiled code for less than it takes to read them from Arrow one by one
+    made = dealt.mapInArrow(run, "_recs array<long>, _at array<long>, " + ", ".join(f"{c} array<int>" for c in out))
+    made = made.select("*", F.posexplode("_at").alias("_i", "_pair"))
+    end = lambda place: F.get("_recs", place.cast("int"))
+    return made.select(end(F.shiftright("_pair", 32)).alias("l"), end(F.col("_pair").bitwiseAND((1 << 32) - 1)).alias("r"), *[F.get(c, "_i").cast("long").alias(c) for c in out])
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The rows of one cell, or of several small ones, and the number of each row's cell; of batches sorted by cell. A cell is put together once, however many batches it has."""
+    kept, tail = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first, last = ((batch.column("block")[i].as_py(), batch.column("cell")[i].as_py()) for i in (0, batch.num_rows - 1))
+        kept.append(batch)
+        if tail is None or first != last or tail != last:
+            rows, starts, number = _joined(kept)
+            yield from _parcels(rows, starts[:-1], number)
+            kept, tail = [rows.slice(starts[-2])], last  # the last cell may go on in the next batch
+    if kept:
+        yield from _parcels(*_joined(kept))
+
+
+def _joined(batches: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[int], np.ndarray]:
+    """One batch, where its cells start and the last ends, and the number of each row's cell."""
+    rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+    block, cell = rows.column("block"), rows.column("cell")
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = pc.or_(pc.not_equal(block[1:], block[:-1]), pc.not_equal(cell[1:], cell[:-1])).to_numpy(zero_copy_only=False)
+    return rows, [*np.flatnonzero(new).tolist(), rows.num_rows], np.cumsum(new)
+
+
+def _parcels(rows: pa.RecordBatch, starts: list[int], number: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Neighbouring cells up to TOGETHER rows, and larger ones alone; the last of `starts` is an end."""
+    begin = starts[0]
+    for start, end in zip(starts, starts[1:], strict=False):
+        if end - begin > TOGETHER and start > begin:
+            yield rows.slice(begin, start - begin), number[begin:start]
+            begin = start
+    if begin < starts[-1]:
+        yield rows.slice(begin, starts[-1] - begin), number[begin : starts[-1]]
+
+
+def _measured(unit: pa.RecordBatch, cells: np.ndarray, cols: list[str], measure: Callable, out: list[str]) -> Iterator[pa.RecordBatch]:
+    """A unit's records, its pairs as places among them (l * 2^32 + r), and each pair's numbers, as arrays of one row. A cell of two parts alone is a grid of one with the other, all else one of all rows with themselves."""
+    rec, cell, mine = (unit.column(c).to_numpy() for c in ("rec", "cell", "mine"))
+    across = (cell >> 31) != (cell & ((1 << 31) - 1))
+    one = cells[0] == cells[-1]
+    rows = columns = np.argsort(rec)
+    if one and across[0]:
+        rows, columns = rows[mine[rows] == mine[0]], rows[mine[rows] != mine[0]]
+    coded = [pc.fill_null(unit.column(c), "") for c in cols]
+
+    def side(places: np.ndarray) -> list[Names]:
+        different = [pc.dictionary_encode(c.take(pa.array(places))) for c in coded]
+        return [names(d.dictionary.to_numpy(zero_copy_only=False).tolist(), d.indices.to_numpy()) for d in different]
+
+    left = side(rows)
+    right = left if rows is columns else side(columns)
+    if rows is columns:
+        place = np.arange(len(rows), dtype=np.int32)
+        keep = place[:, None] < place[None, :]  # in the order of rec, so l is the row
+        if not one:
+            keep &= cells[rows][:, None] == cells[rows][None, :]
+            keep &= ~across[rows][:, None] | (mine[rows][:, None] != mine[rows][None, :])
+    else:
+        keep = np.ones((len(rows), len(columns)), dtype=bool)
+    keep[_met_before(unit.column("before"), rows, columns)] = False
+    at, n = np.flatnonzero(keep), np.count_nonzero(keep, axis=1)
+    first, second = np.repeat(rows, n), columns[at - np.repeat(np.arange(len(rows)) * len(columns), n)]
+    if rows is not columns:
+        swap = rec[first] > rec[second]
+        first, second = np.where(swap, second, first), np.where(swap, first, second)
+    parts = [rec, (first << 32) | second, *[x.ravel()[at].astype(np.int32) for x in measure(left, right)]]
+    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in parts], names=["_recs", "_at", *out])
+
+
+def _met_before(before: pa.ListArray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (row, column) of records that have an earlier block in common."""
+    block, of = pc.dictionary_encode(before.flatten()).indices.to_numpy(), pc.list_parent_indices(before).to_numpy()
+
+    def entries(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.full(len(before), -1)
+        at[places] = np.arange(len(places))
+        at = at[of]
+        found, at = block[at >= 0], at[at >= 0]
+        order = np.argsort(found, kind="stable")
+        return found[order], at[order]
+
+    found, row = entries(rows)
+    found2, column = (found, row) if rows is columns else entries(columns)
+    start = np.searchsorted(found2, found, "left")
+    n = np.searchsorted(found2, found, "right") - start
+    return np.repeat(row, n), column[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def near_pairs(blocks: DataFrame, records: DataFrame, cols: list[str], limits: list[tuple[list[str], int]], match: Column, rec: str = "rec_idx", many: bool = False) -> DataFrame:

@@ -124,3 +124,40 @@ def test_no_table_of_records_is_broadcast_by_a_rule(spark, name):
 def test_no_table_of_records_is_broadcast_for_all_candidates(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_grid_has_the_distances_of_all_its_strings():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    for high in (4, 8, 14, 30, 64, 150):
+        x, y = _words(high, 12, "abé\U0001f600", 0, high), _words(high + 1, 11, "abé\U0001f600", 0, high)
+        got = m.EditGrid(m.names(x), m.names(y)).distances(4, shorter=True)
+        want = [[(distance(a, b), distance(a[:4], b[:4]), distance(a[: len(b)], b[: len(a)])) for b in y] for a in x]
+        assert [[tuple(int(g[i, j]) for g in got) for j in range(11)] for i in range(12)] == want
+
+
+@pytest.mark.parametrize("part, batch, high", [(512, 10000, 7), (5, 7, 7), (3, 1, 12), (130, 100, 7)])
+def test_pairs_of_a_grid_are_the_candidates_with_their_metrics(spark, part, batch, high):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(i * 7 % 401, a or None, b) for i, (a, b) in enumerate(zip(_words(8, 300, "abé"), _words(9, 300, "abé\U0001f600", 0, high), strict=True))]
+    df = spark.createDataFrame(rows, "rec_idx long, first string, last string")
+    blocks = catalog.super_index(df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = pairs.measured_pairs(blocks, df, ["first", "last"], m.reversals_truncations, ["a", "b", "c"], part=part).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    want = pairs.candidate_pairs(blocks, df, ["first", "last"], part=part)
+    want = want.select("l", "r", m.reversal("l_first", "l_last", "r_first", "r_last"), m.truncation("l_last", "r_last", 4), m.truncation("l_last", "r_last")).collect()
+    assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_all_candidates_are_measured_in_grids_and_not_joined(spark):
+    plan = catalog.queries()["reversal_truncation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("MapInArrow") < plan.index("SortMergeJoin") and "levenshtein" not in plan
